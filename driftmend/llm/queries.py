@@ -7,12 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftmend.llm.exact_dedup import LOWER, UPPER, exact_dedup
+from driftmend.llm.mixing import WORD, mix_plan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
+w AS (SELECT *, CASE r % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS w FROM s),
+o AS (
+  SELECT *, sum(source_size) OVER () AS total, coalesce(sum(source_size) OVER before, 0) AS size_before, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS w_left
+  FROM w WINDOW before AS (ORDER BY source_size / CAST(w AS DOUBLE), r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (
+  SELECT *, min(CASE WHEN 3.0 * source_size * w_left <= (total - 3.0 * size_before) * w THEN 1 ELSE 0 END)
+    OVER (ORDER BY source_size / CAST(w AS DOUBLE), r) AS clamped FROM o),
+l AS (
+  SELECT sum(source_size) - 3 * coalesce(sum(source_size) FILTER (clamped = 1), 0) AS remaining, coalesce(sum(w) FILTER (clamped = 0), 1) AS share FROM c),
+t AS (
+  SELECT c.source, source_size,
+    CASE WHEN clamped = 1 THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(remaining AS DOUBLE) * w / CAST(share AS DOUBLE) END AS target
+  FROM c, l),
+q AS (
+  SELECT *, CAST(floor(target + 0.5) AS BIGINT) // greatest(source_size, 1) AS whole,
+    CAST(floor(target + 0.5) AS BIGINT) % greatest(source_size, 1) AS rest FROM t),
+x AS (
+  SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken
+FROM x JOIN q ON x.source IS NOT DISTINCT FROM q.source
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -25,8 +60,8 @@ WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_exact_dedup,)}
+    return {f.__name__: f for f in (op4_mixing, op6_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op4_mixing": OP4_SQL, "op6_exact_dedup": OP6_SQL}
