@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftmend.llm.exact_dedup import LOWER, UPPER, exact_dedup
 from driftmend.llm.mixing import WORD, mix_plan
+from driftmend.llm.secrets import digest, find_secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -60,7 +65,7 @@ WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op6_exact_dedup)}
+    return {f.__name__: f for f in (op1_secrets, op4_mixing, op6_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
