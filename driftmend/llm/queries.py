@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftmend.llm.exact_dedup import LOWER, UPPER, exact_dedup
+from driftmend.llm.fingerprints import edit_likeness
 from driftmend.llm.mixing import WORD, mix_plan
 from driftmend.llm.secrets import digest, find_secrets
 
@@ -57,6 +58,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(_table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
@@ -65,7 +70,7 @@ WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op4_mixing, op6_exact_dedup)}
+    return {f.__name__: f for f in (op1_secrets, op4_mixing, op6_exact_dedup, op8_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
