@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from driftmend.llm.common import shared_dir
 from driftmend.llm.exact_dedup import LOWER, UPPER, exact_dedup
 from driftmend.llm.fingerprints import edit_likeness
+from driftmend.llm.huffman import read_tokens, write_tokens
 from driftmend.llm.mixing import WORD, mix_plan
+from driftmend.llm.packing import pack
 from driftmend.llm.secrets import digest, find_secrets
 
 
@@ -20,6 +25,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -62,6 +71,12 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/huffman-{uuid.uuid4().hex}"
+    write_tokens(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return read_tokens(spark, folder)
+
+
 OP6_SQL = f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
@@ -70,7 +85,7 @@ WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op4_mixing, op6_exact_dedup, op8_fingerprints)}
+    return {f.__name__: f for f in (op1_secrets, op3_packing, op4_mixing, op6_exact_dedup, op8_fingerprints, op9_huffman)}
 
 
 def oracle_sql() -> dict[str, str]:
