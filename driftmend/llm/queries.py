@@ -12,6 +12,7 @@ from driftmend.llm.common import shared_dir
 from driftmend.llm.exact_dedup import LOWER, UPPER, exact_dedup
 from driftmend.llm.fingerprints import edit_likeness
 from driftmend.llm.huffman import read_tokens, write_tokens
+from driftmend.llm import toxicity
 from driftmend.llm.language import held_out, train, with_language
 from driftmend.llm.mixing import WORD, mix_plan
 from driftmend.llm.packing import pack
@@ -83,6 +84,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_language(docs.select("doc_id", "text"), train(docs)).select("doc_id", held_out(docs["doc_id"]).alias("held_out"), "lang_pred", "score")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.with_severity(docs.select("doc_id", "text"), model).drop("text")
+
+
 OP6_SQL = f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
@@ -91,7 +98,7 @@ WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_packing, op4_mixing, op6_exact_dedup, op8_fingerprints, op9_huffman, op10_language)}
+    return {f.__name__: f for f in (op1_secrets, op3_packing, op4_mixing, op6_exact_dedup, op7_toxicity, op8_fingerprints, op9_huffman, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
