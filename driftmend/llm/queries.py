@@ -15,6 +15,7 @@ from driftmend.llm.huffman import read_tokens, write_tokens
 from driftmend.llm import toxicity
 from driftmend.llm.language import held_out, train, with_language
 from driftmend.llm.mixing import WORD, mix_plan
+from driftmend.llm.ngram_join import join_classes
 from driftmend.llm.packing import pack
 from driftmend.llm.secrets import digest, find_secrets
 
@@ -65,6 +66,10 @@ FROM x JOIN q ON x.source IS NOT DISTINCT FROM q.source
 """
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_classes(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -98,7 +103,7 @@ WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_packing, op4_mixing, op6_exact_dedup, op7_toxicity, op8_fingerprints, op9_huffman, op10_language)}
+    return {f.__name__: f for f in (op1_secrets, op3_packing, op4_mixing, op5_ngram_join, op6_exact_dedup, op7_toxicity, op8_fingerprints, op9_huffman, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
