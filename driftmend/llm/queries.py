@@ -12,7 +12,7 @@ from driftmend.llm.common import shared_dir
 from driftmend.llm.exact_dedup import LOWER, UPPER, exact_dedup
 from driftmend.llm.fingerprints import edit_likeness
 from driftmend.llm.huffman import read_tokens, write_tokens
-from driftmend.llm import toxicity
+from driftmend.llm import chat, toxicity
 from driftmend.llm.language import held_out, train, with_language
 from driftmend.llm.mixing import WORD, mix_plan
 from driftmend.llm.ngram_join import join_classes
@@ -28,6 +28,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -103,7 +107,7 @@ WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_packing, op4_mixing, op5_ngram_join, op6_exact_dedup, op7_toxicity, op8_fingerprints, op9_huffman, op10_language)}
+    return {f.__name__: f for f in (op1_secrets, op2_chat, op3_packing, op4_mixing, op5_ngram_join, op6_exact_dedup, op7_toxicity, op8_fingerprints, op9_huffman, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
