@@ -1,0 +1 @@
+"""Snapshot reconciliation and guarded repair on Spark."""
