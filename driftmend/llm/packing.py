@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ from driftmend.llm.common import written
 from driftmend.llm.tokens import piece_tokenizer
 from driftmend.llm.words import slices
 
+_SUM = itemgetter(0)
+
 LENGTH, PIECE, GROUP, END = 1024, 512, 720, 0
 
 
@@ -43,7 +46,7 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
         else:
             alone, both = len(a) - meet, len(b) - meet
             merged = a[:alone] + b[:both] + [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a[alone:], reversed(b[both:]))]
-        merged.sort(key=lambda w: -w[0])
+        merged.sort(key=_SUM, reverse=True)
         spread = merged[0][0] - (merged[-1][0] if len(merged) == windows else 0)
         heapq.heappush(heap, (-spread, order, merged))
         order += 1
