@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmend.llm.common import written
-from driftmend.llm.tokens import piece_tokenizer
+from driftmend.llm.tokens import piece_tokenizer, tokenizer
 from driftmend.llm.words import slices
 
 LIMIT, BLOCK, STEP = 16, 1 << 16, 256
@@ -109,8 +109,15 @@ class Decoder:
         return out
 
 
+def _width(path: str, end: int) -> str:
+    """The narrowest type that holds every id."""
+    return "<u2" if max(tokenizer(path).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+
+
 def token_table(docs: DataFrame, path: str, end: int, spaced: bool) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit), with the end id."""
+    """doc_id and ids (little-endian, of _width), with the end id."""
+    width = _width(path, end)
+    last = np.array([end], width).tobytes()
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,22 +125,26 @@ def token_table(docs: DataFrame, path: str, end: int, spaced: bool) -> DataFrame
         for batch in batches:
             for part in slices(batch):
                 ids, ends = model.encode(part.column("text"))
-                data = [np.append(ids[a:b], np.uint32(end)).astype("<u4").tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                ids = ids.astype(width)
+                data = [ids[a:b].tobytes() + last for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "ids"])
 
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for part in slices(batch, "ids"):
-            n = np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), "<u4"))
-            if len(n) > len(total):
-                n, total = total, n
-            total[: len(n)] += n
-    ids = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
+def _counts(width: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for part in slices(batch, "ids"):
+                n = np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), width))
+                if len(n) > len(total):
+                    n, total = total, n
+                total[: len(n)] += n
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
+
+    return run
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 2, spaced: bool = False) -> None:
@@ -144,8 +155,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 2, spaced:
     each shard are all that reaches the driver.
     """
     spark = docs.sparkSession
+    width = _width(path, end)
     table = written(token_table(docs, path, end, spaced), "tokens")
-    found = table.mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = table.mapInArrow(_counts(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
     counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     lengths = code_lengths(counts)
@@ -170,7 +182,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 2, spaced:
         for batch in batches:
             for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
                 docs.append(doc)
-                parts.append(np.frombuffer(data, "<u4"))
+                parts.append(np.frombuffer(data, width))
                 held += len(parts[-1])
                 if held >= BLOCK:
                     yield flush()
