@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftmend.llm.words import mix, slices, word_hashes
 
@@ -109,15 +110,17 @@ def as_hex(rows: np.ndarray) -> list[str]:
 def fingerprint(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """docs with a column fingerprint (hex), which replaces one of that name. Null text counts as empty."""
     terms = docs.sparkSession.sparkContext.broadcast(lexicon(docs, low, high))
-    schema = docs.drop("fingerprint").schema
+    docs = docs.drop("fingerprint")
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                columns = [part.column(n) for n in schema.names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(as_hex(fingerprints(part.column("text"), terms.value)), pa.string())], names=[*schema.names, "fingerprint"])
+                columns = [part.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(as_hex(fingerprints(part.column("text"), terms.value)), pa.string())], names=[*names, "fingerprint"])
 
-    return docs.mapInArrow(add, schema.add("fingerprint", "string"))
+    return docs.mapInArrow(add, schema)
 
 
 def _edited(text: str, following: str) -> str:

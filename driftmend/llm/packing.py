@@ -133,7 +133,8 @@ def sequences(packed: DataFrame, length: int = LENGTH, pad: int = END) -> DataFr
     """sequence_id, size and ids (array<int>, padded) of a packing made with ids; at most `length` ids each."""
     whole = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "ids"))).alias("parts"))
     size = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["length"])
-    number = lambda b, i: F.conv(F.hex(F.reverse(F.substring(b, i * 4 + 1, 4))), 16, 10).cast("int")
+    digits = lambda b, i: F.hex(F.substring(b, i * 4 + 1, 4))
+    number = lambda b, i: F.conv(F.concat(*[F.substring(digits(b, i), k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("int")
     ids = F.flatten(F.transform("parts", lambda p: F.transform(F.sequence(F.lit(0), (p["length"] - 1).cast("int")), lambda i: number(p["ids"], i))))
     power = F.bit_count("size") == 1
     return whole.select("sequence_id", size.alias("size"), ids.alias("ids")).withColumn("ids", F.when(power, F.col("ids")).otherwise(F.concat("ids", F.array_repeat(F.lit(pad), (F.lit(length) - F.col("size")).cast("int")))))
