@@ -27,13 +27,22 @@ SALT = "example-salt"
 KEY = bytes(range(32))
 
 
+#: queries whose functions can't have their names, which are those of the operators they use
+NAMES = {
+    "repaired_field_mismatches_found": "repaired_field_mismatches", "protected_field_changes_found": "protected_field_changes", "row_set_changes_found": "row_set_changes",
+    "remaining_candidates_after": "remaining_candidates", "table_set_changes_found": "table_set_changes", "gates_of_repair": "repair_gates", "digest_of_table": "table_digest",
+    "sensitive_identifiers_found": "sensitive_identifiers", "privacy_scan_found": "privacy_scan", "directory_manifest": "dir_manifest", "parquet_header_check": "header_check",
+}
+
+
 def query(expressions: str | None = None, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its name, with SQL over the expressions."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        name = NAMES.get(f.__name__, f.__name__)
+        QUERIES[name] = f
         if expressions is not None and sql is not None:
-            ORACLES[f.__name__] = oracle(expressions, sql)
+            ORACLES[name] = oracle(expressions, sql)
         return f
 
     return add
