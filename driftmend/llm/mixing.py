@@ -123,13 +123,14 @@ def mixed(docs: DataFrame, epochs: int = 3, weight: Callable[[Column], Column] =
     """
     _, sources = plan(docs, epochs, weight, seed)
     names = docs.columns
-    rows = _sized(docs.select(F.struct(*names).alias("row"), "doc_id", "text", "source"), seed).join(sources, ["src", "missing"]).withColumn("taken", _taken())
+    rows = _sized(docs.select(F.struct(*names).alias("row"), "doc_id", "text", "source"), seed).select("row", "src", "missing", "place")
+    rows = rows.join(sources, ["src", "missing"]).withColumn("taken", _taken())
     size, part = F.col("place.size"), F.expr("taken % place.size")
     copies = F.expr("cast(taken div place.size as int)")
     pieces = F.concat(F.array_repeat(F.lit(-1).cast("long"), copies), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
     rows = rows.filter(size > 0).withColumn("words", F.explode(pieces))
-    tokens = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("words"), F.lit(0)).cast("int"))
-    text = F.when(F.col("words") < 0, F.col("text")).otherwise(F.array_join(tokens, " "))
+    tokens = F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("words"), F.lit(0)).cast("int"))
+    text = F.when(F.col("words") < 0, F.col("row.text")).otherwise(F.array_join(tokens, " "))
     rows = rows.withColumn("cut", text)
     new = {"text": F.col("cut")} | ({"n_chars": F.when(F.col("words") < 0, F.col("row.n_chars")).otherwise(F.length("cut")).cast("long")} if "n_chars" in names else {})
     return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
