@@ -5,8 +5,9 @@ sets are collapsed first. A forest of TREES sorted prefix tries over MinHash sig
 prefixes are shortened from DEPTH to the longest length at which a pair of just the threshold still meets in
 some tree with the target recall (least_depth). On the way down to shorter prefixes each trie node is
 compared through its head only, so a node of any size gives as many candidates as it has members; what
-is verified is merged into components, and a second step compares the members of a node that
-are not yet in one component. Every candidate is verified on the whole sets.
+is verified is merged into components. The best-linked member of each node is then compared with those that it
+isn't connected with, and last, in blocks, whatever members of a node still are not in one component. Every
+candidate is verified on the whole sets.
 
 Links are counted without listing the pairs of a component. Jaccard distance is a metric: with the distances
 of two members to their component's pivot, many pairs are links for certain and are counted from a
@@ -29,6 +30,7 @@ from driftmend.llm.words import mix, slices, word_hashes
 
 WORDS, THRESHOLD, RECALL, TREES, DEPTH = 5, 0.8, 0.999, 20, 7
 SCALE, BAND, MEMBERS = 1000, 50, 256  # steps of distance; steps in a band of blocks; members of a block
+HUBS = 3  # rounds of comparing with the best-linked member of a node
 
 
 def least_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -153,15 +155,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _block_counts(rows: pd.DataFrame) -> pd.DataFrame:
-    """Uncertain links between the two blocks of a pair (or within one): id and the documents linked."""
-    per = round(float(rows["threshold"].iloc[0]) * 1_000_000)
-    limit = int(rows["limit"].iloc[0])
-    left = rows[rows["side"] == 0].reset_index(drop=True)
-    right = rows[rows["side"] == 1].reset_index(drop=True)
-    within = not len(right)
-    if within:
-        right = left
+def _named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(k, id, component) of the members of each node; one without links is a component of its own."""
+    return nodes.join(labels, "id", "left").select("k", "id", F.coalesce("component", "id").alias("component"))
+
+
+def _degrees(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+
+
+def _common(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(size of the intersection, of the union) of each set of left with each of right."""
     size = [np.array([len(g) for g in part["grams"]], np.int64) for part in (left, right)]
     flat = [np.concatenate([np.asarray(g, np.int64) for g in part["grams"]]) for part in (left, right)]
     known, column = np.unique(np.concatenate(flat), return_inverse=True)
@@ -177,7 +181,62 @@ def _block_counts(rows: pd.DataFrame) -> pd.DataFrame:
             part.append(m)
         common += part[0] @ part[1].T
     common = common.astype(np.int64)
-    linked = common * 1_000_000 >= (size[0][:, None] + size[1][None, :] - common) * per
+    return common, size[0][:, None] + size[1][None, :] - common
+
+
+def _block_merges(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of the links between the two sides of a block, as many (a, b) as it takes to connect their components."""
+    per = round(float(rows["threshold"].iloc[0]) * 1_000_000)
+    left, right = (rows[rows["side"] == k].reset_index(drop=True) for k in (0, 1))
+    out: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        both, any_ = _common(left, right)
+        linked = (both * 1_000_000 >= any_ * per) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :])
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        for i, j in np.argwhere(linked).tolist():
+            one, two = find(int(left["component"][i])), find(int(right["component"][j]))
+            if one != two:
+                root[one] = two
+                out.append((int(left["id"][i]), int(right["id"][j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _merges(named: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that connect components which meet in a node (k, id, component).
+
+    In each node the members outside its largest component are compared with all members, in blocks of bounded
+    size, so nothing is emitted but merging links.
+    """
+    sizes = named.groupBy("k", "component").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("k").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / MEMBERS).cast("int")
+    most = written(most.select("k", F.col("most.component").alias("main"), blocks(F.col("n") - F.col("most.n")).alias("x_n"), blocks(F.col("n")).alias("y_n")), "join-mixed")
+    each = named.join(most, "k").withColumn("x", F.pmod(F.xxhash64("id"), F.col("x_n")).cast("int")).withColumn("y", F.pmod(F.xxhash64("id"), F.col("y_n")).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    few = each.filter("component <> main").select("k", "id", "component", "x", F.explode(every(F.col("y_n"))).alias("y"), F.lit(0).alias("side"))
+    all_ = each.select("k", "id", "component", F.explode(every(F.col("x_n"))).alias("x"), "y", F.lit(1).alias("side"))
+    rows = few.unionByName(all_).join(sets, "id").select("k", "x", "y", "side", "id", "component", "grams", F.lit(threshold).alias("threshold"))
+    return rows.groupBy("k", "x", "y").applyInPandas(_block_merges, "a long, b long").distinct()
+
+
+def _block_counts(rows: pd.DataFrame) -> pd.DataFrame:
+    """Uncertain links between the two blocks of a pair (or within one): id and the documents linked."""
+    per = round(float(rows["threshold"].iloc[0]) * 1_000_000)
+    limit = int(rows["limit"].iloc[0])
+    left = rows[rows["side"] == 0].reset_index(drop=True)
+    right = rows[rows["side"] == 1].reset_index(drop=True)
+    within = not len(right)
+    if within:
+        right = left
+    both, any_ = _common(left, right)
+    linked = both * 1_000_000 >= any_ * per
     linked &= left["q"].to_numpy()[:, None] + right["q"].to_numpy()[None, :] > limit
     if within:
         np.fill_diagonal(linked, False)
@@ -187,10 +246,13 @@ def _block_counts(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(found)
 
 
-def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(id, links): documents linked to each member (id, component, copies), those of its own set left out."""
+def _links(members: DataFrame, pivots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, links): documents linked to each member (id, component, copies), those of its own set left out.
+
+    pivots: (component, pivot_id), one member of each component.
+    """
     limit = round((1 - threshold) * SCALE)
-    pivots = sets.withColumnsRenamed({"id": "component", "grams": "pivot"})
+    pivots = written(pivots.join(sets.toDF("pivot_id", "pivot"), "pivot_id").select("component", "pivot"), "join-pivot-sets")
     both, any_ = F.size(F.array_intersect("grams", "pivot")), F.size("grams") + F.size("pivot")
     away = F.expr(f"cast(({SCALE} * (u - i) + u - 1) div u as int)")
     placed = (
@@ -257,19 +319,27 @@ def join_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     grams = written(_sets(docs, wanted, words), "join-grams")
     good = written(_verified(edges, grams, threshold), "join-good")
     labels = components(good)
-    # members of one node that aren't connected yet
-    named = nodes.select("id", F.col(f"k{least}").alias("k")).join(labels, "id", "left").select("k", "id", F.coalesce("component", "id").alias("component"))
-    named = written(named, "join-named")
-    mixed = written(named.groupBy("k").agg(F.min("component").alias("l"), F.max("component").alias("m")).filter("l <> m").select("k"), "join-mixed")
-    parts = written(named.join(mixed, "k"), "join-parts")
-    cross = parts.select("k", F.col("id").alias("a"), F.col("component").alias("ca")).join(parts.select("k", F.col("id").alias("b"), F.col("component").alias("cb")), "k").filter("ca < cb")
-    cross = written(cross.select("a", "b").distinct(), "join-cross")
-    more = written(_verified(cross, grams, threshold), "join-more")
+    nodes = nodes.select("id", F.col(f"k{least}").alias("k"))
+    for _ in range(HUBS):
+        # the member with the most links, often what the others were copied from, is compared with those not in its component
+        named = _named(nodes, labels).join(_degrees(good), "id", "left")
+        named = written(named.select("k", "id", "component", F.coalesce("degree", F.lit(0)).alias("degree")), "join-named")
+        hubs = written(named.groupBy("k").agg(F.max(F.struct("degree", "id", "component")).alias("hub")), "join-hubs")
+        star = named.join(hubs, "k").filter(F.col("component") != F.col("hub.component")).select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
+        star = written(star.join(edges, ["a", "b"], "left_anti"), "join-star")
+        more = written(_verified(star, grams, threshold), "join-more")
+        if more.isEmpty():
+            break
+        edges, good = edges.union(star), good.union(more)
+        labels = components(good)
+    more = written(_merges(written(_named(nodes, labels), "join-named"), grams, threshold), "join-merges")
     if not more.isEmpty():
-        labels = components(good.union(more))
+        good = good.union(more)
+        labels = components(good)
 
     members = labels.join(sets.select("id", "copies"), "id")
-    links = _links(members, grams, threshold)
+    pivots = labels.join(_degrees(good), "id").groupBy("component").agg(F.max(F.struct("degree", "id")).alias("p")).select("component", F.col("p.id").alias("pivot_id"))
+    links = _links(members, written(pivots, "join-pivots"), grams, threshold)
     each = sets.select("id", "copies", "doc").join(labels, "id", "left").join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
     each = written(each.select("id", "doc", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "join-each")
     classes = written(each.groupBy("component").agg(F.min("doc").alias("class_id")), "join-classes")
