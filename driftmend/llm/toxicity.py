@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from driftmend.llm.words import mix, slices, word_codes
 
-BITS, GRADES, MARK = 18, 4, 20
+BITS, GRADES, MARK, FLAG = 18, 4, 20, 0.3
 ROWS, CLEAN, LONGEST = 3000, 2, 20_000  # toxic rows used at most, clean ones for each, characters of a row used
 
 
@@ -184,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = L
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, rows / max(sizes.get(1, 0), 1)) * full)).otherwise(F.lit(min(1.0, CLEAN * rows / max(sizes.get(0, 0), 1)) * full))
     drawn = known.filter(place <= share).dropDuplicates(["doc_id"])
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") <= longest)
-    found = texts.join(drawn, "doc_id").orderBy(F.xxhash64("doc_id", "text")).select("text", "toxic").mapInArrow(_collect_features, "toxic int, features binary").toPandas()
+    # the drawn ids are broadcast: their number is bounded by rows, whatever the number of labels
+    found = texts.join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id", "text")).select("text", "toxic").mapInArrow(_collect_features, "toxic int, features binary").toPandas()
     if not len(found) or not found["toxic"].any():
         return Model(np.zeros(1 << BITS), np.full(GRADES - 1, 40.0))
     features = [np.frombuffer(b, "<i4") for b in found["features"]]
@@ -192,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = L
 
 
 def with_severity(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with severity (expected grade, 0 to 3), grade (most likely) and toxic (grade 1 or more is as likely as not).
+    """docs with severity (expected grade, 0 to 3), grade (most likely) and toxic (grade 1 or more has at least the probability FLAG).
 
     These replace columns of the same names. Null and empty texts have no features and the severity of the
     thresholds alone. Rows are independent of each other and keep all other columns.
@@ -204,7 +205,7 @@ def with_severity(docs: DataFrame, model: Model) -> DataFrame:
         parts = [severities(p.column("text"), shared.value) for p in slices(pa.RecordBatch.from_arrays([texts], names=["text"]))]
         p = np.concatenate([np.empty((0, GRADES - 1)), *parts])
         each = np.diff(np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], axis=1)) * -1
-        columns = [pa.array(p.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(p[:, 0] >= 0.5)]
+        columns = [pa.array(p.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(p[:, 0] >= FLAG)]
         return pa.StructArray.from_arrays(columns, names=["severity", "grade", "toxic"])
 
     names = [c for c in docs.columns if c not in ("severity", "grade", "toxic", "_told")]
