@@ -37,9 +37,22 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
-    gone = join_classes(docs).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id")
-    return null_safe(docs.select(*COLUMNS), written(gone, "pipeline-near"), ["doc_id"], "left_anti")
+    """Of each group of near-duplicates one row: the smallest doc_id (null last), then the smallest text hash.
+
+    Rows are told apart by doc_id, text and all else, so null or repeated doc_ids share no fate. Texts without words stay.
+    """
+    rest = F.to_json(F.struct("lang", "source", "n_chars"))
+    row = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("hash"), rest.alias("rest"))
+    keyed = docs.select(*COLUMNS, row.alias("_row"))
+    told = written(join_classes(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id", "n_links"), "pipeline-near")
+    first = F.col("_row").eqNullSafe(F.col("class_id"))
+    gone = told.filter(~first).select("_row")
+    again = told.filter(first & (F.col("n_links") > 0)).groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").select("_row")
+    again = written(again, "pipeline-repeats")
+    kept = null_safe(keyed, gone.unionByName(again), ["_row"], "left_anti").select(*COLUMNS)
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(null_safe(keyed, again, ["_row"], "left_semi").dropDuplicates(["_row"]).select(*COLUMNS))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
