@@ -182,18 +182,20 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, chars: int = CHARS, rows: int = ROWS) -> Model:
     """Fit on documents that aren't held out and have a language.
 
-    Per language at most `rows` documents, chosen by hash of their text, give at most chars / 16 characters each and
-    `chars` together. Only these excerpts and a count for each language reach the driver.
+    Per language at most `rows` distinct texts with a letter, chosen by hash, give at most chars / 16 characters each, from
+    their first letter on, and `chars` together. The share drawn comes from the distinct texts, so copies don't crowd
+    out the rest. Only these excerpts and a count for each language reach the driver.
     """
     spark = docs.sparkSession
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("hash"))
+    sizes = {r["lang"]: r["n"] for r in known.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return build({})
     share = spark.createDataFrame([(k, min(1.0, 4 * rows / n)) for k, n in sizes.items()], "lang string, share double")
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    place = F.pmod("hash", F.lit(1 << 30))
+    excerpt = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max(chars // 16, 1) - 1}}}", 0)
     drawn = known.join(F.broadcast(share), "lang").filter(place <= F.col("share") * (1 << 30))
-    found = drawn.select("lang", place.alias("place"), F.substring("text", 1, chars // 16).alias("text")).distinct().collect()
+    found = drawn.select("lang", place.alias("place"), excerpt.alias("text")).distinct().collect()
     samples: dict[str, list[str]] = {k: [] for k in sizes}
     for r in sorted(found, key=lambda r: (r["lang"], r["place"], r["text"])):
         own = samples[r["lang"]]
