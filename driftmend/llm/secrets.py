@@ -3,7 +3,8 @@
 Three plain patterns find assigned secrets, access-key ids and hex keys. Beyond them, long runs of base64
 or hex characters are decoded and reported only if what comes out is built as a key or token is: DER whose
 nested lengths add up and which begins like a private key, the length-prefixed private-key format of
-OpenSSH, PEM blocks around either, and signed tokens whose header is JSON that names an algorithm.
+OpenSSH, PEM blocks around either, and signed tokens whose header is JSON that names an algorithm. They are
+found at any place of a run, as after the / of a path; a key's own lengths say where it ends.
 
 Positions are code points, ends exclusive. A text is scanned as one byte per code point (characters
 beyond Latin-1 stand as '?', which no pattern accepts), so that positions need no mapping.
@@ -33,6 +34,18 @@ _TOKEN = re.compile(rb"(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _BEGIN = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
 _MIN_HEX, _MIN_RUN = 24, 16
 
+# A SEQUENCE, its length in each form, then a version 0 to 3, as base64 and as hex
+_C = rb"[A-Za-z0-9+/_-]"
+_DER64 = re.compile(rb"M(?:[B-H]_CAQ[AEIM]|I(?:[E-H]_AgE[A-D]|[I-L]__[AQgw]IBA|[M-P]____CAQ[AEIM]|[Q-T]_____AgE[A-D]))".replace(b"_", _C))
+_DER16 = re.compile(rb"30(?:[1-7]_|81__|82____|83______|84________)02010[0-3]".replace(b"_", b"[0-9a-fA-F]"))
+_HEX_RUN = re.compile(rb"[0-9a-fA-F]{48,}")
+_OUTER64, _OUTER16 = re.compile(rb"(?=M[B-I])"), re.compile(rb"(?=30)")
+_SSH64 = re.compile(rb"b3BlbnNzaC1rZXktdjEA")
+_SSH16 = re.compile(b"openssh-key-v1\0".hex().encode(), re.IGNORECASE)
+_ESCAPES = [(re.compile(rb"\\+(?:[nrt]|u000[aAdD])"), b"\n"), (re.compile(rb"\\+u003[dD]"), b"="), (re.compile(rb"\\+u002[bB]"), b"+"), (re.compile(rb"\\+(?:/|u002[fF])"), b"/")]
+_HEADER = re.compile(rb"[A-Za-z][A-Za-z0-9-]*:[^\S\n]*\S*")
+_ENCRYPTED = re.compile(rb"Proc-Type:\s*4,ENCRYPTED\s+DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,}")
+
 
 def _classes(chars: bytes) -> bytes:
     return bytes(ord("x") if c in chars else ord(" ") for c in range(256))
@@ -90,25 +103,31 @@ def is_private_der(data: bytes) -> bool:
     return inner[1][0] in (0x02, 0x30, 0x04) and len(inner[1][1]) >= 3
 
 
-def is_openssh(data: bytes) -> bool:
-    """Magic, then cipher, key derivation and options, the number of keys, and that many keys and a private part."""
+def _openssh_size(data: bytes) -> int | None:
+    """Bytes of the magic, cipher, key derivation and options, the number of keys, and that many keys and a private part."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return None
     at, strings, count = len(magic), 0, None
     while count is None or strings < 3 + count + 1:
         if at + 4 > len(data):
-            return False
+            return None
         size, at = int.from_bytes(data[at : at + 4]), at + 4
         if strings == 3 and count is None:
             if not 1 <= size <= 64:
-                return False
+                return None
             count = size
             continue
         if at + size > len(data):
-            return False
+            return None
         at, strings = at + size, strings + 1
-    return not data[at:].strip(b"\0")
+    return at
+
+
+def is_openssh(data: bytes) -> bool:
+    """One such key, with nothing but zeros behind it."""
+    size = _openssh_size(data)
+    return size is not None and not data[size:].strip(b"\0")
 
 
 def _decoded(run: bytes) -> bytes | None:
@@ -135,6 +154,82 @@ def _kind(data: bytes | None) -> str | None:
     return "openssh" if data and data[0] == 0x6F and is_openssh(data) else None
 
 
+def _bytes(run: bytes, hexed: bool) -> bytes:
+    """What the characters of a run stand for, up to the last whole byte."""
+    if not hexed:
+        return _decoded(run[: len(run) - (len(run) % 4 == 1)]) or b""
+    return bytes.fromhex(run[: len(run) // 2 * 2].decode())
+
+
+def _outer(run: bytes, at: int, hexed: bool) -> tuple[bytes, int] | None:
+    """(bytes, end in the run) of the element that begins at a place of the run and ends in it."""
+    head = _bytes(run[at : at + 12], hexed)
+    if len(head) < 6:
+        return None
+    more = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if more > 4:
+        return None
+    size = 2 + more + (int.from_bytes(head[2 : 2 + more]) if more else head[1] & 0x7F)
+    end = at + (2 * size if hexed else -(-size * 4 // 3))
+    if end > len(run):
+        return None
+    data = _bytes(run[at:end], hexed)
+    return (data[:size], end) if len(data) >= size else None
+
+
+def _inside(run: bytes, hexed: bool) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of the keys at any place of a run; one that is a part of a larger structure is none."""
+    found, at = [], 0
+    der, ssh, outer = (_DER16, _SSH16, _OUTER16) if hexed else (_DER64, _SSH64, _OUTER64)
+    while m := der.search(run, at):
+        at = m.start() + 1
+        got = _outer(run, m.start(), hexed)
+        if not got or not is_private_der(got[0]):
+            continue
+        around = (_outer(run, x.start(), hexed) for x in outer.finditer(run, found[-1][2] if found else 0, m.start() + 1) if x.start() < m.start())
+        if not any(o and o[1] >= got[1] and len(_elements(o[0]) or ()) == 1 for o in around):
+            found.append((m.start(), "der", got[1]))
+        at = got[1]
+    at = 0
+    while m := ssh.search(run, at):
+        at = m.end()
+        data = _bytes(run[m.start() :], hexed)
+        if (size := _openssh_size(data)) is not None:
+            at = m.start() + (2 * size if hexed else -(-size * 4 // 3)) if data[size:].strip(b"\0") else len(run)
+            found.append((m.start(), "openssh", at))
+    return found
+
+
+def _tokens(b: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of the signed tokens, from whatever place in a run."""
+    s = b.find(b"eyJ")
+    while s >= 0:
+        # a header with a control character is none; most others are told by their first characters
+        head = _decoded(b[s : s + 16].split(b".")[0]) or b""
+        m = _TOKEN.match(b, s) if head and min(head) >= 9 and not any(c < 32 and c not in b"\t\n\r" for c in head) else None
+        at = s + 1
+        if m and isinstance(alg := _json(m[1]).get("alg"), str) and (m[3] or alg.lower() == "none"):
+            yield s, m.end()
+            at = m.end()
+        s = b.find(b"eyJ", at)
+
+
+def _is_pem(label: bytes, inner: bytes) -> bool:
+    """Does what stands between the lines of a PEM block hold a key? Escaped line ends and header lines are left out."""
+    for pattern, plain in _ESCAPES:
+        inner = pattern.sub(plain, inner)
+    lines = b"\n".join(x for x in inner.splitlines() if b":" not in x)
+    for body in (lines, _HEADER.sub(b"", inner), b" ".join(x for x in inner.split() if b":" not in x)):
+        data = _decoded(b"".join(body.split()).rstrip(b"="))
+        if not data:
+            continue
+        if _kind(data) or b"ENCRYPTED" in label and data[:1] == b"0":
+            return True
+        if len(data) >= 24 and len(data) % 8 == 0 and _ENCRYPTED.search(inner):
+            return True
+    return False
+
+
 def spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, number of the kind in KINDS, end) of all that is found in one text, sorted."""
     b = (text or "").encode("latin-1", "replace")
@@ -145,28 +240,32 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
     if b"AKIA" in b:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(b) if m.end() - m.start() >= 20]
     found += [(s, 2, e) for s, e in _runs(b, _HEX, _MIN_HEX)]
-    token_end = 0
+    found += [(s, 3, e) for s, e in _tokens(b)]
     for s, e in _runs(b, _BASE64, _MIN_RUN):
         run = b[s:e]
-        if s >= token_end and run.startswith(b"eyJ") and (m := _TOKEN.match(b, s)):
-            if isinstance(_json(m[1]).get("alg"), str) and (m[3] or _json(m[1])["alg"].lower() == "none"):
-                found.append((s, 3, m.end()))
-                token_end = m.end()
-        if len(run) >= 2 * _MIN_HEX and len(run) % 2 == 0 and not run.translate(None, _ANY_HEX):
+        hexed = len(run) >= 2 * _MIN_HEX and len(run) % 2 == 0 and not run.translate(None, _ANY_HEX)
+        if hexed:
             kind = _kind(bytes.fromhex(run.decode()))
         else:
             kind = _kind(_decoded(run)) if run[:1] in b"Mb" else None  # 0x30 and 'o' in base64
         if kind:
-            found.append((s, KINDS.index(kind), e + len(b[e : e + 2]) - len(b[e : e + 2].lstrip(b"="))))
+            keys = [(0, kind, len(run))]
+        elif len(run) >= 32:
+            keys = [] if hexed else _inside(run, False)
+            for h in _HEX_RUN.finditer(run):
+                keys += [(h.start() + x, k, h.start() + y) for x, k, y in _inside(h[0], True)]
+        else:
+            keys = []
+        for x, kind, y in keys:
+            pad = len(b[e : e + 2]) - len(b[e : e + 2].lstrip(b"=")) if y == len(run) else 0
+            found.append((s + x, KINDS.index(kind), s + y + pad))
     at = 0
     while m := _BEGIN.search(b, at):
         at = m.end()
         end = b.find(b"-----END " + m[1] + b"-----", at)
-        if end >= 0:
-            body = b"".join(x for x in b[at:end].split() if b":" not in x)
-            if _kind(_decoded(body.rstrip(b"="))) or b"ENCRYPTED" in m[0] and (_decoded(body.rstrip(b"=")) or b"")[:1] == b"0":
-                at = end + len(m[1]) + 14
-                found.append((m.start(), 6, at))
+        if end >= 0 and _is_pem(m[1], b[at:end]):
+            at = end + len(m[1]) + 14
+            found.append((m.start(), 6, at))
     return sorted(found)
 
 

@@ -1,0 +1,69 @@
+"""Confirmed secrets at any place of a run, in escaped text and behind PEM headers."""
+
+import base64
+import json
+import random
+
+import pytest
+
+from driftmend.llm.secrets import KINDS, spans
+from tests.llm.test_text import der
+
+RNG = random.Random(21)
+SIZES = [20, 60, 128, 300]
+TEXT = lambda k: base64.b64encode(k).decode()
+
+
+def key(n):
+    return der(0x30, der(2, b"\0"), der(4, RNG.randbytes(n)), der(0x30, der(6, b"\x2a\x03\x04")))
+
+
+def field(x):
+    return len(x).to_bytes(4) + x
+
+
+OPENSSH = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4) + field(RNG.randbytes(51)) + field(RNG.randbytes(136))
+PART = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
+TOKEN = f"{PART({'alg': 'HS256'})}.{PART({'a': 1})}.c2ln"
+
+
+def confirmed(text):
+    return [(KINDS[k], text[a:b]) for a, k, b in spans(text) if k > 2]
+
+
+@pytest.mark.parametrize("before", ["https://host/verify/", "\\n", "_", "-", "key_", "/", "x=a/", "session-"])
+def test_after_characters_of_a_run(before):
+    assert confirmed(before + TOKEN + " x") == [("jwt", TOKEN)]
+    for n in SIZES:
+        k = key(n)
+        assert confirmed(before + TEXT(k)) == [("der", TEXT(k))]
+        bare = TEXT(k).rstrip("=")
+        assert confirmed(before + bare + "_tail") == [("der", bare)]
+    assert confirmed(before + TEXT(OPENSSH) + " ") == [("openssh", TEXT(OPENSSH))]
+
+
+@pytest.mark.parametrize("before", ["0x", "key_", "a/", "x0"])
+def test_hex(before):
+    for n in SIZES:
+        k = key(n).hex()
+        assert [f for f in confirmed(before + k.upper())] == [("der", k.upper())]
+        assert ("der", k) in confirmed(before + k + "_z")
+
+
+@pytest.mark.parametrize("end", ["\\n", "\\r\\n", "\\\\n", "\n"])
+def test_pem(end):
+    k = key(300)
+    lines = base64.encodebytes(k).decode().split()
+    pem = end.join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+    assert ("pem", pem) in confirmed(f'{{"private_key": "{pem}"}}')
+    noise = base64.encodebytes(RNG.randbytes(320)).decode().split()
+    head = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", ""]
+    for extra, want in ((head, True), ([], False)):
+        pem = end.join(["-----BEGIN RSA PRIVATE KEY-----", *extra, *noise, "-----END RSA PRIVATE KEY-----"])
+        assert (("pem", pem) in confirmed(pem)) == want
+
+
+def test_no_false_hits():
+    request = der(0x30, der(0x30, der(2, b"\0"), der(0x30, b"\x06\x01\x2a" * 12)), der(0x30, b"\x06\x01\x2a"))  # a structure that only holds the like
+    for t in (TEXT(request), "key_" + TEXT(request), request.hex(), "0x" + request.hex(), "a/" + TEXT(key(60))[:-8], "/" + TEXT(RNG.randbytes(3000)), "keyJohn.Smith.x", "eyJ" * 3000 + ".a.b"):
+        assert confirmed(t) == [], t
