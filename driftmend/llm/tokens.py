@@ -3,7 +3,8 @@
 Words recur, so each distinct piece between spaces is encoded once and remembered in the worker (up to
 a bound). This is exact: a byte-level model cuts its input before a space that follows or precedes a
 character that isn't white space, and a model that drops white space cuts at every space. A text with a cut
-that isn't safe is encoded whole. equal_to_library() in the tests holds both against plain encoding.
+that isn't safe is encoded whole, as is one that holds the content of an added token (<|endoftext|>), which the library
+finds in the raw text. The tests hold all of this against plain encoding.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ _HEAD = "\0"  # before a piece that begins a text
 
 
 @functools.cache
-def tokenizer(path: str):
+def tokenizer(path: str, added: bool = False):
+    """The library's own with added; else one that takes the contents of added tokens for plain text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
+    found.encode_special_tokens = not added
     return found
 
 
@@ -36,10 +38,15 @@ def _is_space(c: str) -> bool:
 
 
 class PieceTokenizer:
-    """Encodes texts by their pieces; spaced: a piece but the first is encoded with the space before it."""
+    """Encodes texts by their pieces; spaced: a piece but the first is encoded with the space before it.
 
-    def __init__(self, path: str, spaced: bool):
+    added: the contents of added tokens are these tokens, as the library has it unless it is told otherwise.
+    """
+
+    def __init__(self, path: str, spaced: bool, added: bool = False):
         self.model, self.spaced = tokenizer(path), spaced
+        self.whole = tokenizer(path, added)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()] if added else []
         vocabulary = self.model.get_vocab()
         # a byte-level token has a letter for each byte
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -134,7 +141,9 @@ class PieceTokenizer:
         if len(self.number) > PIECES:
             self._trim()
         at = self._numbers(distinct)[coded.indices.to_numpy(zero_copy_only=False)]
-        whole: list[int] = []
+        odd = np.zeros(len(texts), bool)
+        for content in self.added:
+            odd |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
         if self.spaced:
             first = starts[:-1]
             unsafe = np.zeros(len(at), bool)
@@ -144,24 +153,23 @@ class PieceTokenizer:
             marked = pc.starts_with(coded.dictionary, _HEAD).to_numpy(zero_copy_only=False)
             if marked.any():  # such a piece can't be told from a first one
                 unsafe |= marked[coded.indices.to_numpy(zero_copy_only=False)]
-            odd = np.zeros(len(texts), bool)
             odd[np.searchsorted(first, np.flatnonzero(unsafe), side="right") - 1] = True
-            whole = np.flatnonzero(odd).tolist()
             # the first piece of a text has no space before it
             at[first] = self._numbers([_HEAD + h for h in heads])
         begin, size = self.ends[at], self.ends[at + 1] - self.ends[at]
         out_start = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(begin - out_start[:-1], size) + np.arange(int(out_start[-1]))]
         ends = out_start[starts]
+        whole = np.flatnonzero(odd).tolist()
         if not whole:
             return ids, ends
         parts = np.split(ids, ends[1:-1])
-        for i, e in zip(whole, self.model.encode_batch_fast([texts[i].as_py() for i in whole], add_special_tokens=False)):
+        for i, e in zip(whole, self.whole.encode_batch_fast([texts[i].as_py() for i in whole], add_special_tokens=False)):
             parts[i] = np.array(e.ids, np.uint32)
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 @functools.cache
 def piece_tokenizer(path: str, spaced: bool) -> PieceTokenizer:
-    """One for each worker process."""
-    return PieceTokenizer(path, spaced)
+    """One for each worker process, with added tokens."""
+    return PieceTokenizer(path, spaced, added=True)
