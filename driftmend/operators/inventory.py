@@ -112,9 +112,16 @@ def store_selection(backups: DataFrame, found: DataFrame, requests: DataFrame) -
 
 
 def manifest_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(path, change) between two manifests (path, size, hash): changed, missing or extra."""
+    """(path, change) between two manifests (path, size, hash): changed, missing, extra, or unknown.
+
+    Unknown are files of equal size of which a hash is missing, as it is where a file was too large: they may differ.
+    """
     one, two = a.select("path", F.struct("size", "hash").alias("was")), b.select("path", F.struct("size", "hash").alias("now"))
-    change = F.when(F.col("now").isNull(), "missing").when(F.col("was").isNull(), "extra").when(differs(F.col("was"), F.col("now")), "changed")
+    unhashed = F.col("was.hash").isNull() | F.col("now.hash").isNull()
+    change = (
+        F.when(F.col("now").isNull(), "missing").when(F.col("was").isNull(), "extra").when(differs(F.col("was.size"), F.col("now.size")), "changed")
+        .when(unhashed, "unknown").when(differs(F.col("was"), F.col("now")), "changed")
+    )
     return one.join(two, "path", "full_outer").select("path", change.alias("change")).filter("change is not null")
 
 
