@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BAR = chr(124)
 
@@ -35,8 +36,25 @@ def padded_length(n: Column, block: int = 16) -> Column:
     return n + block - n % block
 
 
-def tagged(value: Column, kind: str) -> Column:
-    """A value as text that no other value or type shares: type tag, length, content; null has a tag of its own."""
-    tag = {"string": "T", "binary": "B", "bigint": "I", "int": "I", "smallint": "I", "tinyint": "I", "boolean": "L", "timestamp": "S", "timestamp_ntz": "S", "date": "D", "double": "R", "float": "R"}.get(kind, "X")
-    text = F.hex(value) if kind == "binary" else F.unix_micros(value.cast("timestamp")).cast("string") if kind.startswith("timestamp") else value.cast("string")
-    return F.when(value.isNull(), F.lit("N;")).otherwise(F.concat(F.lit(tag), F.octet_length(text).cast("string"), F.lit(":"), text))
+_TAGS = {T.StringType: "T", T.BinaryType: "B", T.LongType: "I", T.IntegerType: "I", T.ShortType: "I", T.ByteType: "I", T.BooleanType: "L", T.TimestampType: "S", T.TimestampNTZType: "S", T.DateType: "D", T.DoubleType: "R", T.FloatType: "R"}
+
+
+def tagged(value: Column, kind: T.DataType | str) -> Column:
+    """A value as text that no other value or type shares: type tag, length, content; null has a tag of its own.
+
+    Arrays and structs are the texts of their parts, maps those of their entries in order of the keys' texts.
+    """
+    kind = T.DataType.fromDDL(kind) if isinstance(kind, str) else kind
+    if isinstance(kind, T.ArrayType):
+        parts = F.transform(value, lambda x: tagged(x, kind.elementType))
+        text = F.concat(F.lit("A"), F.size(value).cast("string"), F.lit("["), F.array_join(parts, ""), F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        entries = F.array_sort(F.transform(F.map_entries(value), lambda e: F.concat(tagged(e["key"], kind.keyType), tagged(e["value"], kind.valueType))))
+        text = F.concat(F.lit("M"), F.size(value).cast("string"), F.lit("{"), F.array_join(entries, ""), F.lit("}"))
+    elif isinstance(kind, T.StructType):
+        text = F.concat(F.lit("C("), *[tagged(value[f.name], f.dataType) for f in kind.fields], F.lit(")"))
+    else:
+        tag = _TAGS.get(type(kind), f"X{kind.simpleString()};")
+        plain = F.hex(value) if isinstance(kind, T.BinaryType) else F.unix_micros(value.cast("timestamp")).cast("string") if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else value.cast("string")
+        text = F.concat(F.lit(tag), F.octet_length(plain).cast("string"), F.lit(":"), plain)
+    return F.when(value.isNull(), F.lit("N;")).otherwise(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmend.functions.columns import BAR
@@ -19,23 +19,85 @@ def sensitive_identifiers(tables: list[tuple[DataFrame, str]], shortest: int = S
     return found.distinct()
 
 
-def redacted(report: DataFrame, key: str, text: str, identifiers: DataFrame, salt: str, token: str = r"[A-Za-z0-9_#.@-]+") -> DataFrame:
-    """report with each token of a text that is a known identifier replaced by redacted: and 12 hex digits.
+def redaction(salt: str, identifier: Column) -> Column:
+    """What stands for an identifier: redacted: and 12 hex digits."""
+    return F.concat(F.lit("redacted:"), F.substring(F.sha2(F.concat(F.lit(salt + BAR), identifier), 256), 1, 12))
 
-    Texts are cut into tokens and gaps, tokens are looked up by an equi-join, and the pieces put together in order, so
-    the number of identifiers is not bounded.
+
+def _wide(text: Column) -> Column:
+    """Four bytes a character, so that any stretch is found by its place."""
+    return F.encode(text, "UTF-32")
+
+
+def _cut(wide: Column, start: Column, stop: Column) -> Column:
+    return F.substring(wide, (start * 4 + 1).cast("int"), ((stop - start) * 4).cast("int"))
+
+
+def _grams(wide: Column, size: int) -> Column:
+    """Hash of the stretch of so many characters at each place."""
+    n = (F.octet_length(wide) / 4).cast("int")
+    return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(_cut(wide, i, i + size)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def redacted(report: DataFrame, text: str, identifiers: DataFrame, salt: str, shortest: int = SHORTEST) -> DataFrame:
+    """report with every occurrence of a known identifier in a text, inside longer words too, replaced by its redaction.
+
+    Of overlapping identifiers the longest is replaced, of equally long ones the first. Null texts stay null, and each row
+    keeps its other columns; the number of identifiers isn't bounded. All identifiers must have `shortest`
+    characters or more.
+
+    Each identifier is looked up by the stretch of `shortest` characters in it that the fewest identifiers share, so
+    that a common beginning makes no candidates. Only hashes of stretches meet in that join; candidates are
+    compared as a whole, once for each distinct text.
+    """
+    known = identifiers.select("identifier", _wide(F.col("identifier")).alias("w")).filter(F.octet_length("w") >= 4 * shortest).distinct()
+    grams = known.select("identifier", F.posexplode(_grams(F.col("w"), shortest)).alias("place", "gram"))
+    rare = grams.join(grams.groupBy("gram").agg(F.countDistinct("identifier").alias("n")), "gram")
+    anchors = rare.groupBy("identifier").agg(F.min(F.struct("n", "place", "gram")).alias("a")).select("identifier", "a.place", "a.gram")
+    texts = report.select(F.col(text).alias("t")).filter(F.length("t") >= shortest).distinct().withColumn("h", F.sha2("t", 256))
+    at = texts.select("h", F.posexplode(_grams(_wide(F.col("t")), shortest)).alias("at", "gram"))
+    near = at.join(anchors, "gram").select("h", (F.col("at") - F.col("place")).alias("start"), "identifier").filter("start >= 0")
+    near = near.groupBy("h").agg(F.collect_list(F.struct("start", "identifier")).alias("near"))
+    stop = lambda m: m["start"] + F.char_length(m["identifier"])
+    real = F.filter("near", lambda m: _cut(F.col("w"), m["start"], stop(m)) == _wide(m["identifier"]))
+    found = texts.join(near, "h").withColumn("w", _wide(F.col("t"))).select("h", F.explode(real).alias("m"))
+    found = found.select("h", "m.start", stop(F.col("m")).alias("stop"), "m.identifier").distinct()
+    # what overlaps, directly or through others, is settled together
+    order = Window.partitionBy("h").orderBy("start", F.desc("stop"), "identifier")
+    found = found.withColumn("reach", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    found = found.withColumn("knot", F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(order))
+    listed = F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("stop")).alias("size"), "start", "stop", "identifier")))
+    free = lambda taken, m: ~F.exists(taken, lambda x: (x["start"] < m["stop"]) & (m["start"] < x["stop"]))
+    kind = "array<struct<size:int,start:int,stop:int,identifier:string>>"
+    kept = F.aggregate(listed, F.array().cast(kind), lambda taken, m: F.when(free(taken, m), F.concat(taken, F.array(m))).otherwise(taken))
+    kept = found.groupBy("h", "knot").agg(kept.alias("kept")).select("h", F.explode("kept").alias("m"))
+    marks = kept.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("m.start", "m.stop", redaction(salt, F.col("m.identifier")).alias("mark")))).alias("marks"))
+    # before each mark what follows the one before it, and the end of the text
+    ends = F.concat(F.array(F.lit(0)), F.transform("marks", lambda m: m["stop"]))
+    pieces = F.transform("marks", lambda m, i: F.concat(F.decode(_cut(F.col("w"), F.get(ends, i), m["start"]), "UTF-32"), m["mark"]))
+    tail = F.decode(_cut(F.col("w"), F.element_at(ends, -1), F.octet_length("w") / 4), "UTF-32")
+    clean = texts.join(marks, "h").withColumn("w", _wide(F.col("t"))).select(F.col("h").alias("_h"), F.concat(F.array_join(pieces, ""), tail).alias("_clean"))
+    whole = report.withColumn("_h", F.sha2(text, 256)).join(clean, "_h", "left")
+    return whole.select(*[F.coalesce("_clean", text).alias(text) if c == text else F.col(c) for c in report.columns])
+
+
+def privacy_scan(report: DataFrame, text: str, identifiers: DataFrame, longest: int = 256) -> DataFrame:
+    """One row: texts that contain a known identifier anywhere (leaks) and the texts scanned, null ones among them.
+
+    Every stretch of a text as long as some identifier is compared with the identifiers of that length as a whole; the
+    lengths, of which there are few, are all that the driver learns. Long texts are cut into blocks that are read
+    with what follows them, so no text is walked through more than once for each length.
     """
-    cut = report.select("*", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"{token}|(?:(?!{token})(?s:.))+"), F.lit(0))).alias("_pos", "_piece"))
-    known = identifiers.select(F.col("identifier").alias("_piece"), F.lit(True).alias("_known"))
-    mark = F.concat(F.lit("redacted:"), F.substring(F.sha2(F.concat(F.lit(salt + BAR), F.col("_piece")), 256), 1, 12))
-    pieces = cut.join(known, "_piece", "left").withColumn("_piece", F.when(F.col("_known"), mark).otherwise(F.col("_piece")))
-    whole = pieces.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_piece"))), lambda p: p["_piece"]), "").alias(text))
-    return report.drop(text).join(whole, key, "left").withColumn(text, F.coalesce(text, F.lit("")))
-
-
-def privacy_scan(report: DataFrame, text: str, identifiers: DataFrame, token: str = r"[A-Za-z0-9_#.@-]+") -> DataFrame:
-    """One row: texts that still hold a known identifier as a token (leaks) and the texts scanned."""
-    rows = report.select(F.monotonically_increasing_id().alias("_row"), F.regexp_extract_all(F.col(text), F.lit(token), F.lit(0)).alias("tokens"))
-    tokens = rows.select("_row", F.explode_outer("tokens").alias("identifier"))
-    found = tokens.join(identifiers.withColumn("_hit", F.lit(1)), "identifier", "left").groupBy("_row").agg(F.max(F.coalesce("_hit", F.lit(0))).alias("hit"))
-    return found.agg(F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("leaks"), F.count("*").alias("scanned"))
+    lengths = sorted(r["n"] for r in identifiers.select(F.char_length("identifier").alias("n")).distinct().collect() if r["n"])
+    texts = report.groupBy(F.col(text).alias("t")).agg(F.count("*").alias("n"))
+    if not lengths:
+        return texts.agg(F.lit(0).cast("long").alias("leaks"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("scanned"))
+    block = max(longest, lengths[-1])
+    blocks = F.regexp_extract_all("t", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    read = texts.filter("t is not null").select(F.sha2("t", 256).alias("h"), blocks.alias("b")).select("h", F.posexplode("b").alias("i", "own"), "b")
+    read = read.select("h", F.concat("own", F.coalesce(F.get("b", F.col("i") + 1), F.lit(""))).alias("own"))
+    every = lambda n: F.transform(F.sequence(F.lit(1), F.length("own") - n + 1), lambda i: F.substring("own", i, F.lit(n)))
+    stretches = F.flatten(F.array(*[F.when(F.length("own") >= n, every(n)).otherwise(F.array().cast("array<string>")) for n in lengths]))
+    leaky = read.select("h", F.explode(stretches).alias("identifier")).join(identifiers.select("identifier"), "identifier", "left_semi").select("h").distinct().withColumn("leak", F.lit(1))
+    told = texts.withColumn("h", F.sha2("t", 256)).join(leaky, "h", "left")
+    return told.agg(F.coalesce(F.sum(F.col("n") * F.col("leak")), F.lit(0)).cast("long").alias("leaks"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("scanned"))

@@ -25,7 +25,7 @@ def resolved(pair: SnapshotPair, side: str, rule: RuleSpec) -> DataFrame:
 def _reduced(pair: SnapshotPair, side: str, rule: RuleSpec, compare: str) -> DataFrame:
     prefix = "old" if side == "old" else "cur"
     wide = lambda c: F.sha2(F.col(c).cast("binary"), 256) if compare == "digest" and c in rule.compared else F.col(c)
-    columns = dict.fromkeys(["parent_key", rule.equal_on, rule.kind, *rule.compared])
+    columns = dict.fromkeys(["parent_key", rule.equal_on, rule.kind, *rule.compared, *rule.authorized])
     return resolved(pair, side, rule).groupBy(rule.identity).agg(F.count("*").alias(f"n_{prefix}"), *[F.first(wide(c)).alias(f"{prefix}_{c}") for c in columns])
 
 
@@ -53,11 +53,15 @@ def _n(condition: Column) -> Column:
     return F.count_if(condition).cast("long")
 
 
-def analysis_counts(classified: DataFrame, rule: RuleSpec) -> DataFrame:
-    """One row with every count of an analysis (sender conflicts and counts by kind are queries of their own)."""
+def analysis_counts(classified: DataFrame, rule: RuleSpec, blocking: DataFrame | None = None) -> DataFrame:
+    """One row with every count of an analysis (sender conflicts and counts by kind are queries of their own).
+
+    blocking: rows of duplicate_naturals. If there are any, an analysis stops before it compares: only rows, missing and
+    repeated identities are counted, all else is 0.
+    """
     of = lambda c: F.col("class") == c
     total = lambda n, c=None: F.coalesce(F.sum(F.when(of(c), F.col(n)) if c else F.col(n)), F.lit(0)).cast("long")
-    return classified.agg(
+    counts = classified.agg(
         total("n_old").alias("old_messages"), total("n_cur").alias("current_messages"),
         total("n_old", "unidentified").alias("null_ids_old"), total("n_cur", "unidentified").alias("null_ids_current"),
         _n(of("duplicated")).alias("duplicate_ids"), _n(of("matched")).alias("matched"), _n(of("old_only")).alias("old_only"), _n(of("current_only")).alias("current_only"),
@@ -67,6 +71,15 @@ def analysis_counts(classified: DataFrame, rule: RuleSpec) -> DataFrame:
         _n(F.col("preserved")).alias("preserved_placeholders"), _n(F.col("unknown")).alias("unknown_differences"),
         _n(null_old_kind(rule)).alias("null_old_type"), _n(F.col("open")).alias("residual_unclassified"),
     )
+    if blocking is None:
+        return counts
+    stop = blocking.agg((F.count("*") > 0).alias("_blocked"))
+    each = [F.col(c) if c in BEFORE_BLOCKERS else F.when(F.col("_blocked"), F.lit(0)).otherwise(F.col(c)).cast("long").alias(c) for c in counts.columns]
+    return counts.join(stop).select(*each)  # two tables of one row each
+
+
+#: counted before blockers stop an analysis
+BEFORE_BLOCKERS = ("old_messages", "current_messages", "null_ids_old", "null_ids_current", "duplicate_ids")
 
 
 def null_old_kind(rule: RuleSpec) -> Column:
@@ -91,7 +104,7 @@ def duplicate_identities(pair: SnapshotPair, rule: RuleSpec) -> DataFrame:
 
 
 def duplicate_naturals(pair: SnapshotPair, rule: RuleSpec) -> DataFrame:
-    """(side, natural key, n) that a dimension holds more than once: these block an analysis."""
+    """(side, natural key, n) that a dimension holds more than once: these block an analysis (analysis_counts, plan_record)."""
     key = rule.parent.natural_key
     one = lambda side: getattr(pair, side)[rule.parent.dimension].filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(F.lit(side).alias("side"), key, "n")
     return one("old").union(one("current"))

@@ -16,8 +16,8 @@ BUCKET = 4096
 
 
 def row_hashes(table: DataFrame, columns: list[str]) -> DataFrame:
-    kinds = dict(table.dtypes)
-    return table.select(F.sha2(F.concat(*[tagged(F.col(c), kinds[c]) for c in columns]), 256).alias("h"))
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return table.select(F.sha2(F.concat(*[tagged(quoted(c), table.schema[c].dataType) for c in columns]), 256).alias("h"))
 
 
 def table_digest(table: DataFrame, columns: list[str] | None = None, bucket: int = BUCKET) -> DataFrame:
@@ -32,16 +32,27 @@ def table_digest(table: DataFrame, columns: list[str] | None = None, bucket: int
     return high.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_rows"), root.alias("digest"))
 
 
-def digests(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, n_rows, digest) of several tables, with columns in order of their names."""
-    found = None
-    for name in sorted(tables):
-        one = table_digest(tables[name], sorted(tables[name].columns)).select(F.lit(name).alias("table_name"), "n_rows", "digest")
-        found = one if found is None else found.union(one)
-    return found
+def table_differences(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, rows_gone, rows_new, same_columns) of the tables of either side, compared as multisets of rows.
+
+    All tables are compared in one shuffle of row hashes, with equal rows counted before it. A table that a side lacks
+    has no rows there and other columns.
+    """
+    names = sorted({*before, *after})
+    spark = next(iter([*before.values(), *after.values()])).sparkSession
+    columns = lambda t: sorted((f.name, f.dataType.simpleString()) for f in t.schema) if t is not None else None
+    rows = None
+    for tables, sign in ((before, -1), (after, 1)):
+        for name in sorted(tables):
+            one = row_hashes(tables[name], sorted(tables[name].columns)).select(F.lit(name).alias("table_name"), "h", F.lit(sign).alias("sign"))
+            rows = one if rows is None else rows.union(one)
+    moved = rows.groupBy("table_name", "h").agg(F.sum("sign").alias("d")).filter("d <> 0").groupBy("table_name")
+    moved = moved.agg(F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("rows_gone"), F.sum(F.greatest(F.col("d"), F.lit(0))).alias("rows_new"))
+    known = spark.createDataFrame([(n, columns(before.get(n)) == columns(after.get(n))) for n in names], "table_name string, same_columns boolean")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return known.join(moved, "table_name", "left").select("table_name", n("rows_gone"), n("rows_new"), "same_columns")
 
 
 def changed_tables(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
     """(table_name, changed) of the tables of either side; one that a side lacks has changed."""
-    one, two = digests(before).withColumnRenamed("digest", "was"), digests(after).withColumnRenamed("digest", "now")
-    return one.select("table_name", "was").join(two.select("table_name", "now"), "table_name", "full_outer").select("table_name", (~F.col("was").eqNullSafe(F.col("now"))).alias("changed"))
+    return table_differences(before, after).select("table_name", ((F.col("rows_gone") + F.col("rows_new") > 0) | ~F.col("same_columns")).alias("changed"))

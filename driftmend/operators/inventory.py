@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmend.functions.columns import differs
+from driftmend.operators.digest import table_digest
+from driftmend.operators.repair import gate
 
 # Bits and lengths of the file records.
 FILE_FLAG = 1
@@ -28,10 +30,10 @@ def file_index_scan(index: DataFrame, domains: tuple[str, ...] = DOMAINS) -> Dat
     return index.filter(F.col("domain").isin(*domains)).groupBy("backup_id", "domain").agg(F.count("*").alias("files"), F.sum("size").cast("long").alias("bytes"))
 
 
-def file_index_lookup(index: DataFrame, domain: str, path_like: str) -> DataFrame:
-    """Records of one domain by path, with the place of their content."""
+def file_index_lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Records at the wanted places (domain, path), in whichever backup, with the place of their content."""
     payload = F.concat(F.substring("file_id", 1, 2), F.lit("/"), F.col("file_id"))
-    return index.filter((F.col("domain") == domain) & F.col("path").endswith(path_like)).select("backup_id", "path", "file_id", payload.alias("payload"), "size")
+    return index.join(wanted.select("domain", "path").distinct(), ["domain", "path"]).select("backup_id", "domain", "path", "file_id", payload.alias("payload"), "size")
 
 
 def file_id_mismatch(index: DataFrame) -> DataFrame:
@@ -136,6 +138,20 @@ def manifest_totals(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
 
 
+def manifest_digest(manifest: DataFrame) -> DataFrame:
+    """One row: files, bytes and the digest of a whole manifest."""
+    whole = table_digest(manifest, ["path", "size", "hash"]).select("digest")
+    return manifest_totals(manifest).join(whole)  # two tables of one row each
+
+
 def source_unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: the number of differences between two manifests, and whether there is none."""
     return manifest_diff(before, after).agg(F.count("*").alias("differences")).withColumn("unchanged", F.col("differences") == 0)
+
+
+def publish_gates(source: DataFrame, later: DataFrame, clone: DataFrame, approved: DataFrame) -> DataFrame:
+    """(gate, observed, expected, passed) of a clone: from manifests of the source before and after it was made, and of the clone as read back."""
+    only = differs_only_at(manifest_diff(source, clone), approved).agg(F.count("*").alias("n"))
+    files = manifest_totals(source).select(F.col("files").alias("before")).join(manifest_totals(clone))  # two tables of one row each
+    found = gate("only approved differences", only, "n").union(gate("source unchanged", source_unchanged(source, later), "differences"))
+    return found.union(gate("files", files, "files", "before"))

@@ -6,7 +6,7 @@ invalidates every later stage that is not pending.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmend.functions.columns import differs
@@ -14,27 +14,34 @@ from driftmend.functions.columns import differs
 STAGES = (0, 1, 2, 3, 4, 5)
 
 
-def stage_states(events: DataFrame, stages: tuple[int, ...] = STAGES) -> DataFrame:
+#: states by letter, and what each event makes of each of them
+_STATES = {"P": "pending", "R": "running", "C": "committed", "F": "failed", "X": "cancelled", "I": "invalidated"}
+_LETTERS = "".join(_STATES)
+_EVENTS = {"begin": "RRRRRR", "commit": "PCCFXI", "fail": "FFFFFF", "cancel": "XXXXXX", "invalidate": "PIIIII"}
+
+
+def _folded(order: str) -> Column:
+    """The effects of some events, or of some blocks of events, one after the other."""
+    return F.aggregate(F.array_sort(F.collect_list(F.struct(order, "effect"))), F.lit(_LETTERS), lambda now, e: F.call_function("translate", now, F.lit(_LETTERS), e["effect"]))
+
+
+def stage_states(events: DataFrame, stages: tuple[int, ...] = STAGES, block: int = 4096) -> DataFrame:
     """(session_id, stage, state): running, committed, failed, cancelled or invalidated; pending stages have no row.
 
-    events: (session_id, seq, stage, kind). A begin is copied to each later stage as an invalidation. Within a
-    (session, stage) windows find, for each event, whether the stage runs when it comes: the last of begin,
-    valid commit, fail, cancel or invalidation before it. A commit's effect needs only the event before it, as a
-    commit that doesn't follow a begin changes nothing.
+    events: (session_id, seq, stage, kind), one for each seq of a session. A begin is copied to each later stage as an
+    invalidation. An event maps each state of its stage to a state, written as six letters, and such maps compose, so
+    the events of a session are first composed in blocks of `block` sequence numbers and then block by block: a
+    session of any length is spread over tasks. Events of unknown kind change nothing.
     """
-    later = F.filter(F.lit(list(stages)), lambda s: s > F.col("stage"))
+    later = F.filter(F.lit(list(stages)).cast("array<int>"), lambda s: s > F.col("stage"))
     hits = events.filter("kind = 'begin'").select("session_id", "seq", F.explode(later).alias("stage"), F.lit("invalidate").alias("kind"))
-    every = events.select("session_id", "seq", F.col("stage").cast("int").alias("stage"), "kind").unionByName(hits.withColumn("stage", F.col("stage").cast("int")))
-    w = Window.partitionBy("session_id", "stage").orderBy("seq")
-    seen = every.withColumn("begun", F.max(F.when(F.col("kind") != "commit", F.struct("seq", "kind"))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    # a commit is valid if the last event that isn't a commit is a begin with no commit since
-    seen = seen.withColumn("prior_commit", F.max(F.when(F.col("kind") == "commit", F.col("seq"))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    valid = (F.col("begun.kind") == "begin") & ~F.coalesce(F.col("prior_commit") > F.col("begun.seq"), F.lit(False))
-    known = seen.withColumn("active", F.max(F.when(F.col("kind").isin("begin", "fail", "cancel"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    told = known.filter((F.col("kind") != "commit") | valid).filter((F.col("kind") != "invalidate") | (F.col("active") == 1))
-    last = told.groupBy("session_id", "stage").agg(F.max_by("kind", "seq").alias("kind"))
-    names = F.create_map(*[F.lit(x) for x in ("begin", "running", "commit", "committed", "fail", "failed", "cancel", "cancelled", "invalidate", "invalidated")])
-    return last.select("session_id", "stage", names[F.col("kind")].alias("state"))
+    every = events.select("session_id", "seq", F.col("stage").cast("int").alias("stage"), "kind").unionByName(hits)
+    effect = F.create_map(*[F.lit(x) for pair in _EVENTS.items() for x in pair])[F.col("kind")]
+    told = every.withColumns({"effect": effect, "block": F.floor(F.col("seq") / block)}).filter("effect is not null")
+    parts = told.groupBy("session_id", "stage", "block").agg(_folded("seq").alias("effect"))
+    whole = parts.groupBy("session_id", "stage").agg(_folded("block").alias("effect"))
+    state = F.create_map(*[F.lit(x) for pair in _STATES.items() for x in pair])[F.substring("effect", 1, 1)]
+    return whole.select("session_id", "stage", state.alias("state")).filter("state <> 'pending'")
 
 
 def interrupted_stages(states: DataFrame) -> DataFrame:

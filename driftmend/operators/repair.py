@@ -45,18 +45,34 @@ def protected_field_changes(current: DataFrame, repaired: DataFrame, rule: RuleS
     return both.select(rule.row_key, F.array_join(changed, ",").alias("changed")).filter("changed <> ''")
 
 
+def _row_sets(current: DataFrame, repaired: DataFrame, rule: RuleSpec) -> DataFrame:
+    """Rows of both sides paired by row key: in_before, in_after, other_id, and touched (a protected column differs)."""
+    pick = lambda t, p: t.select(rule.row_key, F.lit(True).alias(f"{p}_there"), *[F.col(c).alias(f"{p}_{c}") for c in dict.fromkeys([rule.identity, *rule.protected])])
+    both = pick(current, "c").join(pick(repaired, "r"), rule.row_key, "full_outer")
+    touched = F.lit(False)
+    for c in rule.protected:
+        touched = touched | differs(F.col(f"r_{c}"), F.col(f"c_{c}"))
+    there = [F.coalesce(f"{p}_there", F.lit(False)) for p in "cr"]
+    return both.select(there[0].alias("in_before"), there[1].alias("in_after"), differs(F.col(f"r_{rule.identity}"), F.col(f"c_{rule.identity}")).alias("other_id"), touched.alias("touched"))
+
+
+def _row_counts(current: DataFrame, repaired: DataFrame) -> DataFrame:
+    one = current.select(F.lit(1).alias("b"), F.lit(0).alias("a")).union(repaired.select(F.lit(0), F.lit(1)))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return one.agg(n("b").alias("rows_before"), n("a").alias("rows_after"))
+
+
+_UNMATCHED = "not in_after or not in_before or other_id"
+
+
 def row_set_changes(current: DataFrame, repaired: DataFrame, rule: RuleSpec) -> DataFrame:
     """One row: rows before and after, rows unmatched by row key and identity after, by row key before."""
-    one = repaired.select(rule.row_key, F.col(rule.identity).alias("r_id"), F.lit(True).alias("r"))
-    two = current.select(rule.row_key, F.col(rule.identity).alias("c_id"), F.lit(True).alias("c"))
-    both = one.join(two, rule.row_key, "full_outer")
-    lost = F.count_if(F.col("r").isNull()).cast("long")
-    new = F.count_if(F.col("r").isNotNull() & (F.col("c").isNull() | differs(F.col("r_id"), F.col("c_id")))).cast("long")
-    return both.agg(F.count("c").alias("rows_before"), F.count("r").alias("rows_after"), (new + lost).alias("unmatched"))
+    unmatched = _row_sets(current, repaired, rule).agg(F.count_if(F.expr(_UNMATCHED)).cast("long").alias("unmatched"))
+    return _row_counts(current, repaired).join(unmatched)  # two tables of one row each
 
 
 def remaining_candidates(pair: SnapshotPair, repaired: DataFrame, rule: RuleSpec) -> DataFrame:
-    """One row: candidates that a new analysis of the repaired side finds."""
+    """One row: candidates that a new analysis of the repaired main table finds."""
     again = SnapshotPair(pair.old, pair.current | {rule.table: repaired})
     return classify(again, rule).agg(F.count_if(F.col("candidate")).cast("long").alias("remaining"))
 
@@ -71,23 +87,32 @@ def gate(name: str, row: DataFrame, observed: str, expected: str = "0") -> DataF
     return row.select(F.lit(name).alias("gate"), F.expr(observed).cast("long").alias("observed"), F.expr(expected).cast("long").alias("expected")).withColumn("passed", F.col("observed").eqNullSafe(F.col("expected")))
 
 
-def repair_gates(pair: SnapshotPair, repaired: DataFrame, planned: DataFrame, rule: RuleSpec) -> DataFrame:
-    """(gate, observed, expected, passed): all must pass before a repaired table is published."""
-    current = pair.current[rule.table]
-    sets = row_set_changes(current, repaired, rule)
+def _listed(row: DataFrame, gates: dict[str, tuple[str, str]]) -> DataFrame:
+    """A one-row table as (gate, observed, expected)."""
+    each = F.array(*[F.struct(F.lit(k).alias("gate"), F.expr(o).cast("long").alias("observed"), F.expr(e).cast("long").alias("expected")) for k, (o, e) in gates.items()])
+    return row.select(F.explode(each).alias("g")).select("g.*")
+
+
+def repair_gates(pair: SnapshotPair, repaired: dict[str, DataFrame], planned: DataFrame, rule: RuleSpec) -> DataFrame:
+    """(gate, observed, expected, passed): all must pass before a repaired snapshot is published.
+
+    repaired: all tables as written. The gates on rows share one join by row key with the current side, those on
+    identities one classification against the old side; all other tables are compared in one shuffle.
+    """
+    current, after = pair.current[rule.table], repaired[rule.table]
+    rows = _row_sets(current, after, rule).agg(F.count_if(F.expr("in_before and in_after and touched")).alias("touched"), F.count_if(F.expr(_UNMATCHED)).alias("unmatched"))
+    again = classify(SnapshotPair(pair.old, repaired), rule).join(planned.select(rule.identity, F.lit(True).alias("planned")), rule.identity, "full_outer")
+    wrong = sum((differs(F.col(f"cur_{c}"), F.col(f"old_{c}")).cast("long") for c in rule.authorized), F.lit(0))
+    wrong = F.when(F.col("class").eqNullSafe("matched"), wrong).otherwise(F.lit(len(rule.authorized)))
+    ids = again.agg(F.coalesce(F.sum(F.when(F.col("planned"), wrong)), F.lit(0)).alias("mismatches"), F.count_if("candidate").alias("remaining"))
     others = lambda tables: {k: v for k, v in tables.items() if k != rule.table}
-    parts = [
-        gate("repaired fields", repaired_field_mismatches(pair, repaired, planned, rule), "mismatches"),
-        gate("remaining candidates", remaining_candidates(pair, repaired, rule), "remaining"),
-        gate("protected fields", protected_field_changes(current, repaired, rule).agg(F.count("*").alias("n")), "n"),
-        gate("row count", sets, "rows_after", "rows_before"),
-        gate("row set", sets, "unmatched"),
-        gate("unrelated tables", changed_tables(others(pair.current), others(pair.current)).agg(F.count_if("changed").alias("n")), "n"),
-    ]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    return found
+    names = len({*pair.current} ^ {*repaired})
+    found = _listed(ids, {"repaired fields": ("mismatches", "0"), "remaining candidates": ("remaining", "0")})
+    found = found.union(_listed(rows, {"protected fields": ("touched", "0"), "row set": ("unmatched", "0")}))
+    found = found.union(_listed(_row_counts(current, after), {"row count": ("rows_after", "rows_before")}))
+    if others(pair.current) or others(repaired):
+        found = found.union(_listed(changed_tables(others(pair.current), others(repaired)).agg(F.count_if("changed").alias("n")), {"unrelated tables": ("n", "0"), "table set": (f"{names}", "0")}))
+    return found.withColumn("passed", F.col("observed").eqNullSafe(F.col("expected")))
 
 
 def verdict(gates: DataFrame) -> DataFrame:

@@ -41,6 +41,11 @@ class RuleSpec:
     placeholder: int
     required: tuple[tuple[str, tuple[str, ...]], ...]
 
+    @property
+    def statement(self) -> str:
+        """The candidate predicate in words, for plans."""
+        return f"{self.kind} is {self.placeholder} now and was another, {self.parent.natural_key} and {self.equal_on} are as they were"
+
     def candidate(self) -> Column:
         now, was = F.col(f"cur_{self.kind}"), F.col(f"old_{self.kind}")
         return (now == self.placeholder) & was.isNotNull() & (was != self.placeholder) & ~F.col("parent_conflict") & ~F.col("time_conflict")
@@ -58,7 +63,7 @@ class RuleSpec:
 
 MESSAGE_RULE = RuleSpec(
     id="message-placeholder",
-    version="placeholder-restore/2",
+    version="3",
     priority=1,
     table="message",
     identity="msg_id",
@@ -98,13 +103,20 @@ def schema_gaps(columns: DataFrame, snapshots: DataFrame, required: list[tuple[s
 
 
 def rule_selection(pairs: DataFrame, gaps: DataFrame, rules: list[tuple[str, int]]) -> DataFrame:
-    """(pair_id, rule, gaps): the rule of least priority whose needs both snapshots of a pair meet, or null with the number of gaps.
+    """(pair_id, rule, gaps, missing): the rule of least priority whose needs both snapshots of a pair meet.
 
-    pairs: (pair_id, old_id, current_id); rules: (rule, priority) each.
+    Where none is met, rule is null, gaps the number of what is lacking, and missing lists it for each rule as (rule, gaps), with
+    old: or current: before each. pairs: (pair_id, old_id, current_id); rules: (rule, priority) each.
     """
-    each = pairs.select("pair_id", F.explode(F.array("old_id", "current_id")).alias("snapshot_id")).join(gaps, "snapshot_id").groupBy("pair_id", "rule").agg(F.count("*").alias("n"))
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}_id").alias("snapshot_id")) for side in ("old", "current")]))
+    # a snapshot lacks at most what the rules require, so these lists are short
+    each = pairs.select("pair_id", sides.alias("s")).select("pair_id", "s.*").join(gaps, "snapshot_id")
+    each = each.groupBy("pair_id", "rule").agg(F.array_sort(F.collect_list(F.concat_ws(":", "side", "gap"))).alias("lacks"))
     every = pairs.select("pair_id", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(p).alias("priority")) for r, p in rules])).alias("r")).select("pair_id", "r.rule", "r.priority")
-    scored = every.join(each, ["pair_id", "rule"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return scored.groupBy("pair_id").agg(F.min_by("rule", F.when(F.col("n") == 0, F.col("priority"))).alias("rule"), F.sum("n").alias("gaps")).select(
-        "pair_id", "rule", F.when(F.col("rule").isNull(), F.col("gaps")).otherwise(0).cast("long").alias("gaps")
-    )
+    scored = every.join(each, ["pair_id", "rule"], "left").withColumn("n", F.coalesce(F.size("lacks"), F.lit(0)))
+    told = scored.groupBy("pair_id").agg(
+        F.min_by("rule", F.when(F.col("n") == 0, F.col("priority"))).alias("rule"), F.sum("n").alias("gaps"),
+        F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("rule", F.col("lacks").alias("gaps"))))).alias("missing"),
+    )
+    met = F.col("rule").isNotNull()
+    return told.select("pair_id", "rule", F.when(met, F.lit(0)).otherwise(F.col("gaps")).cast("long").alias("gaps"), F.when(met, F.slice("missing", 1, 0)).otherwise(F.col("missing")).alias("missing"))

@@ -59,6 +59,10 @@ bad_msg AS (
 bad_user AS (SELECT user_pk, CASE WHEN user_pk=1007 THEN 'renamed' ELSE user_mid END user_mid FROM cur_user)"""
 )
 
+#: The current side with chats that share a natural key, which blocks an analysis.
+BLOCKED = SNAPSHOTS + """,
+twin_chat AS (SELECT chat_pk, CASE WHEN chat_pk%13=5 THEN 'shared' ELSE chat_mid END chat_mid FROM cur_chat)"""
+
 FILE_INDEX = """
 acct AS (SELECT c_custkey k, c_custkey - c_custkey%2 backup_id,
                 concat('P_u', substring(md5(c_name),1,8)) acct,
@@ -85,6 +89,7 @@ backups AS (SELECT DISTINCT backup_id,
     CASE WHEN backup_id%58=14 THEN 40 ELSE 44 END manifest_key_length,
     CASE WHEN backup_id%6=2 THEN NULL ELSE concat('device-', CAST(backup_id AS STRING)) END info_name,
     concat('locked-', CAST(backup_id AS STRING)) lockdown_name FROM acct),
+wanted AS (SELECT DISTINCT domain, concat('store/', acct, '/messages/media.db') path FROM acct WHERE k%3=1),
 requests AS (SELECT backup_id, CASE WHEN backup_id%10=4 THEN 'P_unknown' ELSE min(acct) END account FROM acct WHERE backup_id%4=2 GROUP BY backup_id)"""
 
 MANIFESTS = """
@@ -92,6 +97,8 @@ source_manifest AS (SELECT concat(source,'/',CAST(doc_id AS STRING)) path, CAST(
 clone_manifest AS (
   SELECT path, size, CASE WHEN doc_id%97=5 THEN sha256(concat(hash,'x')) ELSE hash END hash, doc_id FROM source_manifest WHERE doc_id%89<>3
   UNION ALL SELECT concat(path,'.extra'), size, hash, doc_id FROM source_manifest WHERE doc_id%101=7),
+source_later AS (SELECT path, size + CASE WHEN doc_id%211=8 THEN 1 ELSE 0 END size, CASE WHEN doc_id%193=4 THEN NULL ELSE hash END hash FROM source_manifest WHERE doc_id%499<>6),
+good_clone AS (SELECT path, size, CASE WHEN doc_id%97=5 AND doc_id%89<>3 AND doc_id%2=0 THEN sha256(concat(hash,'x')) ELSE hash END hash FROM source_manifest),
 approved AS (SELECT path FROM source_manifest WHERE doc_id%97=5 AND doc_id%89<>3 AND doc_id%2=0),
 outputs AS (SELECT doc_id%150 session_id, CASE WHEN doc_id%3=0 THEN 0 WHEN doc_id%3=1 THEN 1 ELSE 3 END stage, path, size, hash, doc_id%5=0 sensitive FROM source_manifest)"""
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmend.operators.classify import candidates, classify, duplicate_naturals
 from driftmend.operators.digest import table_digest
-from driftmend.operators.repair import repair, repair_gates, restorable, verdict
+from driftmend.operators.repair import repair, repair_gates, verdict
+from driftmend.plans.plan import input_digests, plan_drift, snapshot_gaps
 from driftmend.plans.rules import RuleSpec
-from driftmend.sources.snapshots import SnapshotPair
+from driftmend.sources.snapshots import SnapshotPair, read_tables
+
+VERIFIED, UNVERIFIED = "verified", "unverified"
 
 
 class GateError(Exception):
@@ -21,40 +25,97 @@ class GateError(Exception):
         self.code = code
 
 
+def _place(spark: SparkSession, path: str):
+    """(file system, path) of a place that Spark can write to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    files, place = _place(spark, source)
+    to = _place(spark, target)[1]
+    files.mkdirs(to.getParent())
+    if not files.rename(place, to):
+        raise GateError("publish_failed", f"{source} can't be moved to {target}")
+
+
 def write_table(table: DataFrame, path: str, overwrite: bool = False, form: str = "parquet") -> None:
     """Write a table; one that is there already is replaced only if that is asked for."""
     table.write.format(form).mode("overwrite" if overwrite else "errorifexists").save(path)
 
 
-def write_audit_publish(table: DataFrame, staging: str, final: str, audit: Callable[[DataFrame], DataFrame], sidecar: dict[str, str] | None = None, overwrite: bool = False) -> DataFrame:
-    """Write to staging, read back, audit, and write the audited files to final; the verdict goes beside them.
+def write_audit_publish(
+    tables: dict[str, DataFrame], main: str, staging: str, final: str, audit: Callable[[dict[str, DataFrame]], DataFrame], plan_id: str | None = None, overwrite: bool = False, keep_unverified: bool = False
+) -> dict[str, DataFrame]:
+    """Write tables to staging, read them back, audit, and move the audited files to final; the tables there.
 
-    Raises GateError, and publishes nothing, if a gate fails.
+    A JSON row beside them, in final.state, has the state, plan_id, the rows and digest of the main table, and the failed
+    gates. If a gate fails nothing is published and GateError raised: staging is dropped, so that a retry starts clean, and
+    staging.state says which gates failed. With keep_unverified the files go to final all the same, as
+    unverified. What final holds already is replaced only with overwrite. Staging and final share a file system.
     """
-    spark = table.sparkSession
-    write_table(table, staging, overwrite)
-    staged = spark.read.parquet(staging)
-    gates = audit(staged)
-    told = verdict(gates).first()
-    if not told["passed"]:
+    spark = tables[main].sparkSession
+    files, place = _place(spark, final)
+    if files.exists(place) and not overwrite:
+        raise GateError("export_conflict", f"{final} is there already")
+    for name, table in tables.items():
+        write_table(table, f"{staging}/{name}", overwrite=True)
+    staged = read_tables(spark, staging, list(tables))
+    told = verdict(audit(staged)).first()
+    state = table_digest(staged[main]).select(
+        F.lit(VERIFIED if told["passed"] else UNVERIFIED).alias("state"), F.lit(plan_id).cast("string").alias("plan_id"), "n_rows", "digest", F.split(F.lit(told["failed"]), ",").alias("failed_gates")
+    )
+    state = state.withColumn("failed_gates", F.filter("failed_gates", lambda g: g != ""))
+    if not told["passed"] and not keep_unverified:
+        write_table(state.coalesce(1), f"{staging}.state", True, "json")
+        _drop(spark, staging)
         raise GateError("gates_failed", told["failed"])
-    write_table(staged, final, overwrite)
-    state = table_digest(spark.read.parquet(final)).select(F.lit("verified").alias("state"), "n_rows", "digest", *[F.lit(v).alias(k) for k, v in (sidecar or {}).items()])
-    write_table(state.coalesce(1), f"{final}.state", overwrite, "json")
-    return spark.read.parquet(final)
+    write_table(state.coalesce(1), f"{final}.state", True, "json")
+    _drop(spark, final)
+    _move(spark, staging, final)
+    return read_tables(spark, final, list(tables))
 
 
-def apply_plan(pair: SnapshotPair, planned: DataFrame, predicted: int, rule: RuleSpec, staging: str, final: str) -> DataFrame:
-    """All or nothing: repair the planned rows and publish, if just the predicted number still qualifies and all gates pass."""
-    hits = restorable(pair, rule, planned).count()
-    if hits != predicted:
-        raise GateError("plan_drift", f"{hits} rows qualify, {predicted} were predicted")
-    return write_audit_publish(repair(pair, rule, planned), staging, final, lambda staged: repair_gates(pair, staged, planned, rule))
+def revalidate(pair: SnapshotPair, plan: DataFrame, planned: DataFrame, rule: RuleSpec) -> str:
+    """The plan's id, if it still holds for the pair as it is now; else GateError.
 
-
-def publish_name(spark_time: str = "current_timestamp()"):
-    """A name for published output, by time."""
-    return F.date_format(F.expr(spark_time), "yyyyMMdd-HHmmss")
+    The status, rule and version, the digests of all inputs, blockers, and the set and number of candidates are checked.
+    planned: the candidates that the plan was made from, which plans don't hold.
+    """
+    row = plan.first()
+    if row["status"] != "actionable":
+        raise GateError("not_actionable", row["status"])
+    if (row["rule"], row["rule_version"]) != (rule.id, rule.version):
+        raise GateError("plan_invalidated", f"made with rule {row['rule']} version {row['rule_version']}")
+    if gaps := snapshot_gaps(pair, rule):
+        raise GateError("plan_invalidated", f"inputs now lack {', '.join(gaps)}")
+    if not duplicate_naturals(pair, rule).isEmpty():
+        raise GateError("plan_invalidated", f"inputs now have repeated {rule.parent.natural_key}")
+    was = {(x["side"], x["table_name"]): x["digest"] for x in row["inputs"]}
+    now = {(x["side"], x["table_name"]): x["digest"] for x in input_digests(pair).collect()}
+    if was != now:
+        raise GateError("plan_invalidated", "inputs changed: " + ", ".join(":".join(k) for k in sorted(was.keys() | now.keys()) if was.get(k) != now.get(k)))
+    found = candidates(classify(pair, rule), rule)
+    if not plan_drift(planned, found, rule).isEmpty() or found.count() != row["predicted"]:
+        raise GateError("plan_drift", f"the candidates aren't the {row['predicted']} that were predicted")
+    return row["plan_id"]
+
+
+def apply_plan(pair: SnapshotPair, plan: DataFrame, planned: DataFrame, rule: RuleSpec, staging: str, final: str, overwrite: bool = False, keep_unverified: bool = False) -> dict[str, DataFrame]:
+    """All or nothing: if the plan still holds, repair the planned rows, and publish all tables if all gates pass."""
+    plan_id = revalidate(pair, plan, planned, rule)
+    tables = pair.current | {rule.table: repair(pair, rule, planned)}
+    return write_audit_publish(tables, rule.table, staging, final, lambda staged: repair_gates(pair, staged, planned, rule), plan_id, overwrite, keep_unverified)
+
+
+def publish_path(spark: SparkSession, folder: str, name: str, at: str = "current_timestamp()") -> str:
+    """A place for published output that its time tells from others: folder/name-yyyyMMdd-HHmmss."""
+    return f"{folder}/{name}-{spark.range(1).select(F.date_format(F.expr(at), 'yyyyMMdd-HHmmss')).first()[0]}"
 
 
 def write_report(report: DataFrame, path: str, columns: tuple[str, ...] = ("section", "metric", "value")) -> None:

@@ -15,7 +15,11 @@ class SnapshotPair:
     current: dict[str, DataFrame]
 
 
-def read_pair(spark: SparkSession, old: str, current: str, tables: list[str], form: str = "parquet") -> SnapshotPair:
-    """A pair from two folders with a file or folder for each table, in any format that Spark reads."""
-    side = lambda root: {t: spark.read.format(form).load(f"{root}/{t}.{form}") for t in tables}
-    return SnapshotPair(side(old), side(current))
+def read_tables(spark: SparkSession, folder: str, tables: list[str], form: str = "parquet", suffix: str = "") -> dict[str, DataFrame]:
+    """Tables by name from a folder with a file or folder for each, in any format that Spark reads."""
+    return {t: spark.read.format(form).load(f"{folder}/{t}{suffix}") for t in tables}
+
+
+def read_pair(spark: SparkSession, old: str, current: str, tables: list[str], form: str = "parquet", suffix: str = "") -> SnapshotPair:
+    """A pair from two folders."""
+    return SnapshotPair(read_tables(spark, old, tables, form, suffix), read_tables(spark, current, tables, form, suffix))

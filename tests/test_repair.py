@@ -1,17 +1,19 @@
 """The golden distribution: 227 candidates, what happens to them, and what stops a repair."""
 
+import dataclasses
 import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from driftmend.operators.classify import analysis_counts, candidates, candidates_by_type, classify, duplicate_naturals, sender_conflicts
+from driftmend.operators.classify import BEFORE_BLOCKERS, analysis_counts, candidates, candidates_by_type, classify, duplicate_naturals, sender_conflicts, unpivoted
 from driftmend.operators.digest import changed_tables, table_digest
+from driftmend.operators.inventory import publish_gates
 from driftmend.operators.repair import repair, repair_gates, verdict
-from driftmend.plans.plan import plan_drift, plan_record
+from driftmend.plans.plan import plan_drift, plan_record, report_metrics, write_plan
 from driftmend.plans.rules import MESSAGE_RULE as RULE
-from driftmend.sources.publish import GateError, apply_plan, write_audit_publish, write_table
-from driftmend.sources.snapshots import SnapshotPair
+from driftmend.sources.publish import GateError, apply_plan, publish_path, write_audit_publish, write_report, write_table
+from driftmend.sources.snapshots import SnapshotPair, read_pair, read_tables
 
 # Fixed values: (old type, rows, of which text differs, of which metadata differs)
 GOLDEN = [(0, 211, 211, 129), (1, 6, 5, 6), (112, 4, 0, 4), (2, 3, 3, 3), (3, 2, 2, 2), (14, 1, 0, 1)]
@@ -36,6 +38,10 @@ def golden(spark, extra_old=(), extra_current=(), chats=(("c1",),)):
     return SnapshotPair({"message": spark.createDataFrame(old + list(extra_old), MESSAGE), **dims(1)}, {"message": spark.createDataFrame(cur + list(extra_current), MESSAGE), **dims(1001)})
 
 
+def planned_record(pair, tmp_path):
+    return write_plan(plan_record(pair, RULE, "salt", F.lit("now")), str(tmp_path / "plan"))
+
+
 def counted(pair, compare="value"):
     return analysis_counts(classify(pair, RULE, compare), RULE).first().asDict()
 
@@ -52,20 +58,42 @@ def test_golden_counts(spark, compare):
 def test_repaired_equals_expected(spark, tmp_path):
     pair = golden(spark)
     planned = candidates(classify(pair, RULE), RULE)
-    done = apply_plan(pair, planned, 227, RULE, str(tmp_path / "staging"), str(tmp_path / "final"))
+    plan = planned_record(pair, tmp_path)
+    done = apply_plan(pair, plan, planned, RULE, str(tmp_path / "staging"), str(tmp_path / "final"))["message"]
+    state = spark.read.json(str(tmp_path / "final.state")).first()
+    assert (state["state"], state["n_rows"], state["failed_gates"], state["plan_id"]) == ("verified", done.count(), [], plan.first()["plan_id"])
+    assert state["digest"] == table_digest(done).first()["digest"] and not (tmp_path / "staging").exists()
+    assert set(read_tables(spark, str(tmp_path / "final"), ["message", "chat", "user"])) == {"message", "chat", "user"}
     was = pair.old["message"].select("msg_id", *[F.col(c).alias(f"o_{c}") for c in RULE.authorized])
     wrong = done.join(was, "msg_id").filter(" or ".join(f"not ({c} <=> o_{c})" for c in RULE.authorized))
     assert wrong.count() == 0
     assert done.filter("content_type = 106").count() == 21
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         write_table(done, str(tmp_path / "final"))
+    with pytest.raises(GateError, match="export_conflict"):
+        apply_plan(pair, plan, planned, RULE, str(tmp_path / "staging"), str(tmp_path / "final"))
+    apply_plan(pair, plan, planned, RULE, str(tmp_path / "staging"), str(tmp_path / "final"), overwrite=True)
 
 
-def test_wrong_prediction_writes_nothing(spark, tmp_path):
+def test_stale_plans_write_nothing(spark, tmp_path):
     pair = golden(spark)
-    with pytest.raises(GateError) as e:
-        apply_plan(pair, candidates(classify(pair, RULE), RULE), 226, RULE, str(tmp_path / "staging"), str(tmp_path / "final"))
-    assert e.value.code == "plan_drift" and not (tmp_path / "staging").exists() and not (tmp_path / "final").exists()
+    planned, plan = candidates(classify(pair, RULE), RULE), planned_record(pair, tmp_path)
+    side = lambda d, name, f: d | {name: f(d[name])}
+    blank = lambda d: d.withColumn("meta", F.lit("x"))
+    twice = pair.current["chat"].union(pair.current["chat"].withColumn("chat_pk", F.col("chat_pk") + 50))
+    stale = [
+        (pair, plan.withColumn("predicted", F.lit(226)), planned, RULE, "plan_drift"),
+        (pair, plan, planned.filter("msg_id <> 'id7'"), RULE, "plan_drift"),
+        (pair, plan.withColumn("status", F.lit("diagnostic_only")), planned, RULE, "not_actionable"),
+        (pair, plan, planned, dataclasses.replace(RULE, version="0"), "plan_invalidated"),
+        (SnapshotPair(side(pair.old, "message", blank), pair.current), plan, planned, RULE, "plan_invalidated"),
+        (SnapshotPair(pair.old, pair.current | {"chat": twice}), plan, planned, RULE, "plan_invalidated"),
+        (SnapshotPair(pair.old, side(pair.current, "user", lambda d: d.drop("user_mid"))), plan, planned, RULE, "plan_invalidated"),
+    ]
+    for given, record, ids, rule, code in stale:
+        with pytest.raises(GateError) as e:
+            apply_plan(given, record, ids, rule, str(tmp_path / "staging"), str(tmp_path / "final"))
+        assert e.value.code == code and not (tmp_path / "staging").exists() and not (tmp_path / "final").exists()
 
 
 def test_drifted_row_is_not_repaired(spark):
@@ -77,25 +105,60 @@ def test_drifted_row_is_not_repaired(spark):
     assert repair(moved, RULE, planned).filter("msg_id = 'id7'").first()["txt"] is None
 
 
+def damaged(name, f):
+    return lambda tables: tables | {name: f(tables[name])}
+
+
+def row(f):
+    return damaged("message", f)
+
+
 @pytest.mark.parametrize(
     ("tamper", "failed"),
     [
-        (lambda d: d.withColumn("thumb", F.when(F.col("msg_id") == "p3", F.lit("z")).otherwise(F.col("thumb"))), "protected fields"),
-        (lambda d: d.withColumn("txt", F.when(F.col("msg_id") == "id9", F.lit("z")).otherwise(F.col("txt"))), "repaired fields"),
-        (lambda d: d.withColumn("content_type", F.when(F.col("msg_id") == "id9", 106).otherwise(F.col("content_type"))), "remaining candidates,repaired fields"),
-        (lambda d: d.filter("msg_id <> 'p3' or msg_id is null"), "row count,row set"),
-        (lambda d: d.withColumn("msg_pk", F.when(F.col("msg_id") == "p3", F.lit(99999)).otherwise(F.col("msg_pk"))), "row set"),
+        (row(lambda d: d.withColumn("thumb", F.when(F.col("msg_id") == "p3", F.lit("z")).otherwise(F.col("thumb")))), "protected fields"),
+        (row(lambda d: d.withColumn("txt", F.when(F.col("msg_id") == "id9", F.lit("z")).otherwise(F.col("txt")))), "repaired fields"),
+        (row(lambda d: d.withColumn("content_type", F.when(F.col("msg_id") == "id9", 106).otherwise(F.col("content_type")))), "remaining candidates,repaired fields"),
+        (row(lambda d: d.filter("msg_id <> 'p3' or msg_id is null")), "row count,row set"),
+        (row(lambda d: d.withColumn("msg_pk", F.when(F.col("msg_id") == "p3", F.lit(99999)).otherwise(F.col("msg_pk")))), "row set"),
+        (row(lambda d: d.union(d.filter("msg_id = 'p3'"))), "row count"),
+        (damaged("user", lambda d: d.withColumn("user_mid", F.when(F.col("user_pk") == 1001, "renamed").otherwise(F.col("user_mid")))), "unrelated tables"),
+        (damaged("chat", lambda d: d.union(d)), "repaired fields,unrelated tables"),
+        (damaged("chat", lambda d: d.withColumnRenamed("chat_mid", "mid").withColumn("chat_mid", F.col("mid"))), "unrelated tables"),
+        (lambda tables: tables | {"more": tables["user"]}, "table set,unrelated tables"),
+        (lambda tables: {k: v for k, v in tables.items() if k != "user"}, "table set,unrelated tables"),
     ],
 )
-def test_each_gate_trips(spark, tmp_path, tamper, failed):
+def test_each_gate_trips(spark, tamper, failed):
     pair = golden(spark)
     planned = candidates(classify(pair, RULE), RULE)
-    good = repair(pair, RULE)
-    assert verdict(repair_gates(pair, good, planned, RULE)).first()["passed"]
+    good = pair.current | {"message": repair(pair, RULE)}
     assert verdict(repair_gates(pair, tamper(good), planned, RULE)).first()["failed"] == failed
+
+
+def test_what_fails_is_not_published(spark, tmp_path):
+    pair = golden(spark)
+    planned = candidates(classify(pair, RULE), RULE)
+    tables = pair.current | {"message": repair(pair, RULE).filter("msg_id <> 'p3' or msg_id is null")}
+    write = lambda **k: write_audit_publish(tables, "message", str(tmp_path / "s"), str(tmp_path / "f"), lambda x: repair_gates(pair, x, planned, RULE), **k)
     with pytest.raises(GateError):
-        write_audit_publish(tamper(good), str(tmp_path / "s"), str(tmp_path / "f"), lambda x: repair_gates(pair, x, planned, RULE))
-    assert not (tmp_path / "f").exists()
+        write()
+    state = spark.read.json(str(tmp_path / "s.state")).first()
+    assert state["state"] == "unverified" and state["failed_gates"] == ["row count", "row set"] and not (tmp_path / "f").exists() and not (tmp_path / "s").exists()
+    write(plan_id="p", keep_unverified=True)
+    state = spark.read.json(str(tmp_path / "f.state")).first()
+    assert (state["state"], state["plan_id"], state["failed_gates"]) == ("unverified", "p", ["row count", "row set"]) and (tmp_path / "f" / "message").exists()
+
+
+def test_publish_gates_trip(spark):
+    rows = [(f"p{i}", i, f"h{i}") for i in range(5)]
+    at = lambda changed, gone=(): spark.createDataFrame([(p, n, "other" if p in changed else h) for p, n, h in rows if p not in gone], "path string, size long, hash string")
+    approved = spark.createDataFrame([("p1",)], "path string")
+    failed = lambda later, clone: verdict(publish_gates(at(()), later, clone, approved)).first()["failed"]
+    assert failed(at(()), at(("p1",))) == ""
+    assert failed(at(("p2",)), at(("p1",))) == "source unchanged"
+    assert failed(at(()), at(("p1", "p2"))) == "only approved differences"
+    assert failed(at(()), at(("p1",), ("p4",))) == "files,only approved differences"
 
 
 def test_conflicts_duplicates_and_nulls(spark):
@@ -108,7 +171,32 @@ def test_conflicts_duplicates_and_nulls(spark):
     assert sender_conflicts(pair, RULE).first()[0] == 1
     fixed = repair(pair, RULE)
     assert fixed.filter("msg_id is null or msg_id in ('dup', 'ts', 'chat', 'nokind')").filter("content_type <> 106").count() == 0
-    assert duplicate_naturals(golden(spark, chats=(("c1",), ("c1",))), RULE).count() == 2
+    blocked = golden(spark, old, cur, (("c1",), ("c1",)))
+    assert duplicate_naturals(blocked, RULE).count() == 2
+    n = analysis_counts(classify(blocked, RULE), RULE, duplicate_naturals(blocked, RULE)).first().asDict()
+    assert (n["null_ids_old"], n["duplicate_ids"], n["old_messages"]) == (1, 1, 255) and not any(v for k, v in n.items() if k not in BEFORE_BLOCKERS)
+    plan = plan_record(blocked, RULE, "s", F.lit("t")).first()
+    assert plan["status"] == "diagnostic_only" and plan["predicted"] == 0 and plan["by_type"] == [] and plan["blockers"] == ["current 1 repeated chat_mid", "old 1 repeated chat_mid"]
+
+
+def test_unsupported_snapshots(spark, tmp_path):
+    pair = golden(spark)
+    odd = SnapshotPair(pair.old | {"message": pair.old["message"].drop("thumb", "ts")}, {k: v for k, v in pair.current.items() if k != "user"})
+    plan = write_plan(plan_record(odd, RULE, "s", F.lit("t")), str(tmp_path)).first()
+    assert plan["status"] == "unsupported" and plan["gaps"] == ["old:message.ts", "old:message.thumb", "current:user (table)"]
+    assert spark.read.json(str(tmp_path / "diagnostics")).first()["gaps"] == plan["gaps"]
+
+
+def test_pairs_and_names(spark, tmp_path):
+    pair = golden(spark)
+    for side in ("old", "current"):
+        for name, table in getattr(pair, side).items():
+            write_table(table, f"{tmp_path}/{side}/{name}")
+    again = read_pair(spark, f"{tmp_path}/old", f"{tmp_path}/current", ["message", "chat", "user"])
+    assert counted(again) == counted(pair)
+    assert publish_path(spark, "x", "clone", "timestamp '2026-01-02 03:04:05'") == "x/clone-20260102-030405"
+    write_report(report_metrics({"analysis": unpivoted(analysis_counts(classify(pair, RULE), RULE))}).withColumn("secret", F.lit("s")), str(tmp_path / "report"))
+    assert set(spark.read.json(str(tmp_path / "report")).columns) == {"section", "metric", "value"}
 
 
 def test_empty_snapshots(spark):
@@ -125,7 +213,11 @@ def test_digests_and_plan_ids(spark):
     assert table_digest(a).first() == table_digest(b).first() != table_digest(a.union(a.limit(1))).first()
     assert table_digest(a, bucket=8).first() == table_digest(b, bucket=8).first()
     assert changed_tables({"x": a}, {"x": b, "y": a}).orderBy("table_name").collect() == [("x", False), ("y", True)]
-    found = candidates(classify(pair, RULE), RULE)
-    inputs = table_digest(a).select(F.lit("old").alias("side"), "digest")
-    ids = [plan_record(analysis_counts(classify(pair, RULE), RULE), candidates_by_type(found), inputs, RULE, salt, F.lit(t)).first() for salt, t in (("s1", "a"), ("s2", "b"))]
-    assert ids[0]["plan_id"] == ids[1]["plan_id"] and ids[0]["salt_id"] != ids[1]["salt_id"] and ids[0]["status"] == "actionable"
+    nested = "array<string>", "map<string,int>", "struct<a:string,b:string>"
+    one = spark.createDataFrame([(["a, b"], {"k": 1, "j": 2}, ("x", None))], f"a {nested[0]}, m {nested[1]}, s {nested[2]}")
+    two = spark.createDataFrame([(["a", "b"], {"j": 2, "k": 1}, ("x", ""))], one.schema)
+    assert [table_digest(one.select(c)).first() == table_digest(two.select(c)).first() for c in "ams"] == [False, True, False]
+    ids = [plan_record(p, RULE, salt, F.lit(t)).first() for p, salt, t in ((pair, "s1", "a"), (SnapshotPair(pair.old, pair.current | {"user": pair.current["user"].repartition(3)}), "s2", "b"))]
+    assert ids[0]["plan_id"] == ids[1]["plan_id"] and ids[0]["salt_id"] != ids[1]["salt_id"] and ids[0]["status"] == "actionable" and ids[0]["predicted"] == 227
+    other = plan_record(SnapshotPair(pair.old, pair.current | {"user": pair.current["user"].limit(1)}), RULE, "s1", F.lit("a")).first()
+    assert other["plan_id"] != ids[0]["plan_id"]

@@ -1,5 +1,8 @@
 """Streams agree with their batch forms; column functions with known values."""
 
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,12 +82,45 @@ def test_wrong_key_restores_nothing(spark):
 
 
 def test_redaction(spark):
-    report = spark.createDataFrame([(1, "of Customer#000000001, and Customer#000000002."), (2, ""), (3, None)], "k long, txt string")
-    names = sensitive_identifiers([(spark.createDataFrame([("Customer#000000001",), ("short",), (None,)], "n string"), "n")])
-    done = redacted(report, "k", "txt", names, "s", token="[A-Za-z0-9_#@-]+")
-    texts = {r["k"]: r["txt"] for r in done.collect()}
-    assert "Customer#000000001" not in texts[1] and "Customer#000000002." in texts[1] and texts[1].startswith("of redacted:") and texts[2] == ""
-    assert privacy_scan(report, "txt", names).first()["leaks"] == 1 and privacy_scan(done, "txt", names).first()["leaks"] == 0
+    """Against plain replacement of the longest identifiers first, and plain containment."""
+    rng = random.Random(41)
+    known = sorted({"".join(rng.choice("ab c😀") for _ in range(rng.randrange(8, 14))) for _ in range(40)} | {"aaaaaaaa", "aaaaaaaaaa", "Customer#000000001", "Customer#000000002", "UNITED KINGDOM"})
+    texts = ["", None, "short", "from UNITED KINGDOM", "dir/xCustomer#000000001abc", "Customer#000000002.Customer#000000001", "z" * 3000 + known[3] + "z" * 3000, "a" * 37]
+    for _ in range(300):
+        texts.append("".join(rng.choice([rng.choice(known), rng.choice("ab c😀"), rng.choice(known)[2:7]]) for _ in range(rng.randrange(0, 12))))
+    rows = [(None if i % 9 == 0 else i // 2, t) for i, t in enumerate(texts)]
+    report = spark.createDataFrame(rows, "k long, txt string")
+    names = sensitive_identifiers([(spark.createDataFrame([(n,) for n in [*known, "short", None]], "n string"), "n")])
+
+    def plain(t):
+        taken = []
+        for name in sorted(known, key=lambda n: -len(n)):
+            places = [m for m in range(len(t)) if t.startswith(name, m)]
+            taken.append((name, places))
+        free, spans = [True] * len(t), []
+        for size in sorted({len(n) for n, _ in taken}, reverse=True):
+            for at, name in sorted((m, n) for n, ms in taken if len(n) == size for m in ms):
+                if all(free[at : at + size]):
+                    free[at : at + size] = [False] * size
+                    spans.append((at, size, name))
+        for at, size, name in sorted(spans, reverse=True):
+            t = t[:at] + "redacted:" + hashlib.sha256(f"s|{name}".encode()).hexdigest()[:12] + t[at + size :]
+        return t
+
+    done = redacted(report, "txt", names, "s")
+    assert sorted(map(repr, [tuple(r) for r in done.collect()])) == sorted(map(repr, [(k, t if t is None else plain(t)) for k, t in rows]))
+    assert privacy_scan(report, "txt", names).first()["leaks"] == sum(t is not None and any(n in t for n in known) for _, t in rows)
+    assert tuple(privacy_scan(done, "txt", names).first()) == (0, len(rows)) and tuple(privacy_scan(report, "txt", names.limit(0)).first()) == (0, len(rows))
+
+
+def test_a_long_session(spark):
+    """One session over many blocks."""
+    rng = random.Random(42)
+    rows = [(1, i, rng.randrange(6), rng.choice(["begin", "commit", "commit", "fail", "cancel"])) for i in range(5000)]
+    events = spark.createDataFrame(rows, "session_id long, seq long, stage int, kind string")
+    for n in (1, 50, 4000):
+        part = events.filter(F.col("seq") < n)
+        assert {tuple(r) for r in stage_states(part, block=64).collect()} == plain_fold(rows[:n])
 
 
 def test_directories(spark, tmp_path):
