@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FALLBACK: list[str] = []
+
+_OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir, which all machines share.
+
+    Where that is unset, one of its own if Spark runs in one local process, as in tests; on a cluster that's an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not _FALLBACK:
-        _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="driftmend-"))
-    return _FALLBACK[0]
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="driftmend-"))
+    return _OWN[0]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     This cuts the lineage with files that every executor sees, so a lost executor costs only its
-    running tasks.
+    running tasks. The files stay as long as results that read them may be asked for.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -33,6 +42,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(make: Callable, *key):
+    """What a Python worker keeps from task to task: make(*key), for one key at a time.
+
+    Workers outlive stages, so a worker that goes on to another operator lets go of what the last one kept.
+    """
+    if (make, *key) not in _HELD:
+        _HELD.clear()
+        _HELD[make, *key] = make(*key)
+    return _HELD[make, *key]
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which turns batches into batches in a Python worker, with unused memory given back after each of them."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+
+    return lean
+
+
 def _offsets(table: DataFrame, sizes: Column) -> DataFrame:
     """One row per partition number _p (never more than shuffle partitions) with what precedes it."""
     spark = table.sparkSession

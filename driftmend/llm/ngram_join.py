@@ -1,13 +1,17 @@
 """N-gram Jaccard join with a MinHash LSH forest.
 
 Documents are sets of hashed word 5-grams; two are linked if their Jaccard similarity is 0.8 or more. Equal
-sets are collapsed first. A forest of TREES sorted prefix tries over MinHash signatures finds candidates:
-prefixes are shortened from DEPTH to the longest length at which a pair of just the threshold still meets in
-some tree with the target recall (least_depth). On the way down to shorter prefixes each trie node is
-compared through its head only, so a node of any size gives as many candidates as it has members; what
-is verified is merged into components. The best-linked member of each node is then compared with those that it
-isn't connected with, and last, in blocks, whatever members of a node still are not in one component. Every
-candidate is verified on the whole sets.
+sets are collapsed first, by two 64-bit identities, and numbered. Of each set TREES labels of DEPTH MinHash
+values are put into one sorted order, tree by tree: what lies next to each other shares the longest prefix, and
+the sets with a common prefix, a node of the tree's trie, are one run of that order.
+
+A set's prefix is shortened from DEPTH as far as it takes: to the longest length at which a pair of just the threshold
+still meets in some tree with the target recall (least_depth), and beyond it, down to SHORTEST, for as long as no
+more than FEW sets share it, which costs little where documents are rare and finds what the target may still
+miss. On the way each set is compared with the head of the longest run that it doesn't lead itself, so a node
+of any size gives as many candidates as it has members; what is verified is merged into components. The best-linked
+member of each node of the target's length is then compared with those that it isn't connected with, and last, in
+blocks, whatever members of a node still are not in one component. Every candidate is verified on the whole sets.
 
 Links are counted without listing the pairs of a component. Jaccard distance is a metric: with the distances
 of two members to their component's pivot, many pairs are links for certain and are counted from a
@@ -25,12 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmend.llm.common import null_safe, written
+from driftmend.llm.common import frugal, global_rank, null_safe, range_sorted, written
 from driftmend.llm.words import mix, slices, word_hashes
 
 WORDS, THRESHOLD, RECALL, TREES, DEPTH = 5, 0.8, 0.999, 20, 7
 SCALE, BAND, MEMBERS = 1000, 50, 256  # steps of distance; steps in a band of blocks; members of a block
 HUBS = 3  # rounds of comparing with the best-linked member of a node
+FEW, SHORTEST = 4, 3  # sets that may share a prefix shorter than the target needs; the shortest such prefix
+STRETCH = 1 << 19  # rows of the sorted order that are looked at together
 
 
 def least_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -82,54 +88,175 @@ def set_ids(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(_sums(mix(h, 101), starts), 103), mix(_sums(mix(h, 102), starts), 104)
 
 
-def prefix_keys(h: np.ndarray, starts: np.ndarray, trees: int, depths: list[int]) -> np.ndarray:
-    """For each set a key per depth and tree: equal keys are equal signature prefixes of that tree."""
-    out = np.zeros((len(starts) - 1, len(depths), trees), np.uint64)
+def labels(h: np.ndarray, starts: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """For each set and tree the label: depth MinHash values of 16 bits."""
+    out = np.zeros((len(starts) - 1, trees, depth), np.uint16)
     full = np.flatnonzero(np.diff(starts) > 0)
     if not len(full):
         return out
     first = starts[:-1][full]
     with np.errstate(over="ignore"):
         for tree in range(trees):
-            key = np.full(len(full), tree + 1, np.uint64)
-            for d in range(max(depths)):
+            for d in range(depth):
                 seed = np.uint64((0xD1342543DE82EF95 * (2 * (tree * 64 + d) + 1)) & 0xFFFFFFFFFFFFFFFF)
                 v = (h ^ (seed >> np.uint64(7))) * (seed | np.uint64(1))
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + (np.minimum.reduceat(v ^ (v >> np.uint64(32)), first)), d)
-                if d + 1 in depths:
-                    out[full, depths.index(d + 1), tree] = key
+                out[full, tree, d] = (mix(np.minimum.reduceat(v ^ (v >> np.uint64(32)), first), d) >> np.uint64(48)).astype(np.uint16)
     return out
 
 
-def _light(docs: DataFrame, words: int, trees: int, depths: list[int]) -> DataFrame:
-    """Of each row: doc_id, its set (id, id2, n) and its prefix keys by depth."""
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+def _light(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
+    """Of each row: doc_id, hash of its text, its set (id1, id2, n) and labels, one after the other."""
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, chars=2_000_000):
                 h, starts = shingles(part.column("text"), words)
                 a, b = set_ids(h, starts)
-                keys = prefix_keys(h, starts, trees, depths)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) * trees + 1, trees, dtype=np.int32)), pa.array(keys[:, i, :].ravel().view(np.int64))) for i in range(len(depths))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.diff(starts)), *lists], names=["doc_id", "id", "id2", "n", *(f"k{d}" for d in depths)])
+                flat = labels(h, starts, trees, depth).astype(">u2").tobytes()
+                size = trees * depth * 2
+                found = pa.array([flat[k : k + size] for k in range(0, len(flat), size)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.diff(starts)), found], names=["doc_id", "h", "id1", "id2", "n", "labels"])
+
+    return slim.mapInArrow(frugal(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, h long, id1 long, id2 long, n long, labels binary")
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], depth: int, most: int) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray]]:
+    """((partition, place of the first), ids, tree and label) of the unbroken stretches of the sorted order, at most `most` rows each."""
+    held: list[tuple] = []
+    key = (-1, -1)
+    for batch in batches:
+        p, i, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_p", "_i", "id"))
+        text = b"".join(batch.column("label").to_pylist())
+        rows = np.column_stack([batch.column("tree").to_numpy(zero_copy_only=False).astype(np.int32), np.frombuffer(text, ">u2").reshape(-1, depth).astype(np.int32)])
+        new = np.ones(len(p), bool)
+        new[1:] = (p[1:] != p[:-1]) | (i[1:] != i[:-1] + 1)
+        new |= i % most == 0
+        if held and len(p):
+            new[0] = p[0] != key[0] or i[0] != key[1] + sum(len(x[0]) for x in held) or i[0] % most == 0
+        cuts = np.append(np.flatnonzero(new), len(p))
+        if held and len(p) and not new[0]:
+            held.append((ids[: cuts[0]], rows[: cuts[0]]))
+        for a, b in zip(cuts, cuts[1:]):
+            if held:
+                yield key, *(np.concatenate(x) for x in zip(*held))
+            key, held = (int(p[a]), int(i[a])), [(ids[a:b], rows[a:b])]
+    if held:
+        yield key, *(np.concatenate(x) for x in zip(*held))
+
+
+def _shared(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Values that two labels share from the first on; -1 in different trees."""
+    return np.cumprod(one == two, axis=1).sum(1) - 1
+
+
+class _Runs:
+    """The runs with a common prefix of some length in a stretch: of each row its run's number; size and least id of each run."""
+
+    def __init__(self, ids: np.ndarray, shared: np.ndarray, length: int):
+        begin = np.concatenate([[True], shared < length])
+        first = np.flatnonzero(begin)
+        self.of = np.cumsum(begin) - 1
+        self.size, self.head = np.diff(np.append(first, len(ids))), np.minimum.reduceat(ids, first)
+
+
+def _ends(depth: int, least: int, most: int):
+    """Of each stretch: its ends, and the runs there."""
+    lengths = range(min(SHORTEST, least), depth + 1)
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, id long, id2 long, n long, " + ", ".join(f"k{d} array<long>" for d in depths))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for (p, i), ids, rows in _stretches(batches, depth, most):
+            shared = _shared(rows[1:], rows[:-1])
+            runs = [_Runs(ids, shared, d) for d in lengths]
+            out.append((p, i, len(ids), rows[0].tolist(), rows[-1].tolist(), *([int(getattr(r, what)[k]) for r in runs] for k in (0, -1) for what in ("size", "head"))))
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 6
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["p", "i", "n", "first", "last", "first_size", "first_head", "last_size", "last_head"])
+
+    return run
+
+
+def _joined_ends(ends: list, lengths: int, shortest: int) -> dict[tuple[int, int], list[list[int]]]:
+    """(partition, place) of each stretch to its first and last runs' sizes and heads, across all stretches that they go on in."""
+    if not ends:
+        return {}
+    ends = sorted(ends, key=lambda e: (e["p"], e["i"]))
+    found = {(e["p"], e["i"]): [list(e[c]) for c in ("first_size", "first_head", "last_size", "last_head")] for e in ends}
+    firsts, lasts = (np.array([e[c] for e in ends], np.int64).reshape(len(ends), -1) for c in ("first", "last"))
+    shared = _shared(firsts[1:], lasts[:-1]) if len(ends) > 1 else np.empty(0, np.int64)
+    for k in range(lengths):
+        at = 0
+        while at < len(ends):
+            to = at  # the run at the end of stretch `at` goes on up to stretch `to`
+            while to + 1 < len(ends) and shared[to] >= shortest + k and (to == at or ends[to]["first_size"][k] == ends[to]["n"]):
+                to += 1
+            if to > at:
+                parts = [(ends[at]["last_size"][k], ends[at]["last_head"][k]), *((e["first_size"][k], e["first_head"][k]) for e in ends[at + 1 : to + 1])]
+                size, head = sum(s for s, _ in parts), min(h for _, h in parts)
+                for e in ends[at : to + 1]:
+                    own = found[e["p"], e["i"]]
+                    if e is not ends[at] or e["first_size"][k] == e["n"]:
+                        own[0][k], own[1][k] = size, head
+                    if e is not ends[to] or e["first_size"][k] == e["n"]:
+                        own[2][k], own[3][k] = size, head
+            at = max(to, at + 1)
+    return found
+
+
+def _forest(sets: DataFrame, trees: int, depth: int, least: int, most: int = STRETCH) -> DataFrame:
+    """(id, k, head): for each set in each tree its node k of the target's prefix, if others share it, and the set to compare it with."""
+    spark = sets.sparkSession
+    parts = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("labels", t * (2 * depth) + 1, F.lit(2 * depth)))
+    order = written(range_sorted(sets.select("id", F.posexplode(parts).alias("tree", "label")), ["tree", "label", "id"]), "join-forest")
+    shortest = min(SHORTEST, least)
+    # a row for each stretch of the order reaches the driver
+    ends = order.mapInArrow(_ends(depth, least, most), "p long, i long, n long, " + ", ".join(f"{c} array<long>" for c in ("first", "last", "first_size", "first_head", "last_size", "last_head"))).collect()
+    known = spark.sparkContext.broadcast(_joined_ends(ends, depth + 1 - shortest, shortest))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids, rows in _stretches(batches, depth, most):
+            if key not in known.value:
+                raise ValueError("the sorted order was split otherwise when it was read again")
+            ends = known.value[key]
+            shared = _shared(rows[1:], rows[:-1])
+            to, size_above = np.full(len(ids), -1, np.int64), None
+            for d in range(depth, shortest - 1, -1):
+                runs, k = _Runs(ids, shared, d), d - shortest
+                runs.size[0], runs.head[0] = ends[0][k], ends[1][k]
+                runs.size[-1], runs.head[-1] = ends[2][k], ends[3][k]
+                head, size = runs.head[runs.of], runs.size[runs.of]
+                here = (to < 0) & (head != ids)
+                if d < least:
+                    here &= size <= FEW
+                to[here] = head[here]
+                if d == least:
+                    size_above = size
+            node = rows[:, 0].astype(np.uint64) + np.uint64(1)
+            with np.errstate(over="ignore"):
+                for d in range(1, least + 1):
+                    node = mix(node * np.uint64(0x9E3779B97F4A7C15) + rows[:, d].astype(np.uint64), d)
+            keep = (size_above > 1) | (to >= 0)
+            out = [pa.array(ids[keep]), pa.array(node[keep].view(np.int64), mask=size_above[keep] < 2), pa.array(to[keep], mask=to[keep] < 0)]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "k", "head"])
+
+    return order.mapInArrow(frugal(run), "id long, k long, head long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """id and its sorted n-grams, for the sets in wanted (doc_id of one document with it, id)."""
-    texts = null_safe(docs.select("doc_id", F.col("text").cast("string").alias("text")), wanted, ["doc_id"], "inner").select("id", "text")
+    """id and its sorted n-grams, for the sets in wanted (doc_id and text hash h of one document with it, id1, id2, id)."""
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    texts = null_safe(texts, wanted, ["doc_id", "h"], "inner").select("id", "id1", "id2", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 h, starts = shingles(part.column("text"), words)
-                got = set_ids(h, starts)[0].view(np.int64) == part.column("id").to_numpy()
+                one, two = (x.view(np.int64) for x in set_ids(h, starts))
+                got = (one == part.column("id1").to_numpy()) & (two == part.column("id2").to_numpy())
                 grams = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), grams], names=["id", "grams"]).filter(pa.array(got))
 
-    return texts.mapInArrow(run, "id long, grams array<long>").dropDuplicates(["id"])
+    return texts.mapInArrow(frugal(run), "id long, grams array<long>").dropDuplicates(["id"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -298,28 +425,20 @@ def join_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     gives no rows; other columns are ignored.
     """
     least = least_depth(threshold, recall, trees, depth)
-    depths = sorted({depth, (depth + least) // 2, least}, reverse=True)
-    light = written(_light(docs, words, trees, depths), "join-light")
-    sets = light.filter("n > 0").groupBy("id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"), *[F.first(f"k{d}").alias(f"k{d}") for d in depths])
-    sets = written(sets, "join-sets")
-
-    keys = sets.select("id", F.explode(F.arrays_zip(*[f"k{d}" for d in depths])).alias("k")).select("id", *[F.col(f"k.k{d}").alias(f"k{d}") for d in depths])
-    full = keys.groupBy(f"k{least}").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    nodes = written(keys.join(full, f"k{least}"), "join-nodes")
-    edges, heads = None, nodes.select("id", *[f"k{d}" for d in depths])
-    for d in depths:
-        head = written(heads.groupBy(f"k{d}").agg(F.min("id").alias("head")), f"join-heads{d}")
-        found = heads.join(head, f"k{d}")
-        step = found.filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-        edges = step if edges is None else edges.union(step)
-        heads = found.filter("id = head").drop("head").distinct()
-    edges = written(edges.distinct(), "join-candidates")
-
-    wanted = nodes.select("id").distinct().join(sets.select("id", "doc"), "id").select(F.col("doc").alias("doc_id"), "id")
+    light = written(_light(docs, words, trees, depth), "join-light")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "h"))
+    sets = light.filter("n > 0").groupBy("id1", "id2").agg(F.count("*").alias("copies"), first.alias("f"), F.first("labels").alias("labels"))
+    sets = sets.select("id1", "id2", "copies", F.col("f.doc_id").alias("doc"), F.col("f.h").alias("h"), "labels")
+    sets = global_rank(sets, ["id1", "id2"], "id", "join-sets")
+
+    nodes = written(_forest(sets, trees, depth, least), "join-nodes")
+    edges = written(nodes.filter("head is not null").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "join-candidates")
+    met = nodes.select("id").union(nodes.filter("head is not null").select("head")).distinct()
+    wanted = sets.select("id", "id1", "id2", F.col("doc").alias("doc_id"), "h").join(met, "id", "left_semi")
     grams = written(_sets(docs, wanted, words), "join-grams")
     good = written(_verified(edges, grams, threshold), "join-good")
     labels = components(good)
-    nodes = nodes.select("id", F.col(f"k{least}").alias("k"))
+    nodes = nodes.filter("k is not null").select("id", "k")
     for _ in range(HUBS):
         # the member with the most links, often what the others were copied from, is compared with those not in its component
         named = _named(nodes, labels).join(_degrees(good), "id", "left")
@@ -340,12 +459,12 @@ def join_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     members = labels.join(sets.select("id", "copies"), "id")
     pivots = labels.join(_degrees(good), "id").groupBy("component").agg(F.max(F.struct("degree", "id")).alias("p")).select("component", F.col("p.id").alias("pivot_id"))
     links = _links(members, written(pivots, "join-pivots"), grams, threshold)
-    each = sets.select("id", "copies", "doc").join(labels, "id", "left").join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    each = written(each.select("id", "doc", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "join-each")
+    each = sets.select("id", "id1", "id2", "copies", "doc").join(labels, "id", "left").join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    each = written(each.select("id1", "id2", "doc", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "join-each")
     classes = written(each.groupBy("component").agg(F.min("doc").alias("class_id")), "join-classes")
-    told = written(each.join(classes, "component").select("id", F.col("doc").alias("copy_id"), "class_id", "n_links"), "join-told")
+    told = written(each.join(classes, "component").select("id1", "id2", F.col("doc").alias("copy_id"), "class_id", "n_links"), "join-told")
     return (
-        light.select("doc_id", "id", (F.col("n") > 0).alias("full"))
-        .join(told, "id", "left")
+        light.select("doc_id", "id1", "id2", (F.col("n") > 0).alias("full"))
+        .join(told, ["id1", "id2"], "left")
         .select("doc_id", *[F.when(F.col("full"), F.col(c)).otherwise(F.col("doc_id")).alias(c) for c in ("copy_id", "class_id")], F.when(F.col("full"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
     )
