@@ -1,11 +1,14 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
 A document's ids, with an end id, are cut at the sequence length; whole pieces are sequences of their own.
-The remainders, cut once more where longer than `piece`, are dealt by hash of their document into groups of
-bounded size, and each group is divided into as few windows as hold it: every piece starts as a partial
-partition with one filled window, and the two partial partitions that are most uneven are merged again and
-again, fullest windows onto emptiest, so that imbalances cancel. If the fullest window of the result exceeds the
-capacity, the window count rises and the group is divided anew.
+The remainders, cut once more where longer than `piece`, are dealt by hash into groups of bounded size, and each
+group is divided into as few windows as hold it: every piece starts as a partial partition with one filled
+window, and the two partial partitions that are most uneven are merged again and again, fullest windows onto
+emptiest, so that imbalances cancel. If the fullest window of the result exceeds the capacity, the window count
+rises and the group is divided anew.
+
+Pieces that are alike in all columns are counted first and dealt as copy 1, 2, ..., so a row that is repeated without end
+spreads over all groups, and a rerun deals the same.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmend.llm.common import written
+from driftmend.llm.common import frugal, written
 from driftmend.llm.tokens import piece_tokenizer
 from driftmend.llm.words import slices
 
@@ -95,7 +98,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, piece: int = PIECE,
                 yield pa.RecordBatch.from_arrays([*out, pa.array(data, pa.binary())] if with_ids else out, names=[*names, "ids"] if with_ids else names)
 
     schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(frugal(run), schema)
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, piece: int = PIECE, group: int = GROUP, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -104,27 +107,29 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, piece: int = PIECE, g
     Null and empty texts have the end id alone. Rows that repeat each other are packed as documents of
     their own, and every id of every row lies in exactly one piece. sequence_id is unique, not dense. An
     empty table gives no rows; other columns are ignored. A sequence is padded to `length`, unless
-    its size is a power of two.
+    its size is a power of two. Reruns give the same rows.
     """
     cut = written(pieces(docs, path, length, piece, end, with_ids), "pack-pieces")
-    groups = max(1, -(-cut.filter(F.col("length") < length).count() // group))
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    names = cut.columns
+    whole = F.col("length") == length
+    n = cut.groupBy(whole.alias("whole")).agg(F.count("*").alias("n")).collect()
+    groups = {w: max(1, -(-sum(r["n"] for r in n if r["whole"] == w) // group)) for w in (False, True)}
+    alike = cut.groupBy(*names).agg(F.count("*").alias("_n"))
+    each = alike.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    place = F.xxhash64(*names, "_copy")
+    dealt = each.withColumn("group", F.when(whole, F.pmod(place, F.lit(groups[True])) + groups[False]).otherwise(F.pmod(place, F.lit(groups[False])))).withColumn("place", place).drop("_n", "_copy")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
 
     def divide(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.reset_index(drop=True)
+        rows = rows.sort_values(["place", "start"], kind="stable", ignore_index=True)
         sizes = rows["length"].to_numpy()
-        small = np.flatnonzero(sizes < length).tolist()
-        sequence, offset = np.empty(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        whole = np.flatnonzero(sizes >= length)
-        sequence[whole] = np.arange(len(whole))
-        if small:
-            for w, members in enumerate(windows_for([int(sizes[i]) for i in small], length)):
-                at = [small[m] for m in members]
-                sequence[at] = len(whole) + w
-                offset[at] = np.concatenate([[0], np.cumsum(sizes[at])[:-1]])
+        sequence, offset = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+        if sizes[0] < length:
+            for w, members in enumerate(windows_for(sizes.tolist(), length)):
+                sequence[members] = w
+                offset[members] = np.concatenate([[0], np.cumsum(sizes[members])[:-1]])
         first = int(rows["group"].iloc[0]) << 32
-        return rows.drop(columns="group").assign(sequence_id=sequence + first, offset=offset)
+        return rows.drop(columns=["group", "place"]).assign(sequence_id=sequence + first, offset=offset)
 
     return dealt.groupBy("group").applyInPandas(divide, schema)
 
