@@ -5,9 +5,11 @@ parsed against it greedily: each phrase is the longest match from where the last
 automaton's language parses into fewer, longer phrases, and the language whose phrases cost the fewest bits
 (phrases times log2 of the sample's length) wins.
 
-Letters are lower-cased, and runs of other characters count as one space. Texts are parsed in blocks of
-BLOCK characters, each from the root, so that the blocks of many texts advance side by side; every character of
-a text is parsed. The automaton with its restarts is one table: next state and whether a phrase begins.
+Letters are lower-cased, and runs of other characters count as one space. Every letter met in the samples is told
+from all others. Texts are parsed in blocks of BLOCK characters, each from the root, so that the blocks of many
+texts advance side by side; every character of a text is parsed. The automaton with its restarts is one table,
+next state and whether a phrase begins, with a column for each of the DENSE commonest letters; moves by other letters,
+of which a state has few, lie in one sorted list.
 """
 
 from __future__ import annotations
@@ -21,7 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftmend.llm.common import held
+
 CHARS, ROWS, BLOCK = 12_000, 64, 512  # sampled characters and rows per language at most; block
+DENSE = 60  # letters with a column of their own
 UNKNOWN = "und"
 _SOFT = 8.0  # bits by which a language must trail to weigh half as much in the score
 
@@ -34,14 +39,23 @@ def _letters() -> np.ndarray:
 @dataclass(frozen=True)
 class Model:
     langs: tuple[str, ...]
-    alphabet: str  # letters with a class of their own, from 2; 0 is any other character, 1 any other letter
+    alphabet: str  # letters by falling count, numbered from 2; 0 is any other character, 1 any other letter
     sizes: tuple[int, ...]
     roots: np.ndarray  # place in the table of each language's root
-    table: np.ndarray  # at state + class: 2 * next state + (1 if a phrase begins)
+    table: np.ndarray  # at state + column: 2 * next state + (1 if a phrase begins)
+    keys: np.ndarray  # state * classes + letter of each move by a letter without a column, sorted
+    moves: np.ndarray  # what the table would hold there
+    begins: np.ndarray  # a row for each language: what it would hold where no move continues
 
     @property
     def width(self) -> int:
-        return len(self.alphabet) + 2
+        return min(len(self.alphabet), DENSE) + 2
+
+    def rare(self, at: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The table for letters without a column: at has a row for each language."""
+        wanted = at.astype(np.int64) * self.begins.shape[1] + letters
+        place = np.minimum(np.searchsorted(self.keys, wanted), max(len(self.keys) - 1, 0))
+        return np.where(self.keys[place] == wanted, self.moves[place], self.begins[:, letters])
 
 
 def classes(text: str, alphabet: str) -> np.ndarray:
@@ -52,7 +66,7 @@ def classes(text: str, alphabet: str) -> np.ndarray:
 
 @functools.lru_cache(4)
 def _class_table(alphabet: str) -> np.ndarray:
-    table = _letters().astype(np.uint8)
+    table = _letters().astype(np.uint8 if len(alphabet) < 250 else np.uint32)
     table[[ord(c) for c in alphabet]] = np.arange(2, len(alphabet) + 2)
     return table
 
@@ -93,7 +107,7 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-def build(samples: dict[str, list[str]], letters: int = 60) -> Model:
+def build(samples: dict[str, list[str]]) -> Model:
     """A model of the sample texts of each language."""
     counts: dict[str, int] = {}
     for texts in samples.values():
@@ -101,24 +115,37 @@ def build(samples: dict[str, list[str]], letters: int = 60) -> Model:
             for c in t.lower():
                 if c.isalpha() and len(c) == 1:
                     counts[c] = counts.get(c, 0) + 1
-    alphabet = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:letters]))
-    width = len(alphabet) + 2
-    tables, roots, sizes, base = [], [], [], 0
+    alphabet = "".join(sorted(counts, key=lambda c: (-counts[c], c)))
+    every, width = len(alphabet) + 2, min(len(alphabet), DENSE) + 2
+    tables, roots, sizes, base, begins, rare = [], [], [], 0, [], {}
     for lang in sorted(samples):
-        symbols = np.concatenate([np.zeros(1, np.uint8), *(np.append(classes(t, alphabet), 0) for t in samples[lang])])
-        symbols = _collapsed(np.concatenate([[1], symbols]).astype(np.uint8))[1:]
+        symbols = np.concatenate([np.zeros(1, np.int64), *(np.append(classes(t, alphabet), 0) for t in samples[lang])])
+        symbols = _collapsed(np.concatenate([[1], symbols]).astype(np.int64))[1:]
         moves = automaton(symbols.tolist())
-        table = np.empty((len(moves), width), np.int64)
-        for c in range(width):
-            table[:, c] = 2 * (base + width * moves[0].get(c, 0)) + 1  # else c begins a phrase
+        restart = np.full(every, 2 * base + 1, np.int64)  # where no move continues, c begins a phrase
+        for c, t in moves[0].items():
+            restart[c] = 2 * (base + width * t) + 1
+        table = np.repeat(restart[None, :width], len(moves), 0)
         for s, m in enumerate(moves):
             for c, t in m.items():
-                table[s, c] = 2 * (base + width * t) + (s == 0)  # at the root each character begins a phrase
+                to = 2 * (base + width * t) + (s == 0)  # at the root each character begins a phrase
+                if c < width:
+                    table[s, c] = to
+                else:
+                    rare[(base + width * s) * every + c] = to
         tables.append(table.ravel())
+        begins.append(restart)
         roots.append(base)
         sizes.append(len(symbols))
         base += table.size
-    return Model(tuple(sorted(samples)), alphabet, tuple(sizes), np.array(roots, np.int32), np.concatenate(tables).astype(np.int32) if tables else np.empty(0, np.int32))
+    if base >= 1 << 30:
+        raise ValueError("too many languages for one table; sample fewer characters of each")
+    keys = np.array(sorted(rare), np.int64)
+    whole = np.concatenate(tables).astype(np.int32) if tables else np.empty(0, np.int32)
+    return Model(
+        tuple(sorted(samples)), alphabet, tuple(sizes), np.array(roots, np.int32), whole, np.append(keys, -1) if not len(keys) else keys,
+        np.array([rare[k] for k in keys.tolist()] or [0], np.int32), np.array(begins, np.int32).reshape(len(tables), every),
+    )
 
 
 def phrases(texts: list[str], model: Model, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -137,9 +164,10 @@ def phrases(texts: list[str], model: Model, block: int = BLOCK) -> tuple[np.ndar
     place = np.empty(total, np.int64)
     place[by] = np.arange(total)
     flat = np.concatenate([s for s, k in zip(symbols, n) if k])
-    grid = np.zeros((block, total), np.uint8)
+    grid = np.zeros((block, total), flat.dtype)
     step = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
     grid[step, np.repeat(place, size)] = flat
+    common = np.where(grid < model.width, grid, 0).astype(np.uint8) if flat.max() >= model.width else grid
     active = np.searchsorted(-size[by], -np.arange(block), side="left")
     at = np.repeat(model.roots[:, None], total, 1)
     begun = np.zeros((len(model.langs), total), np.int32)
@@ -147,7 +175,9 @@ def phrases(texts: list[str], model: Model, block: int = BLOCK) -> tuple[np.ndar
         a = int(active[k])
         if not a:
             break
-        got = model.table[at[:, :a] + grid[k, :a]]
+        got = model.table[at[:, :a] + common[k, :a]]
+        if common is not grid and len(odd := np.flatnonzero(grid[k, :a] >= model.width)):
+            got[:, odd] = model.rare(at[:, odd], grid[k, odd])
         begun[:, :a] += got & 1
         at[:, :a] = got >> 1
     for row, e in zip(counts, begun):
@@ -182,9 +212,9 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, chars: int = CHARS, rows: int = ROWS) -> Model:
     """Fit on documents that aren't held out and have a language.
 
-    Per language at most `rows` distinct texts with a letter, chosen by hash, give at most chars / 16 characters each, from
-    their first letter on, and `chars` together. The share drawn comes from the distinct texts, so copies don't crowd
-    out the rest. Only these excerpts and a count for each language reach the driver.
+    Per language at most `rows` distinct texts with a letter, chosen by hash, give at most chars / 16 characters each, from a
+    place that their hash chooses, and `chars` together. The share drawn comes from the distinct texts, so copies
+    don't crowd out the rest. Only these excerpts and a count for each language reach the driver.
     """
     spark = docs.sparkSession
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("hash"))
@@ -193,7 +223,10 @@ def train(docs: DataFrame, chars: int = CHARS, rows: int = ROWS) -> Model:
         return build({})
     share = spark.createDataFrame([(k, min(1.0, 4 * rows / n)) for k, n in sizes.items()], "lang string, share double")
     place = F.pmod("hash", F.lit(1 << 30))
-    excerpt = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max(chars // 16, 1) - 1}}}", 0)
+    size = max(chars // 16, 1)
+    begin = F.pmod(F.xxhash64("hash"), F.greatest(F.length("text") - size, F.lit(0)) + 1).cast("int") + 1
+    inside, ahead = (F.regexp_extract(t, rf"(?s)\p{{L}}.{{0,{size - 1}}}", 0) for t in (F.substring("text", begin, F.lit(size)), F.col("text")))
+    excerpt = F.when(inside != "", inside).otherwise(ahead)
     drawn = known.join(F.broadcast(share), "lang").filter(place <= F.col("share") * (1 << 30))
     found = drawn.select("lang", place.alias("place"), excerpt.alias("text")).distinct().collect()
     samples: dict[str, list[str]] = {k: [] for k in sizes}
@@ -214,8 +247,11 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf("lang_pred string, score double")
     def tell(texts: pa.Array) -> pa.Array:
-        return predict(texts, shared.value)
+        found = predict(texts, held(getattr, shared, "value"))
+        pa.default_memory_pool().release_unused()
+        return found
 
+    tell = tell.asNondeterministic()  # it isn't, but else a filter on what it tells would run it twice
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "_told")]
     told = docs.withColumn("_told", tell(F.col("text").cast("string")))
     return told.select(*names, F.col("_told.lang_pred").alias("lang_pred"), F.col("_told.score").alias("score"))

@@ -60,8 +60,7 @@ def test_tokens_equal_the_library(name, spaced):
     bits = list("ab ,.'\n\n\t   ") + [" ", "é", "ß", "　", "日", "😀", "\x1c", "\r", "Σ", "ς", "İ", "é", "́", "1", "\0", "<|endoftext|>", "'s", "n't"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 40))) for _ in range(3000)] + [None, "", " ", "  ", "\n", " \n "]
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
-    model = PieceTokenizer(public_tokenizers.path(name), spaced)
+    model = PieceTokenizer(public_tokenizers.path(name), spaced, added=True)
     for _ in range(2):
         ids, at = model.encode(pa.array(texts, pa.string()))
         want = [e.ids for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
@@ -71,7 +70,6 @@ def test_tokens_equal_the_library(name, spaced):
 
 def _plain_ids(docs, name, end):
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     rows = docs.select("doc_id", "text").collect()
     return [(r["doc_id"], np.array([*plain.encode(r["text"] or "", add_special_tokens=False).ids, end], "<u4")) for r in rows]
 
@@ -103,6 +101,20 @@ def test_packing(spark, messy):
         assert r["size"] == n and r["ids"] == ids + [0] * (0 if n & (n - 1) == 0 else 1024 - n)
 
 
+def test_packing_spreads_long_and_repeated_documents(spark):
+    """Whole pieces of one document and copies of one row lie in many groups, and two runs agree."""
+    rows = [(1, "word " * 300_000)] + [(None, "the same row")] * 3000 + [(5, f"short {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first, again = (pack(d, public_tokenizers.path("byte_bpe_50k.json"), group=100).collect() for d in (docs.repartition(3), docs.repartition(7)))
+    assert sorted(map(repr, first)) == sorted(map(repr, again))
+    for part in ([r for r in first if r["length"] == 1024], [r for r in first if r["doc_id"] is None]):
+        sizes = {}
+        for r in part:
+            sizes[r["sequence_id"] >> 32] = sizes.get(r["sequence_id"] >> 32, 0) + 1
+        assert len(sizes) > 2 and max(sizes.values()) < 200
+    assert sum(r["doc_id"] is None for r in first) == 3000 and len({(r["sequence_id"], r["offset"]) for r in first}) == len(first)
+
+
 def test_huffman_codes():
     rng = np.random.default_rng(7)
     for counts, limit in ((rng.integers(0, 50, 300), 12), (2 ** np.arange(30), 8), (np.array([0, 5, 0]), 16), (np.array([3, 4]), 16), (rng.zipf(1.3, 5000) % 10**6, 16)):
@@ -162,6 +174,18 @@ def test_language(spark):
     assert language.predict(pa.array([None, "", "12 !", "abab"]), model).field("lang_pred").to_pylist() == ["und", "und", "und", "a"]
 
 
+def test_every_letter_is_told_from_others():
+    """Two disjoint alphabets of 200 letters each."""
+    rng = random.Random(13)
+    text = lambda first: "".join(chr(first + rng.randrange(200)) for _ in range(120))
+    model = language.build({"a": [text(0x4E00) for _ in range(64)], "b": [text(0x5E00) for _ in range(64)]})
+    for lang, first in (("a", 0x4E00), ("b", 0x5E00)):
+        assert language.predict(pa.array([text(first) for _ in range(100)]), model).field("lang_pred").to_pylist() == [lang] * 100
+    wide = {"x": ["".join(chr(0x4E00 + i) for i in range(90)) * 2 + "\u4e00\u4e55\u4e58"]}
+    got, n = language.phrases(["\u4e54\u4e55\u4e56\u4e57\u4e55\u4e58", "\u4e00\u4e55\u4e58\u9fff"], language.build(wide))
+    assert got.tolist() == [[2, 2]] and n.tolist() == [6, 4]
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     told = language.with_language(docs, language.train(docs)).filter(language.held_out(docs["doc_id"])).select("lang", "lang_pred", "score").toPandas()
