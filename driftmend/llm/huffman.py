@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmend.llm.common import written
+from driftmend.llm.common import frugal, written
 from driftmend.llm.tokens import piece_tokenizer, tokenizer
 from driftmend.llm.words import slices
 
@@ -129,7 +129,7 @@ def token_table(docs: DataFrame, path: str, end: int, spaced: bool) -> DataFrame
                 data = [ids[a:b].tobytes() + last for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "ids"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return slim.mapInArrow(frugal(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def _counts(width: str):
@@ -225,4 +225,4 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
                 out = [part.column("doc_ids").flatten(), pa.array(starts.astype(np.int64)), pa.array(flat), pa.array([zlib.crc32(d) for d in data], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(data, pa.binary())] if with_ids else out, names=names)
 
-    return blocks.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return blocks.mapInArrow(frugal(run), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECES = 600_000  # remembered at most
+from driftmend.llm.common import held
+
+PIECES = 400_000  # remembered at most, in about 150 MB
 _PLAIN = 20_000  # pieces encoded in one call
 _HEAD = "\0"  # before a piece that begins a text
 
@@ -169,7 +171,6 @@ class PieceTokenizer:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
-@functools.cache
 def piece_tokenizer(path: str, spaced: bool) -> PieceTokenizer:
-    """One for each worker process, with added tokens."""
-    return PieceTokenizer(path, spaced, added=True)
+    """One for a worker process, with added tokens."""
+    return held(PieceTokenizer, path, spaced, True)
