@@ -6,7 +6,8 @@ lexicon terms are sorted and hashed: all of them, and those of 8 random subsets
 sparse subsets as they were; how many stay tells how alike two documents are.
 
 The band is a share of documents, so the lexicon has at most (mean distinct terms a document) / low
-terms at any size of the corpus: this bounds what is broadcast, and lexicon() checks it.
+terms at any size of the corpus. It is broadcast up to BROADCAST terms; a larger one is joined with the terms of
+the distinct texts instead, to the same fingerprints.
 """
 
 from __future__ import annotations
@@ -17,16 +18,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from driftmend.llm.common import frugal, written
 from driftmend.llm.words import mix, slices, word_hashes
 
 LOW, HIGH = 0.0005, 0.05
 SEEDS, LEVELS, STEP = 8, 6, 2  # subsets a level; levels; each level keeps 1 in 2**STEP terms of the one before
 WIDTH = 1 + SEEDS * LEVELS
 FEW = 4  # a level tells something if so many of its subsets aren't empty
+BROADCAST = 4_000_000  # terms of a lexicon that is broadcast, at 8 bytes each
 
 
 def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,38 +45,40 @@ def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that have each term, summed up over as many texts as a worker can well hold."""
+    terms, n = np.empty(0, np.uint64), np.empty(0, np.int64)
     for batch in batches:
         for part in slices(batch):
-            terms, n = np.unique(_distinct(part.column("text"))[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.full(len(terms), 0))], names=["term", "n", "docs"])
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([part.num_rows])], names=["term", "n", "docs"])
+            both = np.concatenate([terms, _distinct(part.column("text"))[1]])
+            weight = np.concatenate([n, np.ones(len(both) - len(terms), np.int64)])
+            terms, at = np.unique(both, return_inverse=True)
+            n = np.bincount(at, weight, len(terms)).astype(np.int64)
+            if len(terms) > 1_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], names=["term", "n"])
+                terms, n = terms[:0], n[:0]
+    yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], names=["term", "n"])
+
+
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """(term): hashes of the terms that at least low and at most high of all documents have. Their frequencies are exact."""
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(frugal(_count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    total = docs.count()
+    return written(counts.filter((F.col("n") >= low * total) & (F.col("n") <= max(high * total, 1)) & (F.col("n") > 0)).select("term"), "lexicon")
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray:
-    """Hashes of the terms that at least low and at most high of all documents have, sorted.
+def _sorted_terms(table: DataFrame) -> np.ndarray:
+    return np.sort(np.concatenate([np.empty(0, np.int64), table.toPandas()["term"].to_numpy(np.int64)]).view(np.uint64))
 
-    Their document frequencies are exact. Their number is bounded by what the band allows, at any size.
-    """
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "term long, n long, docs long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    total = docs.count()
-    band = counts.filter((F.col("n") >= low * total) & (F.col("n") <= max(high * total, 1)) & (F.col("n") > 0)).select("term")
-    terms = np.sort(np.concatenate([np.empty(0, np.int64), band.toPandas()["term"].to_numpy(np.int64)]).view(np.uint64))
-    if len(terms) > 4_000_000:
-        raise ValueError(f"{len(terms)} terms in the band; choose a larger low")
-    return terms
 
+def prints(of: np.ndarray, hashes: np.ndarray, known: np.ndarray, n: int) -> np.ndarray:
+    """One row of WIDTH 16-bit hashes for each of n texts, from its distinct terms; 0 stands for a subset of which the text has no term.
 
-def fingerprints(texts: pa.Array, terms: np.ndarray) -> np.ndarray:
-    """One row of WIDTH 16-bit hashes per text; 0 stands for a subset of which the text has no term.
-
-    A text without any lexicon term is hashed by all its terms, one without terms has only zeros.
+    known: which terms are in the lexicon. A text without any of them is hashed by all its terms, one without terms has
+    only zeros.
     """
-    of, hashes = _distinct(texts)
-    at = np.minimum(np.searchsorted(terms, hashes), max(len(terms) - 1, 0))
-    known = terms[at] == hashes if len(terms) else np.zeros(len(hashes), bool)
-    known |= np.bincount(of[known], minlength=len(texts))[of] == 0
+    known = known | (np.bincount(of[known], minlength=n)[of] == 0)
     of, hashes = of[known], hashes[known]
-    out = np.zeros((len(texts), WIDTH), np.uint16)
+    out = np.zeros((n, WIDTH), np.uint16)
 
     def put(column: int, of: np.ndarray, values: np.ndarray) -> None:
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
@@ -91,6 +97,37 @@ def fingerprints(texts: pa.Array, terms: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprints(texts: pa.Array, terms: np.ndarray) -> np.ndarray:
+    """prints of texts by a sorted lexicon."""
+    of, hashes = _distinct(texts)
+    at = np.minimum(np.searchsorted(terms, hashes), max(len(terms) - 1, 0))
+    return prints(of, hashes, terms[at] == hashes if len(terms) else np.zeros(len(hashes), bool), len(texts))
+
+
+def _joined_prints(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(h, fingerprint) of the distinct texts (text), h their SHA-256, with a lexicon of any size."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                of, hashes = _distinct(part.column("text"))
+                ends = np.searchsorted(of, np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("h"), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], names=["h", "terms"])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            found = prints(of, flat.field("term").to_numpy().view(np.uint64), flat.field("known").to_numpy(zero_copy_only=False), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(as_hex(found), pa.string())], names=["h", "fingerprint"])
+
+    each = texts.select("text", F.sha2("text", 256).alias("h")).dropDuplicates(["h"]).mapInArrow(frugal(listed), "h string, terms array<long>")
+    each = each.select("h", F.explode_outer("terms").alias("term")).join(terms.withColumn("known", F.lit(True)), "term", "left")
+    one = F.when(F.col("term").isNotNull(), F.struct("term", F.coalesce("known", F.lit(False)).alias("known")))
+    return each.groupBy("h").agg(F.array_sort(F.collect_list(one)).alias("terms")).mapInArrow(frugal(told), "h string, fingerprint string")
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """0 to 1 for each pair of rows: the share of equal subsets in the sparsest level with enough that aren't empty."""
     there, same = (a != 0) | (b != 0), (a == b) & (a != 0)
@@ -102,25 +139,31 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return result
 
 
+def from_hex(texts: list[str]) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex("".join(texts)), ">u2").reshape(-1, WIDTH).astype(np.uint16)
+
+
 def as_hex(rows: np.ndarray) -> list[str]:
     text, w = rows.astype(">u2").tobytes().hex(), 4 * WIDTH
     return [text[i * w : (i + 1) * w] for i in range(len(rows))]
 
 
-def fingerprint(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+def fingerprint(docs: DataFrame, low: float = LOW, high: float = HIGH, broadcast: int = BROADCAST) -> DataFrame:
     """docs with a column fingerprint (hex), which replaces one of that name. Null text counts as empty."""
-    terms = docs.sparkSession.sparkContext.broadcast(lexicon(docs, low, high))
-    docs = docs.drop("fingerprint")
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())])
+    found = lexicon(docs, low, high)
+    names = [c for c in docs.columns if c != "fingerprint"]
+    if found.count() > broadcast:
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        told = _joined_prints(docs.select(text.alias("text")), found).withColumnRenamed("fingerprint", "_print").withColumnRenamed("h", "_h")
+        return docs.select(*names, F.sha2(text, 256).alias("_h")).join(told, "_h", "left").select(*names, F.col("_print").alias("fingerprint"))
+    terms = docs.sparkSession.sparkContext.broadcast(_sorted_terms(found))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                columns = [part.column(n) for n in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(as_hex(fingerprints(part.column("text"), terms.value)), pa.string())], names=[*names, "fingerprint"])
+    @F.arrow_udf("string")
+    def add(texts: pa.Array) -> pa.Array:
+        parts = [as_hex(fingerprints(p.column("text"), terms.value)) for p in slices(pa.RecordBatch.from_arrays([texts], names=["text"]))]
+        return pa.array([x for part in parts for x in part], pa.string())
 
-    return docs.mapInArrow(add, schema)
+    return docs.select(*names, add(F.col("text").cast("string")).alias("fingerprint"))
 
 
 def _edited(text: str, following: str) -> str:
@@ -128,89 +171,105 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - part] + following[:part]
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """(g, own, doc_id, text): docs in ranges g by doc_id; each range ends with a copy (own false) of the first row of the next.
-
-    Rows are sorted in each partition by range, then doc_id, then text; null doc_ids come first. The
-    range bounds, a few for each shuffle partition, are all that reaches the driver.
-    """
-    spark = docs.sparkSession
-    slim = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = slim.select(F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))).alias("d"))
-    ranges = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({c for c in ids.filter("d > double('-inf')").approxQuantile("d", [i / ranges for i in range(1, ranges)], 0.25 / ranges)}) or [0.0]
-    bounds = spark.sparkContext.broadcast(np.array(cuts))
+RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    @F.pandas_udf("int")
-    def range_of(d):
-        import pandas as pd
 
-        return pd.Series(np.searchsorted(bounds.value, d.to_numpy(), side="right").astype(np.int32))
+def _compared(ids: pa.Array, texts: list[str], after: list[str], own: np.ndarray, following: np.ndarray, terms: np.ndarray) -> list[pa.Array]:
+    """The columns of edit_likeness for some documents and those that come after them."""
+    edited = [_edited(t, a) for t, a in zip(texts, after)]
+    changed = fingerprints(pa.array(edited, pa.string()), terms)
+    sha = [hashlib.sha256(e.encode()).hexdigest() for e in edited]
+    numbers = pa.array([len(t) for t in texts], pa.int64())
+    return [ids, numbers, pa.array(sha, pa.string()), pa.array(as_hex(own), pa.string()), pa.array(as_hex(changed), pa.string()), pa.array(likeness(own, changed)), pa.array(likeness(own, following))]
 
-    rows = slim.withColumn("d", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))).withColumn("g", range_of("d"))
-    firsts = sorted((r["g"], r["d"]) for r in rows.select("g", "d").groupBy("g").agg(F.min("d").alias("d")).collect())
-    before = {d: firsts[i - 1][0] for i, (_, d) in enumerate(firsts)}
-    follows = spark.sparkContext.broadcast((np.array([d for _, d in firsts]), np.array([before[d] for _, d in firsts], np.int32)))
 
-    @F.pandas_udf("int")
-    def also(d):
-        import pandas as pd
+def _neighbours(docs: DataFrame, terms, name: str) -> tuple[DataFrame, DataFrame]:
+    """(documents with the one after them, compared; documents at the end of a range with the one that the next range begins with).
 
-        keys, groups = follows.value
-        at = np.minimum(np.searchsorted(keys, d.to_numpy()), len(keys) - 1)
-        return pd.Series(np.where(keys[at] == d.to_numpy(), groups[at], -1).astype(np.int32))
+    Rows are sorted by range by doc_id, then hash of the text, so that rows of one id are spread as well. Whatever has its
+    successor in its range is done there (terms: the lexicon; without one only texts are paired). The first and the last
+    row of each range are kept with their texts, and the ends meet afterwards: (doc_id, text, after).
+    """
+    spark = docs.sparkSession
+    slim = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = slim.repartitionByRange("doc_id", "h", F.rand(3)).sortWithinPartitions("doc_id", "h", "text").drop("h")
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *(c.split()[0] for c in RESULT.split(", "))] if terms else ["doc_id"]
+    extra = ["place", "p", "text", "after"]
+    doc_type = to_arrow_type(slim.schema["doc_id"].dataType)
 
-    if not firsts:
-        return slim.select(F.lit(0).alias("g"), F.lit(True).alias("own"), "doc_id", "text")
-    copies = F.when(F.col("also") >= 0, F.array(F.struct(F.col("g"), F.lit(True).alias("own")), F.struct(F.col("also").alias("g"), F.lit(False).alias("own")))).otherwise(
-        F.array(F.struct(F.col("g"), F.lit(True).alias("own")))
-    )
-    rows = rows.withColumn("also", also("d")).select(F.explode(copies).alias("x"), "doc_id", "text").select("x.g", "x.own", "doc_id", "text")
-    return rows.repartition("g").sortWithinPartitions("g", F.desc("own"), "doc_id", "text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, held, held_prints = TaskContext.get().partitionId(), None, None
 
+        def border(place: str, part: pa.RecordBatch) -> pa.RecordBatch:
+            blank = [pa.nulls(1, t) for t in kinds[1 : len(names)]]
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), *blank, pa.array([place]), pa.array([p]), part.column("text"), pa.nulls(1, pa.string())], names=[*names, *extra])
 
-def edit_likeness(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+        kinds = [doc_type, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+        for batch in batches:
+            for part in slices(batch):
+                if held is None:
+                    yield border("first", part.slice(0, 1))
+                seen = pa.Table.from_batches(([held] if held else []) + [part]).combine_chunks().to_batches()[0]
+                texts, m = seen.column("text").to_pylist(), seen.num_rows - 1
+                if terms:
+                    new = fingerprints(part.column("text"), terms.value)
+                    found = new if held is None else np.concatenate([held_prints, new])
+                    held_prints = found[-1:]
+                if m:
+                    ids, none = seen.column("doc_id").slice(0, m), pa.nulls(m, pa.string())
+                    own = _compared(ids, texts[:-1], texts[1:], found[:-1], found[1:], terms.value) if terms else [ids]
+                    kept = [none, none] if terms else [seen.column("text").slice(0, m), seen.column("text").slice(1, m)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(["inner"] * m), pa.array([p] * m), *kept], names=[*names, *extra])
+                held = seen.slice(m, 1)
+        if held is not None:
+            yield border("last", held)
+
+    schema = f"doc_id {kind}, " + (RESULT + ", " if terms else "") + "place string, p long, text string, after string"
+    table = written(rows.mapInArrow(frugal(run), schema), name)
+    ends = table.filter("place <> 'inner'")
+    ps = sorted(r["p"] for r in ends.filter("place = 'last'").select("p").collect())  # a number for each range
+    follows = spark.createDataFrame(list(zip(ps, ps[1:] + ps[:1])), "p long, next long")
+    first = ends.filter("place = 'first'").select(F.col("p").alias("next"), F.col("text").alias("after"))
+    met = ends.filter("place = 'last'").drop("after").join(F.broadcast(follows), "p").join(first, "next")
+    return table.filter("place = 'inner'"), met.select("doc_id", "text", "after")
+
+
+def edit_likeness(docs: DataFrame, low: float = LOW, high: float = HIGH, broadcast: int = BROADCAST) -> DataFrame:
     """Each document's fingerprint against that of its edited text and of the next document.
 
     The edited text has the last quarter (floor of code points / 4) replaced by as many first code points of
-    the next document by doc_id (all, if it has fewer); after the last comes the first. Rows that repeat
-    a doc_id follow each other by text. Null text counts as empty; an empty table gives no rows; other
-    columns are ignored. Equal texts have equal fingerprints, and likeness 1.
+    the next document by doc_id (all, if it has fewer); after the last comes the first. doc_id may be of any type
+    that can be sorted; null comes first. Rows that repeat a doc_id follow each other by a hash of their text. Null
+    text counts as empty; an empty table gives no rows; other columns are ignored. Equal texts have equal
+    fingerprints, and likeness 1.
     """
-    terms = docs.sparkSession.sparkContext.broadcast(lexicon(docs, low, high))
-    rows = neighbours(docs)
-    kind = rows.schema["doc_id"].dataType
-    arrow = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32()}.get(kind.simpleString(), pa.int64())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        held_prints = np.empty((0, WIDTH), np.uint16)
-        for batch in batches:
-            for part in slices(batch):
-                new = list(zip(part.column("g").to_pylist(), part.column("own").to_pylist(), part.column("doc_id").to_pylist(), part.column("text").to_pylist()))
-                prints = np.concatenate([held_prints, fingerprints(part.column("text"), terms.value)])
-                seen = held + new
-                # a row is done once the next one of its range is there; of the copies after a range the first counts
-                pairs = [i for i in range(len(seen) - 1) if seen[i][1] and seen[i + 1][0] == seen[i][0]]
-                held, held_prints = seen[-1:], prints[-1:]
-                if pairs:
-                    yield out(seen, prints, pairs)
-
-    def out(seen: list[tuple], prints: np.ndarray, pairs: list[int]) -> pa.RecordBatch:
-        edited = [_edited(seen[i][3], seen[i + 1][3]) for i in pairs]
-        own, after = prints[pairs], prints[[i + 1 for i in pairs]]
-        changed = fingerprints(pa.array(edited, pa.string()), terms.value)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([seen[i][2] for i in pairs], arrow),
-                pa.array([len(seen[i][3]) for i in pairs], pa.int64()),
-                pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
-                pa.array(as_hex(own), pa.string()),
-                pa.array(as_hex(changed), pa.string()),
-                pa.array(likeness(own, changed)),
-                pa.array(likeness(own, after)),
-            ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-        )
-
-    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    found = lexicon(docs, low, high)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *(c.split()[0] for c in RESULT.split(", "))]
+    if found.count() <= broadcast:
+        terms = docs.sparkSession.sparkContext.broadcast(_sorted_terms(found))
+        inner, ends = _neighbours(docs, terms, "fingerprint-rows")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own, after = (fingerprints(batch.column(c), terms.value) for c in ("text", "after"))
+                yield pa.RecordBatch.from_arrays(_compared(batch.column("doc_id"), batch.column("text").to_pylist(), batch.column("after").to_pylist(), own, after, terms.value), names=names)
+
+        return inner.select(*names).unionByName(ends.mapInArrow(run, f"doc_id {kind}, {RESULT}"))
+
+    inner, ends = _neighbours(docs, None, "fingerprint-pairs")
+    pairs = inner.select("doc_id", "text", "after").unionByName(ends)
+    part = F.floor(F.char_length("text") / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - part), F.substring("after", F.lit(1), part))
+    pairs = written(pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("h"), F.sha2("after", 256).alias("after_h"), F.sha2(edited, 256).alias("edited_sha256"), "text", edited.alias("edited")), "fingerprint-edits")
+    told = written(_joined_prints(pairs.select("text").union(pairs.select("edited")), found), "fingerprint-told")
+    of = lambda h, name: told.select(F.col("h").alias(h), F.col("fingerprint").alias(name))
+    three = pairs.drop("text", "edited").join(of("h", "fingerprint"), "h").join(of("edited_sha256", "edited_fingerprint"), "edited_sha256").join(of("after_h", "after_print"), "after_h")
+
+    @F.arrow_udf("struct<near_edited:double,near_next:double>")
+    def compared(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        own, changed, following = (from_hex(x.to_pylist()) for x in (a, b, c))
+        return pa.StructArray.from_arrays([pa.array(likeness(own, changed)), pa.array(likeness(own, following))], names=["near_edited", "near_next"])
+
+    return three.withColumn("near", compared("fingerprint", "edited_fingerprint", "after_print")).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near.near_edited", "near.near_next")

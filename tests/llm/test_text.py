@@ -13,7 +13,6 @@ import pytest
 from tokenizers import Tokenizer
 
 from driftmend.llm import huffman, language, toxicity
-from driftmend.llm.fingerprints import edit_likeness
 from driftmend.llm.ngram_join import join_classes, least_depth
 from driftmend.llm.packing import differencing, pack, sequences, windows_for
 from driftmend.llm.secrets import KINDS, digest, find_secrets, spans
@@ -229,17 +228,3 @@ def test_ngram_join_by_brute_force(spark):
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in join_classes(docs).collect()}
     assert sum(got[i] != (group[i], len(linked[i])) for i in range(n)) == 0
     assert 1 - (1 - 0.8 ** least_depth()) ** 20 >= 0.999
-
-
-def test_edits_by_hand(spark):
-    rng = random.Random(10)
-    texts = [words(rng, rng.randrange(0, 400), 3000) for _ in range(150)] + ["same text of some words here"] * 3
-    docs = spark.createDataFrame([(i * 7, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
-    rows = sorted(edit_likeness(docs).collect())
-    assert [r["doc_id"] for r in rows] == [i * 7 for i in range(len(texts))]
-    for r, t, after in zip(rows, texts, texts[1:] + texts[:1]):
-        q = len(t) // 4
-        assert r["edited_sha256"] == hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest() and r["n_chars"] == len(t)
-    assert rows[-2]["near_next"] == 1 and rows[-1]["fingerprint"] == rows[-2]["fingerprint"] == rows[-3]["fingerprint"]
-    long = [r for r in rows if r["n_chars"] > 500]
-    assert np.mean([r["near_edited"] for r in long]) > 0.25 > 0.05 > np.mean([r["near_next"] for r in long])
