@@ -30,8 +30,7 @@ SPANS = "array<struct<kind:string,start:long,end:long>>"
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 _WORDS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-_TOKEN = re.compile(rb"(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_BEGIN = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+_MARK = re.compile(rb"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
 _MIN_HEX, _MIN_RUN = 24, 16
 
 # A SEQUENCE, its length in each form, then a version 0 to 3, as base64 and as hex
@@ -42,8 +41,8 @@ _HEX_RUN = re.compile(rb"[0-9a-fA-F]{48,}")
 _OUTER64, _OUTER16 = re.compile(rb"(?=M[B-I])"), re.compile(rb"(?=30)")
 _SSH64 = re.compile(rb"b3BlbnNzaC1rZXktdjEA")
 _SSH16 = re.compile(b"openssh-key-v1\0".hex().encode(), re.IGNORECASE)
-_ESCAPES = [(re.compile(rb"\\+(?:[nrt]|u000[aAdD])"), b"\n"), (re.compile(rb"\\+u003[dD]"), b"="), (re.compile(rb"\\+u002[bB]"), b"+"), (re.compile(rb"\\+(?:/|u002[fF])"), b"/")]
-_HEADER = re.compile(rb"[A-Za-z][A-Za-z0-9-]*:[^\S\n]*\S*")
+_ESCAPES = [(re.compile(rb"(?<!\\)\\+(?:[nrt]|u000[aAdD])"), b"\n"), (re.compile(rb"(?<!\\)\\+u003[dD]"), b"="), (re.compile(rb"(?<!\\)\\+u002[bB]"), b"+"), (re.compile(rb"(?<!\\)\\+(?:/|u002[fF])"), b"/")]
+_HEADER = re.compile(rb"(?<![A-Za-z0-9-])[A-Za-z][A-Za-z0-9-]*:[^\S\n]*\S*")
 _ENCRYPTED = re.compile(rb"Proc-Type:\s*4,ENCRYPTED\s+DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,}")
 
 
@@ -56,6 +55,7 @@ _DIGITS = bytes(range(48, 58))
 _HEX = _classes(_DIGITS + b"abcdef")
 _ANY_HEX = _DIGITS + b"abcdefABCDEF"
 _BASE64 = _classes(_LETTERS + _DIGITS + b"+/_-")
+_URL = _classes(_LETTERS + _DIGITS + b"_-")
 
 
 def _runs(text: bytes, table: bytes, least: int) -> Iterator[tuple[int, int]]:
@@ -103,6 +103,16 @@ def is_private_der(data: bytes) -> bool:
     return inner[1][0] in (0x02, 0x30, 0x04) and len(inner[1][1]) >= 3
 
 
+def is_encrypted_der(data: bytes) -> bool:
+    """One SEQUENCE of an algorithm, which begins with its identifier, and the encrypted key."""
+    outer = _elements(data) if data[:1] == b"\x30" else None
+    inner = _elements(outer[0][1]) if outer and len(outer) == 1 else None
+    if not inner or [tag for tag, _ in inner] != [0x30, 0x04] or len(inner[1][1]) < 16:
+        return False
+    algorithm = _elements(inner[0][1])
+    return bool(algorithm) and algorithm[0][0] == 0x06 and len(algorithm[0][1]) >= 3
+
+
 def _openssh_size(data: bytes) -> int | None:
     """Bytes of the magic, cipher, key derivation and options, the number of keys, and that many keys and a private part."""
     magic = b"openssh-key-v1\0"
@@ -201,16 +211,29 @@ def _inside(run: bytes, hexed: bool) -> list[tuple[int, str, int]]:
 
 
 def _tokens(b: bytes) -> Iterator[tuple[int, int]]:
-    """(start, end) of the signed tokens, from whatever place in a run."""
-    s = b.find(b"eyJ")
+    """(start, end) of the signed tokens, from whatever place in a run; a run is looked at once, not from each place in it."""
+    marked = b.translate(_URL) if b"eyJ" in b else b""
+    upto = lambda at: end if (end := marked.find(b" ", at)) >= 0 else len(b)
+    s, end, tail, signed = b.find(b"eyJ"), -1, -1, False
     while s >= 0:
-        # a header with a control character is none; most others are told by their first characters
-        head = _decoded(b[s : s + 16].split(b".")[0]) or b""
-        m = _TOKEN.match(b, s) if head and min(head) >= 9 and not any(c < 32 and c not in b"\t\n\r" for c in head) else None
+        if s >= end:
+            # what follows the header is the same for all places in its run
+            end, tail = upto(s), -1
+            body = upto(end + 1)
+            if b[end : end + 1] == b"." and body > end + 1 and b[body : body + 1] == b".":
+                tail = upto(body + 1)
+                signed = tail > body + 1
         at = s + 1
-        if m and isinstance(alg := _json(m[1]).get("alg"), str) and (m[3] or alg.lower() == "none"):
-            yield s, m.end()
-            at = m.end()
+        if tail < 0:
+            at = end
+        else:
+            # a header is printable and ends with a bracket; its first and last characters tell most others
+            head, close = _decoded(b[s : min(s + 16, end)]) or b"", _decoded(b[end - ((end - s) % 4 or 4) : end]) or b""
+            if close[-1:] in (b"}", b" ", b"\n", b"\r", b"\t") and head and not any(c < 32 and c not in b"\t\n\r" for c in head):
+                alg = _json(b[s:end]).get("alg")
+                if isinstance(alg, str) and (signed or alg.lower() == "none"):
+                    yield s, tail
+                    at = tail
         s = b.find(b"eyJ", at)
 
 
@@ -223,7 +246,7 @@ def _is_pem(label: bytes, inner: bytes) -> bool:
         data = _decoded(b"".join(body.split()).rstrip(b"="))
         if not data:
             continue
-        if _kind(data) or b"ENCRYPTED" in label and data[:1] == b"0":
+        if _kind(data) or b"ENCRYPTED" in label and is_encrypted_der(data):
             return True
         if len(data) >= 24 and len(data) % 8 == 0 and _ENCRYPTED.search(inner):
             return True
@@ -259,13 +282,14 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
         for x, kind, y in keys:
             pad = len(b[e : e + 2]) - len(b[e : e + 2].lstrip(b"=")) if y == len(run) else 0
             found.append((s + x, KINDS.index(kind), s + y + pad))
-    at = 0
-    while m := _BEGIN.search(b, at):
-        at = m.end()
-        end = b.find(b"-----END " + m[1] + b"-----", at)
-        if end >= 0 and _is_pem(m[1], b[at:end]):
-            at = end + len(m[1]) + 14
-            found.append((m.start(), 6, at))
+    begin = None
+    for m in _MARK.finditer(b):
+        if m[1] == b"BEGIN":
+            begin = m
+        elif begin and m[2] == begin[2]:
+            if _is_pem(m[2], b[begin.end() : m.start()]):
+                found.append((begin.start(), 6, m.end()))
+            begin = None
     return sorted(found)
 
 
