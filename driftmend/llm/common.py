@@ -79,19 +79,22 @@ def _offsets(table: DataFrame, sizes: Column) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "_p int, _before long"))
 
 
-def range_sorted(df: DataFrame, cols: list[str]) -> DataFrame:
-    """df in range partitions, each sorted, with the partition number _p and the row number in it, _i."""
+def range_sorted(df: DataFrame, cols: list[str], ranged: int | None = None) -> DataFrame:
+    """df in range partitions, each sorted, with the partition number _p and the row number in it, _i.
+
+    Ranges are told by the first `ranged` of the columns, of which the driver sees a sample.
+    """
     return (
-        df.repartitionByRange(*cols)
+        df.repartitionByRange(*cols[:ranged])
         .sortWithinPartitions(*cols)
         .withColumn("_p", F.spark_partition_id())
         .withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
 
 
-def global_rank(df: DataFrame, cols: list[str], rank: str, name: str) -> DataFrame:
+def global_rank(df: DataFrame, cols: list[str], rank: str, name: str, ranged: int | None = None) -> DataFrame:
     """Number the rows of df 1, 2, ... in the order of cols (distinct rows), with no single-task sort."""
-    table = written(range_sorted(df, cols), name)
+    table = written(range_sorted(df, cols, ranged), name)
     return table.join(_offsets(table, F.count("*")), "_p").withColumn(rank, F.col("_i") + F.col("_before") + 1).drop("_p", "_i", "_before")
 
 

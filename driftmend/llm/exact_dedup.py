@@ -49,7 +49,9 @@ def identities(docs: DataFrame, block_chars: int = 4096, hasher: Callable[[Colum
 
     there = null_safe(texts.select(*KEY, "blocks"), active.select(*KEY), KEY, "left_semi")
     contents = there.select(F.explode("blocks").alias("block")).select(hasher(F.col("block")).alias("h"), "block").distinct()
-    names = global_rank(contents, ["block"], "name", "dedup-blocks")
+    # blocks are sorted by their beginning, a hash and the whole, so that the ranges' sample, which the driver sees, is small
+    sortable = contents.withColumns({"begin": F.substring("block", 1, 24), "spread": F.xxhash64("block")})
+    names = global_rank(sortable, ["begin", "spread", "block"], "name", "dedup-blocks", ranged=2).drop("begin", "spread")
     several = written(names.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "dedup-collided")
     occurs = active.select(*KEY, F.posexplode("hashes").alias("pos", "h"))
     if several.isEmpty():
