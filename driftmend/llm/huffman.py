@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from driftmend.llm.common import frugal, written
 from driftmend.llm.tokens import piece_tokenizer, tokenizer
 from driftmend.llm.words import slices
 
-LIMIT, BLOCK, STEP = 16, 1 << 16, 256
+LIMIT, BLOCK, STEP = 20, 1 << 16, 256
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -85,7 +86,7 @@ class Decoder:
         order, _ = canonical(lengths)
         self.width = int(lengths.max(initial=1))
         room = np.left_shift(1, self.width - lengths[order].astype(np.int64))
-        self.ids, self.bits = np.zeros(1 << self.width, np.uint32), np.ones(1 << self.width, np.int64)
+        self.ids, self.bits = np.zeros(1 << self.width, np.uint32), np.ones(1 << self.width, np.uint8)
         n = int(room.sum())
         self.ids[:n], self.bits[:n] = np.repeat(order, room), np.repeat(lengths[order], room)
 
@@ -163,7 +164,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 2, spaced:
     lengths = code_lengths(counts)
     codes = canonical(lengths)[1]
     kind = table.schema["doc_id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow = to_arrow_type(table.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, first = TaskContext.get().partitionId(), 0, 0
