@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from driftmend.llm import huffman, language, toxicity
@@ -151,6 +152,26 @@ def test_token_files(spark, messy, tmp_path):
         at += r["n_tokens"]
 
 
+@pytest.mark.parametrize("kind", ["smallint", "string", "date"])
+def test_token_files_with_ids_of_any_kind(spark, tmp_path, kind):
+    docs = spark.range(20).select((F.expr("date_add(date '2026-01-01', int(id))") if kind == "date" else F.col("id").cast(kind)).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    folder = f"file://{tmp_path}/{kind}"
+    huffman.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+    found = huffman.read_tokens(spark, folder).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == sorted(r["doc_id"] for r in docs.collect())
+
+
+def test_a_whole_vocabulary():
+    """All 49,000 ids occur: codes of up to 20 bits are within a hundredth of unlimited ones."""
+    counts = (10**9 / np.arange(1, 49_001) ** 1.1).astype(np.int64) + 1
+    size = lambda limit: (huffman.code_lengths(counts, limit) * counts).sum() / counts.sum()
+    assert size(huffman.LIMIT) < 1.01 * size(40) and size(huffman.LIMIT) <= size(16)
+    lengths, rng = huffman.code_lengths(counts), np.random.default_rng(15)
+    ids = rng.choice(49_000, 20_000).astype(np.uint32)
+    payload, at = huffman.encode(ids, lengths, huffman.canonical(lengths)[1])
+    assert (huffman.Decoder(lengths).decode([payload], [len(ids)], [at]) == ids).all()
+
+
 def test_language(spark):
     samples = {"a": ["abab cab dada, bad"], "b": ["xyx zzy xyz"]}
     model = language.build(samples)
@@ -199,7 +220,7 @@ def test_toxicity_held_out(spark):
     told = toxicity.with_severity(docs, model).select("doc_id", "severity", "grade", "toxic").join(known, "doc_id").toPandas()
     bad = told["label"] == 1
     assert told[bad]["toxic"].mean() > 0.9 and told[~bad]["toxic"].mean() < 0.01
-    assert told[bad]["severity"].mean() > 10 * told[~bad]["severity"].mean() and told["severity"].between(0, 3).all()
+    assert told[bad]["severity"].mean() > 10 * told[~bad]["severity"].mean() and told["severity"].between(0, 2).all()
 
 
 def test_ngram_join_by_brute_force(spark):
