@@ -106,3 +106,8 @@ def null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFram
         c = a[k].eqNullSafe(renamed[f"_r_{k}"])
         on = c if on is None else on & c
     return a.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def held_out(doc_id: Column) -> Column:
+    """Is a document kept from all learning? crc32 of its id as text (null: empty) mod 4 is 2."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 4 == 2

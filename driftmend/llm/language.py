@@ -20,10 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmend.llm.common import held
+from driftmend.llm.common import held, held_out
 
 CHARS, ROWS, BLOCK = 12_000, 64, 512  # sampled characters and rows per language at most; block
 DENSE = 60  # letters with a column of their own
@@ -205,10 +205,6 @@ def predict(texts: pa.Array, model: Model) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 4 == 2
-
-
 def train(docs: DataFrame, chars: int = CHARS, rows: int = ROWS) -> Model:
     """Fit on documents that aren't held out and have a language.
 

@@ -123,7 +123,7 @@ def mixed(docs: DataFrame, epochs: int = 3, weight: Callable[[Column], Column] =
     """
     _, sources = plan(docs, epochs, weight, seed)
     names = docs.columns
-    rows = _sized(docs.select(F.struct(*names).alias("row"), "doc_id", "text", "source"), seed).select("row", "src", "missing", "place")
+    rows = _sized(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text", "source"), seed).select("row", "src", "missing", "place")
     rows = rows.join(sources, ["src", "missing"]).withColumn("taken", _taken())
     size, part = F.col("place.size"), F.expr("taken % place.size")
     copies = F.expr("cast(taken div place.size as int)")

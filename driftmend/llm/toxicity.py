@@ -19,9 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmend.llm.common import held_out
 from driftmend.llm.words import mix, slices, word_codes
 
 BITS, GRADES = 18, 3
@@ -187,10 +188,6 @@ def severities(texts: pa.Array, model: Model) -> np.ndarray:
     return _reached(cells >> BITS, cells & ((1 << BITS) - 1), np.log1p(n), len(texts), model)
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 4 == 2
-
-
 def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):

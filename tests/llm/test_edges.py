@@ -77,3 +77,8 @@ def test_chat(spark):
     assert len(found) == 6 and [r["position"] for r in found] == [0, 1, 0, 1, 2, 0]
     assert [r["new_role"] for r in found[2:5]] in (["user", "assistant", "assistant"], ["system", "user", "assistant"], ["user", "assistant", "user"])
     assert chat.repair(turns.limit(0)).count() == 0
+
+
+def test_names_with_dots(messy):
+    found = mixed(messy.withColumnRenamed("lang", "la.ng"))
+    assert found.columns == ["doc_id", "text", "la.ng", "source", "n_chars"] and found.count() == mixed(messy).count()
