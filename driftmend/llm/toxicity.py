@@ -175,8 +175,8 @@ def fitted(features: list[np.ndarray], grades: np.ndarray) -> Model:
     half, p = np.arange(len(features)) % 2, np.zeros(len(features))
     for k in (0, 1):
         model = fit([features[i] for i in np.flatnonzero(half != k)], grades[half == 1 - k])
-        own = np.flatnonzero(half == k)
-        p[own] = _reached(*_cells([features[i] for i in own]), len(own), model)[:, 0]
+        own, live = np.flatnonzero(half == k), model.weights != 0
+        p[own] = _reached(*_cells([features[i][live[features[i]]] for i in own]), len(own), model)[:, 0]
     whole = fit(features, grades)
     return Model(whole.weights, whole.thresholds, best_flag(p, grades > 0))
 
