@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 from driftmend.llm.common import held
 
-PIECES = 400_000  # remembered at most, in about 150 MB
+PIECES = 600_000  # remembered at most, in about 250 MB
 _PLAIN = 20_000  # pieces encoded in one call
 _HEAD = "\0"  # before a piece that begins a text
 
