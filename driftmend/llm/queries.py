@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from driftmend.llm.common import shared_dir
+from driftmend.llm.collocations import collocations
 from driftmend.llm.exact_dedup import LOWER, UPPER, exact_dedup
 from driftmend.llm.fingerprints import edit_likeness
 from driftmend.llm.huffman import read_tokens, write_tokens
@@ -99,6 +100,36 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.with_severity(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+p AS (SELECT d, lang, generate_subscripts(s, 1) AS i, unnest(s) AS s FROM (SELECT d, lang, string_split_regex(t, '[.,;:!?\x0A-\x0D]') AS s FROM d)),
+v AS (SELECT lang, d, i, generate_subscripts(w, 1) AS j, unnest(w) AS w FROM (SELECT lang, d, i, list_filter(string_split_regex(s, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p)),
+g AS (SELECT lang, w AS w1, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM v WINDOW o AS (PARTITION BY d, i ORDER BY j)),
+f AS (
+  SELECT lang, 1 AS m, w1 AS phrase, count(*) AS f FROM g GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM g WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+k AS (SELECT c.*, unnest(range(1, m)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, h.f AS l, t.f AS r, CAST(CAST(2000000 AS HUGEINT) * k.a // (h.f + t.f) AS BIGINT) AS score
+  FROM k JOIN f h ON h.lang = k.lang AND h.phrase = array_to_string(k.w[1:k.k], ' ') JOIN f t ON t.lang = k.lang AND t.phrase = array_to_string(k.w[k.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+u AS (
+  SELECT lang, array_to_string(w[i:i + z - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, m - z + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS z FROM c WHERE m > 2)) GROUP BY ALL),
+o AS (SELECT b.* FROM b LEFT JOIN u USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+x AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM x JOIN (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang) USING (lang) WHERE rank <= 2000
+"""
+
+
 OP6_SQL = f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
@@ -107,8 +138,8 @@ WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_chat, op3_packing, op4_mixing, op5_ngram_join, op6_exact_dedup, op7_toxicity, op8_fingerprints, op9_huffman, op10_language)}
+    return {f.__name__: f for f in (op1_secrets, op2_chat, op3_packing, op4_mixing, op5_ngram_join, op6_exact_dedup, op7_toxicity, op8_fingerprints, op9_huffman, op10_language, op11_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op4_mixing": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op11_collocations": OP11_SQL}
