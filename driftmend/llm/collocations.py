@@ -23,13 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmend.llm.common import frugal, held, written
-from driftmend.llm.words import mix, slices
+from driftmend.llm.words import cut_words, mix, slices
 
 LEAST, SHARE, TOP, LONGEST = 30, 80, 2000, 4
 NO_LANG = "und"
@@ -104,37 +103,19 @@ def _room(n: int) -> int:
 
 def runs(texts: pa.Array, langs: pa.Array, bits: int = 64) -> Runs:
     """Words of texts (null: empty), A-Z in lower case, per language (no nulls)."""
-    lower = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.string()))
-    ends = np.frombuffer(lower.buffers()[1], np.int32)[lower.offset : lower.offset + len(lower) + 1].astype(np.int64)
-    data = np.frombuffer(lower.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-    ends = ends - ends[0]
-    kind = _kinds()[data]
-    first = np.zeros(len(data) + 1, np.int64)
-    first[ends[:-1]] = 1
-    first = first[:-1]
-    inside = kind == 0
-    begins, stops = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1] | (first[1:] > 0)
-    stops[:-1] &= ~inside[1:] | (first[1:] > 0)
-    start, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    bounds = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
-    coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    text = np.searchsorted(ends, start, "right") - 1
-    firsts = np.searchsorted(text, np.arange(len(lower)))
-    halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in coded.dictionary.to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
+    found = cut_words(texts, _kinds())
+    halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in found.words.to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
     named_langs = langs.dictionary_encode()
     tongues, tongue = named_langs.dictionary.to_pylist(), named_langs.indices.to_numpy(zero_copy_only=False)
     salt = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in tongues), ">u8").astype(np.uint64).reshape(-1, 2)[tongue]
-    raw = lower.to_pylist()
-    named = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in raw), np.uint64, len(raw)) ^ salt[:, 0]
+    named = np.fromiter((xxhash.xxh3_64_intdigest(t or "") for t in texts.to_pylist()), np.uint64, len(texts)) ^ salt[:, 0]
     prefix = []
     with np.errstate(over="ignore"):
         for k, base in enumerate(_BASES):
-            inverse = _powers(base, _room(len(codes)))[1]
-            prefix.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(halves[codes, k] * inverse[: len(codes)])]))
-    piece = np.cumsum((kind == _END) + first)[start] if len(start) else start
-    return Runs(coded.dictionary, codes, piece, text, np.arange(len(codes)) - firsts[text], tongues, tongue, (salt[:, 0], salt[:, 1]), named, prefix, bits)
+            inverse = _powers(base, _room(len(found.codes)))[1]
+            prefix.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(halves[found.codes, k] * inverse[: len(found.codes)])]))
+    ends = np.union1d(np.flatnonzero(found.kind == _END), found.firsts)
+    return Runs(found.words, found.codes, np.searchsorted(ends, found.start, "right"), found.text, found.at, tongues, tongue, (salt[:, 0], salt[:, 1]), named, prefix, bits)
 
 
 class Filter:

@@ -13,7 +13,7 @@ from driftmend.llm.collocations import collocations
 from driftmend.llm.exact_dedup import LOWER, UPPER, exact_dedup
 from driftmend.llm.fingerprints import edit_likeness
 from driftmend.llm.huffman import read_tokens, write_tokens
-from driftmend.llm import chat, toxicity
+from driftmend.llm import chat, licenses, toxicity
 from driftmend.llm.language import held_out, train, with_language
 from driftmend.llm.mixing import WORD, mix_plan
 from driftmend.llm.ngram_join import join_classes
@@ -104,6 +104,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.find_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 OP11_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
@@ -138,7 +142,7 @@ WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_chat, op3_packing, op4_mixing, op5_ngram_join, op6_exact_dedup, op7_toxicity, op8_fingerprints, op9_huffman, op10_language, op11_collocations)}
+    return {f.__name__: f for f in (op1_secrets, op2_chat, op3_packing, op4_mixing, op5_ngram_join, op6_exact_dedup, op7_toxicity, op8_fingerprints, op9_huffman, op10_language, op11_collocations, op13_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,3 +51,38 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     codes, starts, distinct = word_codes(texts)
     table = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
     return table[codes] if len(codes) else np.empty(0, np.uint64), starts
+
+
+@dataclass
+class Cut:
+    """Words of some texts, found byte by byte."""
+
+    words: pa.Array  # distinct, as bytes
+    codes: np.ndarray  # of each word, its place in words
+    text: np.ndarray  # of each word, the number of its text
+    at: np.ndarray  # of each word, its number in its text
+    start: np.ndarray  # of each word, its first byte
+    kind: np.ndarray  # of each byte
+    firsts: np.ndarray  # where texts that aren't empty begin
+
+
+def cut_words(texts: pa.Array, kinds: np.ndarray) -> Cut:
+    """Runs of bytes of kind 0 in texts (null: empty) with A-Z in lower case. kinds: of each of the 256 bytes; those from 128 on are of words."""
+    lower = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.string()))
+    ends = np.frombuffer(lower.buffers()[1], np.int32)[lower.offset : lower.offset + len(lower) + 1].astype(np.int64)
+    data = np.frombuffer(lower.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    kind = kinds[data]
+    firsts = np.unique(ends[:-1][np.diff(ends) > 0])
+    new = np.zeros(len(data), bool)
+    new[firsts] = True
+    inside = kind == 0
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | new[1:]
+    stops[:-1] &= ~inside[1:] | new[1:]
+    start, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    bounds = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
+    text = np.searchsorted(ends, start, "right") - 1
+    at = np.arange(len(start)) - np.searchsorted(text, np.arange(len(lower)))[text]
+    return Cut(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), text, at, start, kind, firsts)
