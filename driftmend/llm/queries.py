@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftmend.llm.common import shared_dir
 from driftmend.llm.collocations import collocations
@@ -16,6 +17,7 @@ from driftmend.llm.huffman import read_tokens, write_tokens
 from driftmend.llm import chat, licenses, toxicity
 from driftmend.llm.language import held_out, train, with_language
 from driftmend.llm.mixing import WORD, mix_plan
+from driftmend.llm.negatives import hard_negatives, prepared
 from driftmend.llm.ngram_join import join_classes
 from driftmend.llm.packing import pack
 from driftmend.llm.secrets import digest, find_secrets
@@ -104,6 +106,26 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prepared(_table(spark, sf_dir, "embeddings"))
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER o AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW o AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 3
+"""
+
+
 def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.find_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -142,8 +164,8 @@ WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_chat, op3_packing, op4_mixing, op5_ngram_join, op6_exact_dedup, op7_toxicity, op8_fingerprints, op9_huffman, op10_language, op11_collocations, op13_licenses)}
+    return {f.__name__: f for f in (op1_secrets, op2_chat, op3_packing, op4_mixing, op5_ngram_join, op6_exact_dedup, op7_toxicity, op8_fingerprints, op9_huffman, op10_language, op11_collocations, op12_negatives, op13_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op11_collocations": OP11_SQL}
+    return {"op4_mixing": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op11_collocations": OP11_SQL, "op12_negatives": OP12_SQL}
