@@ -84,18 +84,24 @@ def exact_dedup(docs: DataFrame, block_chars: int = 4096, hasher: Callable[[Colu
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty, and all empty texts are one group. Of a group the largest doc_id stays; a
-    null doc_id counts as smallest. Rows that repeat both doc_id and text give one row and count singly
-    in group_size. Rows that repeat a doc_id with another text are documents of their own. An empty
-    table gives no rows; other columns are ignored.
+    null doc_id counts as smallest. Rows that repeat both doc_id and text give a row each, count singly in
+    group_size and stay or go together. Rows that repeat a doc_id with another text are documents of their
+    own. An empty table gives no rows; other columns are ignored.
     """
     every, named = identities(docs, block_chars, hasher)
     groups = named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")).filter("group_size > 1")
     groups = written(groups, "dedup-groups")
     members = named.join(groups, ["level", "name"]).select(*KEY, "keep_id", "group_size")
-    return null_safe(every, members, KEY, "left").select(
+    told = null_safe(every, members, KEY, "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", "copies").cast("long").alias("group_size"),
         F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
+        "copies",
     )
+    told = written(told, "dedup-told")
+    # a row that repeats many times is dealt to many tasks
+    again = told.filter("copies > 1").withColumn("_part", F.explode(F.expr("sequence(0, (copies - 1) div 4096)"))).repartition(*KEY, "_part")
+    again = again.withColumn("_copy", F.explode(F.expr("sequence(1, least(4096, copies - 4096 * _part))"))).drop("_part", "_copy")
+    return told.filter("copies = 1").unionByName(again).drop("copies")

@@ -151,13 +151,15 @@ def _counts(width: str):
 def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 2, spaced: bool = False) -> None:
     """Encode the texts of docs and write the folder; null text counts as empty (the end id alone).
 
-    Null doc_ids come first; rows that repeat a doc_id are separate documents, in the order of their ids.
+    Null doc_ids come first; rows that repeat a doc_id are separate documents, in the order of a hash of their ids. A doc_id that
+    many rows share is spread over many ranges.
     An empty table gives a folder without blocks. The counts, one for each id of the vocabulary, and the size of
     each shard are all that reaches the driver.
     """
     spark = docs.sparkSession
     width = _width(path, end)
-    table = written(token_table(docs, path, end, spaced), "tokens")
+    # rows that repeat each other are told apart by a number that is written with them, so that no range must hold them all
+    table = written(token_table(docs, path, end, spaced).withColumn("row", F.monotonically_increasing_id()), "tokens")
     found = table.mapInArrow(_counts(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
     counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
@@ -192,7 +194,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 2, spaced:
             yield flush()
 
     schema = f"shard int, block long, first long, doc_ids array<{kind}>, sizes array<long>, checkpoints array<long>, payload binary"
-    table.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(run, schema).write.parquet(f"{folder}/blocks")
+    spread = table.withColumn("spread", F.xxhash64("ids"))
+    spread.repartitionByRange("doc_id", "spread", "row").sortWithinPartitions("doc_id", "spread", "ids").mapInArrow(run, schema).write.parquet(f"{folder}/blocks")
     ids = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in ids], "id long, bits int").coalesce(1).write.parquet(f"{folder}/codebook")
     sizes = spark.read.parquet(f"{folder}/blocks").groupBy("shard").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from driftmend.llm.common import held, held_out
 
 CHARS, ROWS, BLOCK = 12_000, 64, 512  # sampled characters and rows per language at most; block
+TOTAL, FEWEST = 480_000, 256  # sampled characters of all languages together, of which each has so many at least
 DENSE = 60  # letters with a column of their own
 UNKNOWN = "und"
 _SOFT = 8.0  # bits by which a language must trail to weigh half as much in the score
@@ -125,7 +126,7 @@ def build(samples: dict[str, list[str]]) -> Model:
         restart = np.full(every, 2 * base + 1, np.int64)  # where no move continues, c begins a phrase
         for c, t in moves[0].items():
             restart[c] = 2 * (base + width * t) + 1
-        table = np.repeat(restart[None, :width], len(moves), 0)
+        table = np.repeat(restart[None, :width], len(moves), 0)  # of 64 bits until the size of all is known
         for s, m in enumerate(moves):
             for c, t in m.items():
                 to = 2 * (base + width * t) + (s == 0)  # at the root each character begins a phrase
@@ -138,13 +139,12 @@ def build(samples: dict[str, list[str]]) -> Model:
         roots.append(base)
         sizes.append(len(symbols))
         base += table.size
-    if base >= 1 << 30:
-        raise ValueError("too many languages for one table; sample fewer characters of each")
+    kind = np.int32 if base < 1 << 30 else np.int64
     keys = np.array(sorted(rare), np.int64)
-    whole = np.concatenate(tables).astype(np.int32) if tables else np.empty(0, np.int32)
+    whole = np.concatenate([np.empty(0, kind), *tables], dtype=kind, casting="unsafe")
     return Model(
-        tuple(sorted(samples)), alphabet, tuple(sizes), np.array(roots, np.int32), whole, np.append(keys, -1) if not len(keys) else keys,
-        np.array([rare[k] for k in keys.tolist()] or [0], np.int32), np.array(begins, np.int32).reshape(len(tables), every),
+        tuple(sorted(samples)), alphabet, tuple(sizes), np.array(roots, kind), whole, np.append(keys, -1) if not len(keys) else keys,
+        np.array([rare[k] for k in keys.tolist()] or [0], kind), np.array(begins, kind).reshape(len(tables), every),
     )
 
 
@@ -209,7 +209,8 @@ def train(docs: DataFrame, chars: int = CHARS, rows: int = ROWS) -> Model:
     """Fit on documents that aren't held out and have a language.
 
     Per language at most `rows` distinct texts with a letter, chosen by hash, give at most chars / 16 characters each, from a
-    place that their hash chooses, and `chars` together. The share drawn comes from the distinct texts, so copies
+    place that their hash chooses, and `chars` together; where languages are more than TOTAL / chars, each gives TOTAL divided by their
+    number, and not less than FEWEST, so that the model's size is bounded up to TOTAL / FEWEST languages and grows slowly beyond. The share drawn comes from the distinct texts, so copies
     don't crowd out the rest. Only these excerpts and a count for each language reach the driver.
     """
     spark = docs.sparkSession
@@ -217,6 +218,7 @@ def train(docs: DataFrame, chars: int = CHARS, rows: int = ROWS) -> Model:
     sizes = {r["lang"]: r["n"] for r in known.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return build({})
+    chars = min(chars, max(TOTAL // len(sizes), FEWEST))
     share = spark.createDataFrame([(k, min(1.0, 4 * rows / n)) for k, n in sizes.items()], "lang string, share double")
     place = F.pmod("hash", F.lit(1 << 30))
     size = max(chars // 16, 1)

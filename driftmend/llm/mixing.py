@@ -58,7 +58,8 @@ def targets(sources: DataFrame, epochs: int = 3, weight: Callable[[Column], Colu
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
     """Of each row: its source, size and place in the seeded order."""
     key = F.struct(
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"),
+        # the text's hash keeps rows without a doc_id, or with one that repeats, from meeting in one place
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))).alias("h"),
         F.col("doc_id"),
         words(F.col("text")).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("crc"),

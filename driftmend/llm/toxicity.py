@@ -198,10 +198,10 @@ def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> Model:
     """Fit on labelled documents that aren't held out (crc32 of doc_id mod 4 is not 2).
 
-    The sample is bounded: about `rows` toxic and CLEAN times as many clean documents of at most `longest`
-    characters, chosen by hash of doc_id. Labels without a document or a value are left out; of several labels of a
-    doc_id the most toxic holds, and the lowest quality (null: not low). Without any toxic label every document
-    is clean.
+    The sample is bounded: about `rows` toxic and CLEAN times as many clean doc_ids, chosen by hash, with one document of at
+    most `longest` characters each, whatever the number of rows that repeat an id (the one with the least hash of its
+    text). Labels without a document or a value are left out; of several labels of a doc_id the most toxic holds, and
+    the lowest quality (null: not low). Without any toxic label every document is clean.
     """
     quality = F.col("quality") if "quality" in labels.columns else F.lit(None).cast("int")
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"), F.min(quality).alias("quality"))
@@ -212,14 +212,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = L
     drawn = known.filter(place <= share).select("doc_id", "grade")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") <= longest)
     # the drawn ids are broadcast: their number is bounded by rows, whatever the number of labels
-    found = texts.join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id", "text")).select("text", "grade").mapInArrow(_collect_features, "grade int, features binary").toPandas()
+    one = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "grade").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = one.orderBy(F.xxhash64("doc_id", "text")).select("text", "grade").mapInArrow(_collect_features, "grade int, features binary").toPandas()
     if not len(found) or not found["grade"].any():
         return Model(np.zeros(1 << BITS), np.full(GRADES - 1, 40.0))
     return fitted([np.frombuffer(b, "<i4") for b in found["features"]], found["grade"].to_numpy())
 
 
 def with_severity(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with severity (expected grade, 0 to 2), grade (most likely) and toxic (grade 1 or more is as probable as the model's flag).
+    """docs with severity (expected grade, 0 to 2), toxic (grade 1 or more is as probable as the model's flag), and grade: 0 for
+    texts that aren't toxic, else the most likely of 1 and 2.
 
     These replace columns of the same names. Null and empty texts have no features and the severity of the
     thresholds alone. Rows are independent of each other and keep all other columns.
@@ -231,7 +233,8 @@ def with_severity(docs: DataFrame, model: Model) -> DataFrame:
         parts = [severities(p.column("text"), shared.value) for p in slices(pa.RecordBatch.from_arrays([texts], names=["text"]))]
         p = np.concatenate([np.empty((0, GRADES - 1)), *parts])
         each = np.diff(np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], axis=1)) * -1
-        columns = [pa.array(p.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(p[:, 0] >= shared.value.flag)]
+        bad = p[:, 0] >= shared.value.flag
+        columns = [pa.array(p.sum(1)), pa.array(np.where(bad, 1 + each[:, 1:].argmax(1), 0).astype(np.int32)), pa.array(bad)]
         return pa.StructArray.from_arrays(columns, names=["severity", "grade", "toxic"])
 
     tell = tell.asNondeterministic()  # it isn't, but else a filter on what it tells would run it twice

@@ -64,3 +64,32 @@ def test_mix_by_brute_force(spark):
     assert sorted(found) == sorted(mix_plan(docs.repartition(5)).collect())
     got = mixed(docs).groupBy("source").agg(F.sum(words(F.col("text"))).alias("n")).collect()
     assert {r["source"]: r["n"] for r in got} == {s: n for s, n in taken.items() if n}
+
+
+def test_repeated_rows_stay_rows(spark):
+    """Rows that repeat a doc_id and its text, also in another case, are rows of the result; as the SQL has them."""
+    import duckdb
+
+    rows = [(1, "a b"), (1, "a b"), (1, "A b"), (2, "a B"), (3, "x"), (3, "x"), (4, None), (None, ""), (None, ""), (None, "x"), (5, "only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    documents = docs.toPandas().astype({"doc_id": "Int64"})  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    found, want = exact_dedup(docs), con.sql(oracle_sql()["op6_exact_dedup"])
+    order = sorted(found.columns)
+    shown = lambda rows: sorted(map(repr, rows))
+    got, sql = [tuple(r[c] for c in order) for r in found.collect()], want.select(*order).fetchall()
+    at = order.index("doc_id")
+    assert shown(r for r in got if r[at] is not None) == shown(r for r in sql if r[at] is not None) and len(got) == len(rows)
+    many = spark.range(10_000).selectExpr("7L doc_id", "'same' text")
+    assert exact_dedup(many).groupBy("doc_id", "keep_id", "group_size", "kept").count().collect() == [(7, 7, 10_000, True, 10_000)]
+
+
+def test_rows_without_an_id_are_spread(spark):
+    """They have places of their own in the seeded order, and so have rows that share an id."""
+    from driftmend.llm.mixing import _sized
+
+    docs = spark.range(2000).selectExpr("if(id % 2 = 0, null, 5L) doc_id", "concat('w ', id) text", "'s' source")
+    assert _sized(docs, 7).select("place.h").distinct().count() == 2000
+    taken = {r["taken"] for r in mix_plan(docs).collect()}
+    assert taken <= {0, 1, 2, 4, 6}

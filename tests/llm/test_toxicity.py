@@ -68,3 +68,25 @@ def test_labels_in_conflict(spark):
     assert (models[0].weights == models[1].weights).all() and models[0].flag == models[1].flag and (models[0].weights != 0).any()
     told = toxicity.with_severity(docs, models[0]).toPandas()
     assert (told["toxic"] == (told["doc_id"] % 4 == 0)).all() and told[told["toxic"]]["severity"].min() > 1 > told[~told["toxic"]]["severity"].max()
+
+
+def test_the_sample_is_bounded_by_rows(spark, monkeypatch):
+    """A labelled id that many rows share sends one of them to the driver."""
+    from pyspark.sql import functions as F
+
+    rows, read = spark.range(100_000).selectExpr("3L doc_id", "concat('some text ', id) text"), []
+    docs = rows.unionByName(spark.createDataFrame([(i, f"clean words {i}") for i in range(20)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, int(i == 3), 1) for i in range(20)], "doc_id long, toxic int, quality int")
+    monkeypatch.setattr(toxicity, "fitted", lambda features, grades: read.append((len(features), grades.tolist())) or toxicity.Model(np.zeros(1 << toxicity.BITS), np.full(2, 40.0)))
+    toxicity.train(docs, labels)
+    ((n, grades),) = read
+    held = {r["doc_id"] for r in labels.filter(toxicity.held_out(F.col("doc_id"))).collect()}
+    assert 3 not in held and n == 20 - len(held) and sum(grades) == 1
+
+
+def test_grades_agree_with_the_flag(spark):
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(0, 0.4, 1 << toxicity.BITS), np.array([0.2, 0.9]), 0.5)
+    docs = spark.createDataFrame([(i, "".join(rng.choice([*"abcdefgh "], 30))) for i in range(200)], "doc_id long, text string")
+    found = toxicity.with_severity(docs, model).collect()
+    assert {r["toxic"] for r in found} == {True, False} and all((r["grade"] > 0) == r["toxic"] for r in found)
