@@ -29,11 +29,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id; of rows that repeat each other one."""
     told = written(exact_dedup(docs), "pipeline-copies")
-    gone = told.filter(~F.col("kept")).select("doc_id", "text_sha256")
+    keys = ["doc_id", "text_sha256"]
+    gone = told.filter(~F.col("kept")).select(*keys)
+    again = written(told.filter("kept").groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys), "pipeline-again")
     marked = docs.select(*COLUMNS).withColumn("text_sha256", F.sha2(normalised(F.col("text")), 256))
-    if told.count() < docs.count():  # some rows repeat both doc_id and text
-        marked = marked.dropDuplicates(["doc_id", "text_sha256"])
-    return null_safe(marked, gone, ["doc_id", "text_sha256"], "left_anti").select(*COLUMNS)
+    kept = null_safe(marked, gone.unionByName(again), keys, "left_anti")
+    if not again.isEmpty():  # some rows repeat both doc_id and text
+        kept = kept.unionByName(null_safe(marked, again, keys, "left_semi").dropDuplicates(keys))
+    return kept.select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
