@@ -35,7 +35,7 @@ NO_LANG = "und"
 MOST_BITS = 1 << 29  # of a filter: 64 MB
 CHUNK = 4096  # bytes of a filter that are filled as one
 HASHES = 3
-_HELD = 1_000_000  # rows that a worker sums up before it lets go of them
+_HELD, _CHARS = 1_000_000, 1_000_000  # rows that a worker sums up before it lets go of them; bytes of text that it reads at a time
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _BLANK, _END = 1, 2
 
@@ -180,8 +180,29 @@ def _summed(keys: np.ndarray, n: np.ndarray, least: list[np.ndarray], most: list
     return keys[first], np.add.reduceat(n[order], first), [np.minimum.reduceat(c[order], first) for c in least], [np.maximum.reduceat(c[order], first) for c in most]
 
 
+class _Tally:
+    """One row for each key, summed up when many have come in."""
+
+    def __init__(self, extra: int = 0):
+        self.extra, self.parts, self.new, self.size = extra, [], 0, 0  # columns of which the least is kept; of half of them also the greatest
+
+    def add(self, keys: np.ndarray, n: np.ndarray, least: list[np.ndarray] = [], most: list[np.ndarray] = []) -> None:
+        self.parts.append((keys, n, least, most))
+        self.new += len(keys)
+        if self.new > _HELD // 2:
+            self.rows()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        none = np.empty(0, np.int64)
+        keys, n = np.concatenate([none.view(np.uint64), *(p[0] for p in self.parts)]), np.concatenate([none, *(p[1] for p in self.parts)])
+        each = lambda k, m: [np.concatenate([none, *(p[k][i] for p in self.parts)]) for i in range(m)]
+        whole = _summed(keys, n, each(2, self.extra), each(3, self.extra // 2))
+        self.parts, self.new, self.size = [whole], 0, len(whole[0])
+        return whole
+
+
 def _each(batch: pa.RecordBatch, bits: int) -> Iterator[Runs]:
-    for part in slices(batch):
+    for part in slices(batch, chars=_CHARS):
         yield runs(part.column("text"), part.column("lang"), bits)
 
 
@@ -198,8 +219,8 @@ def _counts(docs: DataFrame, bits: int, words: Filter | None = None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, totals = held(getattr, shared, "value"), Counter()
-        keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
-        rows = lambda k, n: pa.RecordBatch.from_arrays([_long(k), pa.nulls(len(k), pa.string()), pa.array(n)], names=["fp", "lang", "n"])
+        tally = _Tally()
+        rows = lambda k, n, *_: pa.RecordBatch.from_arrays([_long(k), pa.nulls(len(k), pa.string()), pa.array(n)], names=["fp", "lang", "n"])
         for batch in batches:
             for r in _each(batch, bits):
                 at = r.whole(1)
@@ -210,11 +231,11 @@ def _counts(docs: DataFrame, bits: int, words: Filter | None = None) -> DataFram
                     at = r.whole(2)
                     at = at[passed[at] & passed[at + 1]]
                 own = r.fingerprint(at, 1 if known is None else 2)
-                keys, n, _, _ = _summed(np.concatenate([keys, own]), np.concatenate([n, np.ones(len(own), np.int64)]), [], [])
-                if len(keys) > _HELD:
-                    yield rows(keys, n)
-                    keys, n = keys[:0], n[:0]
-        yield rows(keys, n)
+                tally.add(own, np.ones(len(own), np.int64))
+                if tally.size > _HELD:
+                    yield rows(*tally.rows())
+                    tally = _Tally()
+        yield rows(*tally.rows())
         yield pa.RecordBatch.from_arrays([pa.nulls(len(totals), pa.int64()), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["fp", "lang", "n"])
 
     return docs.mapInArrow(frugal(run), "fp long, lang string, n long").groupBy("fp", "lang").agg(F.sum("n").alias("n"))
@@ -246,20 +267,17 @@ def _pointed(docs: DataFrame, bits: int, words: Filter, pairs: Filter) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = held(getattr, shared, "value")
-        none = (np.empty(0, np.uint64), np.empty(0, np.int64), [np.empty(0, np.int64)] * 2, [np.empty(0, np.int64)])
         rows = lambda s: pa.RecordBatch.from_arrays([_long(s[0]), pa.array(s[1]), *map(pa.array, s[2]), *map(pa.array, s[3])], names=names)
-        so_far = none
+        tally = _Tally(2)
         for batch in batches:
             for r in _each(batch, bits):
                 for n, at, own in _passing(r, *filters):
                     second, place = r.half(1, at, n).view(np.int64), r.pointer(at).view(np.int64)
-                    new = _summed(own, np.ones(len(own), np.int64), [second, place], [second])
-                    join = lambda a, b: [np.concatenate(x) for x in zip(a, b)]
-                    so_far = _summed(np.concatenate([so_far[0], new[0]]), np.concatenate([so_far[1], new[1]]), join(so_far[2], new[2]), join(so_far[3], new[3]))
-                    if len(so_far[0]) > _HELD:
-                        yield rows(so_far)
-                        so_far = none
-        yield rows(so_far)
+                    tally.add(*_summed(own, np.ones(len(own), np.int64), [second, place], [second]))
+                    if tally.size > _HELD:
+                        yield rows(tally.rows())
+                        tally = _Tally(2)
+        yield rows(tally.rows())
 
     found = docs.mapInArrow(frugal(run), "fp long, n long, low long, pointer long, high long")
     return found.groupBy("fp").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("pointer").alias("pointer"))
@@ -277,7 +295,7 @@ def _texts(docs: DataFrame, bits: int, words: Filter, pairs: Filter, places: Fil
         *filters, wanted = held(getattr, shared, "value")
         told: set[int] = set()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, chars=_CHARS):
                 r = runs(part.column("text"), part.column("lang"), bits)
                 for n, at, own in _passing(r, *filters):
                     pointer = r.pointer(at)
@@ -301,7 +319,7 @@ def _recounted(docs: DataFrame, bits: int, words: Filter, pairs: Filter, several
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *filters, wanted = held(getattr, shared, "value")
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, chars=_CHARS):
                 r, found = runs(part.column("text"), part.column("lang"), bits), Counter()
                 for n, at, own in _passing(r, *filters):
                     some = wanted.has(own)
