@@ -43,6 +43,9 @@ _SSH64 = re.compile(rb"b3BlbnNzaC1rZXktdjEA")
 _SSH16 = re.compile(b"openssh-key-v1\0".hex().encode(), re.IGNORECASE)
 _ESCAPES = [(re.compile(rb"(?<!\\)\\+(?:[nrt]|u000[aAdD])"), b"\n"), (re.compile(rb"(?<!\\)\\+u003[dD]"), b"="), (re.compile(rb"(?<!\\)\\+u002[bB]"), b"+"), (re.compile(rb"(?<!\\)\\+(?:/|u002[fF])"), b"/")]
 _HEADER = re.compile(rb"(?<![A-Za-z0-9-])[A-Za-z][A-Za-z0-9-]*:[^\S\n]*\S*")
+# Of a token's header: its first key, what counts for its brackets, and what may follow it
+DEEPEST = 32
+_KEY, _PART, _BLANK = re.compile(r'\{\s*"(?:[^"\\]|\\.)*"\s*:', re.DOTALL), re.compile(r'"(?:[^"\\]|\\.)*"|[][{}]', re.DOTALL), re.compile(r"[ \t\n\r]*\Z")
 _ENCRYPTED = re.compile(rb"Proc-Type:\s*4,ENCRYPTED\s+DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,}")
 
 
@@ -68,57 +71,57 @@ def _runs(text: bytes, table: bytes, least: int) -> Iterator[tuple[int, int]]:
         yield start, at
 
 
-def _elements(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
-    """The DER elements that fill data exactly, with every nested length checked; else None."""
-    found, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+def _elements(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -> list[tuple[int, int, int]] | None:
+    """(tag, begin, end) of the DER elements that fill a part of data exactly, with every nested length checked; else None."""
+    found, end = [], len(data) if end is None else end
+    while at < end:
+        if at + 2 > end:
             return None
         tag, size, at = data[at], data[at + 1], at + 2
         if size >= 0x80:
             more = size & 0x7F
-            if not 1 <= more <= 4 or at + more > len(data):
+            if not 1 <= more <= 4 or at + more > end:
                 return None
             size, at = int.from_bytes(data[at : at + more]), at + more
-        if at + size > len(data):
+        if at + size > end:
             return None
-        body = data[at : at + size]
-        if tag & 0x20 and (depth > 8 or _elements(body, depth + 1) is None):
+        if tag & 0x20 and (depth > 8 or _elements(data, at, at + size, depth + 1) is None):
             return None
-        found.append((tag, body))
+        found.append((tag, at, at + size))
         at += size
     return found
 
 
-def is_private_der(data: bytes) -> bool:
+def is_private_der(data: bytes, at: int = 0, end: int | None = None) -> bool:
     """One SEQUENCE that begins with a version 0 to 3, then a number, algorithm or key string."""
-    if len(data) < 24 or data[0] != 0x30:
+    end = len(data) if end is None else end
+    if end - at < 24 or data[at] != 0x30:
         return False
-    outer = _elements(data)
+    outer = _elements(data, at, end)
     if outer is None or len(outer) != 1:
         return False
-    inner = _elements(outer[0][1])
-    if not inner or len(inner) < 2 or inner[0][0] != 0x02 or inner[0][1] not in (b"\0", b"\1", b"\2", b"\3"):
+    inner = _elements(data, *outer[0][1:])
+    if not inner or len(inner) < 2 or inner[0][0] != 0x02 or data[inner[0][1] : inner[0][2]] not in (b"\0", b"\1", b"\2", b"\3"):
         return False
-    return inner[1][0] in (0x02, 0x30, 0x04) and len(inner[1][1]) >= 3
+    return inner[1][0] in (0x02, 0x30, 0x04) and inner[1][2] - inner[1][1] >= 3
 
 
 def is_encrypted_der(data: bytes) -> bool:
     """One SEQUENCE of an algorithm, which begins with its identifier, and the encrypted key."""
     outer = _elements(data) if data[:1] == b"\x30" else None
-    inner = _elements(outer[0][1]) if outer and len(outer) == 1 else None
-    if not inner or [tag for tag, _ in inner] != [0x30, 0x04] or len(inner[1][1]) < 16:
+    inner = _elements(data, *outer[0][1:]) if outer and len(outer) == 1 else None
+    if not inner or [tag for tag, *_ in inner] != [0x30, 0x04] or inner[1][2] - inner[1][1] < 16:
         return False
-    algorithm = _elements(inner[0][1])
-    return bool(algorithm) and algorithm[0][0] == 0x06 and len(algorithm[0][1]) >= 3
+    algorithm = _elements(data, *inner[0][1:])
+    return bool(algorithm) and algorithm[0][0] == 0x06 and algorithm[0][2] - algorithm[0][1] >= 3
 
 
-def _openssh_size(data: bytes) -> int | None:
+def _openssh_size(data: bytes, begin: int = 0) -> int | None:
     """Bytes of the magic, cipher, key derivation and options, the number of keys, and that many keys and a private part."""
     magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if not data.startswith(magic, begin):
         return None
-    at, strings, count = len(magic), 0, None
+    at, strings, count = begin + len(magic), 0, None
     while count is None or strings < 3 + count + 1:
         if at + 4 > len(data):
             return None
@@ -131,7 +134,7 @@ def _openssh_size(data: bytes) -> int | None:
         if at + size > len(data):
             return None
         at, strings = at + size, strings + 1
-    return at
+    return at - begin
 
 
 def is_openssh(data: bytes) -> bool:
@@ -171,54 +174,103 @@ def _bytes(run: bytes, hexed: bool) -> bytes:
     return bytes.fromhex(run[: len(run) // 2 * 2].decode())
 
 
-def _outer(run: bytes, at: int, hexed: bool) -> tuple[bytes, int] | None:
-    """(bytes, end in the run) of the element that begins at a place of the run and ends in it."""
-    head = _bytes(run[at : at + 12], hexed)
-    if len(head) < 6:
-        return None
-    more = head[1] & 0x7F if head[1] >= 0x80 else 0
-    if more > 4:
-        return None
-    size = 2 + more + (int.from_bytes(head[2 : 2 + more]) if more else head[1] & 0x7F)
-    end = at + (2 * size if hexed else -(-size * 4 // 3))
-    if end > len(run):
-        return None
-    data = _bytes(run[at:end], hexed)
-    return (data[:size], end) if len(data) >= size else None
+class _Run:
+    """What the characters of a run stand for, from any place on; it is decoded once for each alignment."""
+
+    def __init__(self, run: bytes, hexed: bool):
+        self.run, self.hexed, self.known = run, hexed, {}
+
+    def at(self, place: int) -> tuple[bytes, int, int]:
+        """(bytes, where those from a place on begin, where the zeros at the end begin)."""
+        unit = 2 if self.hexed else 4
+        if (first := place % unit) not in self.known:
+            data = _bytes(self.run[first:], self.hexed)
+            self.known[first] = (data, len(data.rstrip(b"\0")))
+        data, zeros = self.known[first]
+        return data, (place - first) // unit * (1 if self.hexed else 3), zeros
+
+    def characters(self, size: int) -> int:
+        return 2 * size if self.hexed else -(-size * 4 // 3)
+
+    def element(self, place: int) -> tuple[bytes, int, int, int] | None:
+        """(bytes, begin, end, end in the run) of the DER element that begins at a place of the run and ends in it."""
+        data, at, _ = self.at(place)
+        if len(data) - at < 6:
+            return None
+        more = data[at + 1] & 0x7F if data[at + 1] >= 0x80 else 0
+        if more > 4:
+            return None
+        size = 2 + more + (int.from_bytes(data[at + 2 : at + 2 + more]) if more else data[at + 1] & 0x7F)
+        end = place + self.characters(size)
+        return (data, at, at + size, end) if end <= len(self.run) and at + size <= len(data) else None
 
 
 def _inside(run: bytes, hexed: bool) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the keys at any place of a run; one that is a part of a larger structure is none."""
-    found, at = [], 0
+    whole, found, at = _Run(run, hexed), [], 0
     der, ssh, outer = (_DER16, _SSH16, _OUTER16) if hexed else (_DER64, _SSH64, _OUTER64)
+    places, ahead, around = outer.finditer(run), None, []  # of larger structures: those to come, the next, and those that go on
     while m := der.search(run, at):
         at = m.start() + 1
-        got = _outer(run, m.start(), hexed)
-        if not got or not is_private_der(got[0]):
+        got = whole.element(m.start())
+        if not got or not is_private_der(*got[:3]):
             continue
-        around = (_outer(run, x.start(), hexed) for x in outer.finditer(run, found[-1][2] if found else 0, m.start() + 1) if x.start() < m.start())
-        if not any(o and o[1] >= got[1] and len(_elements(o[0]) or ()) == 1 for o in around):
-            found.append((m.start(), "der", got[1]))
-        at = got[1]
+        while (ahead := ahead or next(places, None)) and ahead.start() < m.start():
+            if o := whole.element(ahead.start()):
+                around.append((ahead.start(), o))
+            ahead = None
+        begin = found[-1][2] if found else 0
+        around = [(x, o) for x, o in around if x >= begin and o[3] >= got[3] and len(_elements(*o[:3]) or ()) == 1]
+        if not around:
+            found.append((m.start(), "der", got[3]))
+        at = got[3]
     at = 0
     while m := ssh.search(run, at):
         at = m.end()
-        data = _bytes(run[m.start() :], hexed)
-        if (size := _openssh_size(data)) is not None:
-            at = m.start() + (2 * size if hexed else -(-size * 4 // 3)) if data[size:].strip(b"\0") else len(run)
+        data, begin, zeros = whole.at(m.start())
+        if (size := _openssh_size(data, begin)) is not None:
+            at = m.start() + whole.characters(size) if begin + size < zeros else len(run)
             found.append((m.start(), "openssh", at))
     return found
 
 
+def _closes(text: str, at: int) -> bool:
+    """Is what begins at a place an object with a key, at most DEEPEST brackets deep, of which the last closes at the end of the text?"""
+    if not _KEY.match(text, at):
+        return False
+    depth = 0
+    for m in _PART.finditer(text, at):
+        if m[0] in "{[":
+            depth += 1
+            if depth > DEEPEST:
+                return False
+        elif m[0] in "}]":
+            depth -= 1
+            if not depth:
+                return _BLANK.match(text, m.end()) is not None
+    return False
+
+
 def _tokens(b: bytes) -> Iterator[tuple[int, int]]:
     """(start, end) of the signed tokens, from whatever place in a run; a run is looked at once, not from each place in it."""
     marked = b.translate(_URL) if b"eyJ" in b else b""
     upto = lambda at: end if (end := marked.find(b" ", at)) >= 0 else len(b)
     s, end, tail, signed = b.find(b"eyJ"), -1, -1, False
+    whole: dict[int, tuple[int, str]] = {}  # by alignment: the first place asked for and what the run holds from there on
+
+    def header(s: int) -> dict:
+        """The JSON object from s to the end of its run. Most places are told by what the object begins with, without reading on."""
+        kind = (end - s) % 4
+        if kind not in whole:
+            whole[kind] = (s, (_decoded(b[s:end]) or b"").decode("latin-1"))
+        base, text = whole[kind]
+        return _json(b[s:end]) if _closes(text, (s - base) // 4 * 3) else {}
+
     while s >= 0:
         if s >= end:
             # what follows the header is the same for all places in its run
             end, tail = upto(s), -1
+            whole.clear()
             body = upto(end + 1)
             if b[end : end + 1] == b"." and body > end + 1 and b[body : body + 1] == b".":
                 tail = upto(body + 1)
@@ -230,7 +282,7 @@ def _tokens(b: bytes) -> Iterator[tuple[int, int]]:
             # a header is printable and ends with a bracket; its first and last characters tell most others
             head, close = _decoded(b[s : min(s + 16, end)]) or b"", _decoded(b[end - ((end - s) % 4 or 4) : end]) or b""
             if close[-1:] in (b"}", b" ", b"\n", b"\r", b"\t") and head and not any(c < 32 and c not in b"\t\n\r" for c in head):
-                alg = _json(b[s:end]).get("alg")
+                alg = header(s).get("alg")
                 if isinstance(alg, str) and (signed or alg.lower() == "none"):
                     yield s, tail
                     at = tail
