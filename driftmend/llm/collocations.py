@@ -35,7 +35,7 @@ NO_LANG = "und"
 MOST_BITS = 1 << 29  # of a filter: 64 MB
 CHUNK = 4096  # bytes of a filter that are filled as one
 HASHES = 3
-_HELD, _CHARS = 1_000_000, 1_000_000  # rows that a worker sums up before it lets go of them; bytes of text that it reads at a time
+_HELD, _CHARS = 400_000, 1_000_000  # rows that a worker sums up before it lets go of them; bytes of text that it reads at a time
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _BLANK, _END = 1, 2
 
