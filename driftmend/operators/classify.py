@@ -7,33 +7,38 @@ any side has twice is a duplicate and takes no further part; null identities sta
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmend.functions.columns import differs
-from driftmend.plans.rules import RuleSpec
+from driftmend.plans.rules import Matched, RuleSpec
 from driftmend.sources.snapshots import SnapshotPair
 
 
 def resolved(pair: SnapshotPair, side: str, rule: RuleSpec) -> DataFrame:
-    """The main table of a side with the natural key of its parent (null where there is none)."""
-    tables, rel = getattr(pair, side), rule.parent
-    dim = tables[rel.dimension].select(F.col(rel.primary_key).alias(rel.foreign_key), F.col(rel.natural_key).alias("parent_key"))
-    return tables[rule.table].join(dim, rel.foreign_key, "left")
+    """The main table of a side with the natural key of each parent as name_key (null where there is none)."""
+    tables = getattr(pair, side)
+    rows = tables[rule.table]
+    for rel in rule.parents:
+        dim = tables[rel.dimension].select(F.col(rel.primary_key).alias(rel.foreign_key), F.col(rel.natural_key).alias(f"{rel.name}_key"))
+        rows = rows.join(dim, rel.foreign_key, "left")
+    return rows
 
 
 def _reduced(pair: SnapshotPair, side: str, rule: RuleSpec, compare: str) -> DataFrame:
     prefix = "old" if side == "old" else "cur"
-    wide = lambda c: F.sha2(F.col(c).cast("binary"), 256) if compare == "digest" and c in rule.compared else F.col(c)
-    columns = dict.fromkeys(["parent_key", rule.equal_on, rule.kind, *rule.compared, *rule.authorized])
-    return resolved(pair, side, rule).groupBy(rule.identity).agg(F.count("*").alias(f"n_{prefix}"), *[F.first(wide(c)).alias(f"{prefix}_{c}") for c in columns])
+    wide = lambda c: F.sha2(F.col(c).cast("string").cast("binary"), 256) if compare == "digest" and c in rule.compared else F.col(c)
+    return resolved(pair, side, rule).groupBy(rule.identity).agg(F.count("*").alias(f"n_{prefix}"), *[F.first(wide(c)).alias(f"{prefix}_{c}") for c in rule.carried])
 
 
 def classify(pair: SnapshotPair, rule: RuleSpec, compare: str = "value") -> DataFrame:
-    """One row per identity: n_old, n_cur, class, what differs, and the rule's predicates.
+    """One row per identity: n_old, n_cur, class, what conflicts and differs, and the rule's predicates.
 
     class is duplicated, matched, old_only, current_only or unidentified (null identity, one row a side). Flags
-    are null unless matched. compare="digest" joins on digests of the compared columns, not their values.
+    are null unless matched. compare="digest" joins on digests of the compared columns, not their values, for rules whose predicates
+    ask of them only whether they differ or are missing.
     """
     old, cur = _reduced(pair, "old", rule, compare), _reduced(pair, "current", rule, compare)
     both = old.join(cur, rule.identity, "full_outer")
@@ -43,10 +48,9 @@ def classify(pair: SnapshotPair, rule: RuleSpec, compare: str = "value") -> Data
     )
     both = both.withColumn("class", kind)
     only = lambda c: F.when(F.col("class") == "matched", c)
-    flag = lambda c: only(differs(F.col(f"cur_{c}"), F.col(f"old_{c}")))
-    both = both.withColumns({"parent_conflict": flag("parent_key"), "time_conflict": flag(rule.equal_on)} | {f"{c}_differs": flag(c) for c in rule.compared})
-    both = both.withColumns({"candidate": only(rule.candidate()), "preserved": only(rule.preserved()), "unknown": only(rule.unknown())})
-    return both.withColumn("open", F.col("parent_conflict").isNotNull() & ~F.col("parent_conflict") & ~F.col("time_conflict") & F.col("unknown").isNull())
+    both = both.withColumns({k: only(c) for k, c in rule.conflict_columns().items()} | {f"{c}_differs": only(Matched(rule).differs(c)) for c in rule.compared})
+    both = both.withColumns({"candidate": only(rule.is_candidate()), "preserved": only(rule.is_preserved()), "unknown": only(rule.is_unknown())})
+    return both.withColumn("open", (F.col("class") == "matched") & ~Matched(rule).conflicts() & F.col("unknown").isNull())
 
 
 def _n(condition: Column) -> Column:
@@ -54,22 +58,24 @@ def _n(condition: Column) -> Column:
 
 
 def analysis_counts(classified: DataFrame, rule: RuleSpec, blocking: DataFrame | None = None) -> DataFrame:
-    """One row with every count of an analysis (sender conflicts and counts by kind are queries of their own).
+    """One row with every count of an analysis (audits and counts by kind are queries of their own).
 
-    blocking: rows of duplicate_naturals. If there are any, an analysis stops before it compares: only rows, missing and
-    repeated identities are counted, all else is 0.
+    Conflicts of each parent are counted, and those of a column of equal_on where no parent is in conflict. blocking: rows of
+    duplicate_naturals. If there are any, an analysis stops before it compares: only rows, missing and repeated
+    identities are counted, all else is 0.
     """
     of = lambda c: F.col("class") == c
     total = lambda n, c=None: F.coalesce(F.sum(F.when(of(c), F.col(n)) if c else F.col(n)), F.lit(0)).cast("long")
+    p = Matched(rule)
+    apart = functools.reduce(operator.or_, [p.conflict(r.name) for r in rule.parents], F.lit(False))
+    conflicts = [_n(p.conflict(r.name)).alias(f"{r.name}_conflicts") for r in rule.parents] + [_n(p.conflict(name) & ~apart).alias(f"{name}_conflicts") for _, name in rule.equal_on]
     counts = classified.agg(
         total("n_old").alias("old_messages"), total("n_cur").alias("current_messages"),
         total("n_old", "unidentified").alias("null_ids_old"), total("n_cur", "unidentified").alias("null_ids_current"),
         _n(of("duplicated")).alias("duplicate_ids"), _n(of("matched")).alias("matched"), _n(of("old_only")).alias("old_only"), _n(of("current_only")).alias("current_only"),
-        _n(F.col("parent_conflict")).alias("chat_conflicts"), _n(F.col("time_conflict") & ~F.col("parent_conflict")).alias("timestamp_conflicts"),
-        _n(F.col("candidate")).alias("candidates"), _n(F.col("candidate") & F.col(f"{rule.compared[0]}_differs")).alias("text_differences"),
-        _n(F.col("candidate") & F.col(f"{rule.compared[1]}_differs")).alias("metadata_differences"),
+        *conflicts, _n(F.col("candidate")).alias("candidates"), *[_n(F.col("candidate") & F.col(f"{c}_differs")).alias(name) for name, c in rule.tallies],
         _n(F.col("preserved")).alias("preserved_placeholders"), _n(F.col("unknown")).alias("unknown_differences"),
-        _n(null_old_kind(rule)).alias("null_old_type"), _n(F.col("open")).alias("residual_unclassified"),
+        *[_n(of("matched") & f.predicate(p)).alias(f.name) for f in rule.flags], _n(F.col("open")).alias("residual_unclassified"),
     )
     if blocking is None:
         return counts
@@ -82,15 +88,16 @@ def analysis_counts(classified: DataFrame, rule: RuleSpec, blocking: DataFrame |
 BEFORE_BLOCKERS = ("old_messages", "current_messages", "null_ids_old", "null_ids_current", "duplicate_ids")
 
 
-def null_old_kind(rule: RuleSpec) -> Column:
-    return (F.col("class") == "matched") & (F.col(f"cur_{rule.kind}") == rule.placeholder) & F.col(f"old_{rule.kind}").isNull()
+def flagged(classified: DataFrame, rule: RuleSpec, name: str) -> DataFrame:
+    """The matched rows with one of the rule's flags."""
+    (flag,) = [f for f in rule.flags if f.name == name]
+    return classified.filter((F.col("class") == "matched") & flag.predicate(Matched(rule)))
 
 
 def candidates(classified: DataFrame, rule: RuleSpec) -> DataFrame:
-    """(identity, old kind, text and metadata flags) of the rows to repair."""
-    return classified.filter("candidate").select(
-        rule.identity, F.col(f"old_{rule.kind}").alias("old_type"), F.col(f"{rule.compared[0]}_differs").alias("text_differs"), F.col(f"{rule.compared[1]}_differs").alias("metadata_differs")
-    )
+    """(identity, old_type, and for each tally whether its column differs) of the rows to repair."""
+    differ = [F.col(f"{c}_differs").alias(name.removesuffix("_differences") + "_differs") for name, c in rule.tallies]
+    return classified.filter("candidate").select(rule.identity, F.col(f"old_{rule.kind}").alias("old_type"), *differ)
 
 
 def candidates_by_type(found: DataFrame) -> DataFrame:
@@ -104,10 +111,15 @@ def duplicate_identities(pair: SnapshotPair, rule: RuleSpec) -> DataFrame:
 
 
 def duplicate_naturals(pair: SnapshotPair, rule: RuleSpec) -> DataFrame:
-    """(side, natural key, n) that a dimension holds more than once: these block an analysis (analysis_counts, plan_record)."""
-    key = rule.parent.natural_key
-    one = lambda side: getattr(pair, side)[rule.parent.dimension].filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(F.lit(side).alias("side"), key, "n")
-    return one("old").union(one("current"))
+    """(side, relationship, key, n): natural keys that a parent's dimension holds more than once: these block an analysis (analysis_counts, plan_record)."""
+    found = []
+    for side in ("old", "current"):
+        for rel in rule.parents:
+            keys = getattr(pair, side)[rel.dimension].select(F.lit(side).alias("side"), F.lit(rel.name).alias("relationship"), F.col(rel.natural_key).cast("string").alias("key"))
+            found.append(keys.filter("key is not null").groupBy("side", "relationship", "key").agg(F.count("*").alias("n")).filter("n > 1"))
+    if not found:
+        return pair.old[rule.table].sparkSession.createDataFrame([], "side string, relationship string, key string, n long")
+    return functools.reduce(DataFrame.union, found)
 
 
 def null_identity_counts(pair: SnapshotPair, rule: RuleSpec) -> DataFrame:
@@ -115,23 +127,26 @@ def null_identity_counts(pair: SnapshotPair, rule: RuleSpec) -> DataFrame:
     return one("old").union(one("current"))
 
 
-def sender_conflicts(pair: SnapshotPair, rule: RuleSpec) -> DataFrame:
-    """One row: pairs of rows with one identity, duplicates crossed, whose senders' natural keys differ.
+def audit_conflicts(pair: SnapshotPair, rule: RuleSpec) -> DataFrame:
+    """One row with name_conflicts for each audit: pairs of rows with one identity, duplicates crossed, whose natural keys differ.
 
-    Counted from rows per identity and sender, so that copies of an identity are never crossed.
+    Counted from rows per identity and key, so that copies of an identity are never crossed.
     """
-    rel = rule.sender
+    found = None
+    for rel in rule.audits:
 
-    def side(name: str, n: str) -> DataFrame:
-        tables = getattr(pair, name)
-        dim = tables[rel.dimension].select(F.col(rel.primary_key).alias(rel.foreign_key), F.col(rel.natural_key).alias("who"))
-        return tables[rule.table].filter(F.col(rule.identity).isNotNull()).join(dim, rel.foreign_key, "left").groupBy(rule.identity, "who").agg(F.count("*").alias(n))
+        def side(name: str, n: str, rel=rel) -> DataFrame:
+            tables = getattr(pair, name)
+            dim = tables[rel.dimension].select(F.col(rel.primary_key).alias(rel.foreign_key), F.col(rel.natural_key).alias("who"))
+            return tables[rule.table].filter(F.col(rule.identity).isNotNull()).join(dim, rel.foreign_key, "left").groupBy(rule.identity, "who").agg(F.count("*").alias(n))
 
-    old, cur = side("old", "o"), side("current", "c")
-    both = old.withColumn("c", F.lit(0).cast("long")).unionByName(cur.withColumn("o", F.lit(0).cast("long")))
-    each = both.groupBy(rule.identity, "who").agg(F.sum("o").alias("o"), F.sum("c").alias("c"))
-    per = each.groupBy(rule.identity).agg((F.sum("o") * F.sum("c") - F.sum(F.col("o") * F.col("c"))).alias("n"))
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("sender_conflicts"))
+        old, cur = side("old", "o"), side("current", "c")
+        both = old.withColumn("c", F.lit(0).cast("long")).unionByName(cur.withColumn("o", F.lit(0).cast("long")))
+        each = both.groupBy(rule.identity, "who").agg(F.sum("o").alias("o"), F.sum("c").alias("c"))
+        per = each.groupBy(rule.identity).agg((F.sum("o") * F.sum("c") - F.sum(F.col("o") * F.col("c"))).alias("n"))
+        one = per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias(f"{rel.name}_conflicts"))
+        found = one if found is None else found.join(one)  # tables of one row each
+    return pair.old[rule.table].sparkSession.range(1).select() if found is None else found
 
 
 def unpivoted(row: DataFrame, value: str = "n", name: str = "metric") -> DataFrame:
@@ -140,10 +155,14 @@ def unpivoted(row: DataFrame, value: str = "n", name: str = "metric") -> DataFra
     return row.select(F.explode(pairs).alias("x")).select("x.*")
 
 
-EXCLUSIONS = ("old_only", "current_only", "preserved_placeholders", "chat_conflicts", "timestamp_conflicts", "sender_conflicts", "unknown_differences", "null_ids_old", "null_ids_current", "duplicate_ids")
+def exclusion_reasons(rule: RuleSpec) -> tuple[str, ...]:
+    conflicts = (*rule.conflict_names, *(r.name for r in rule.audits))
+    return ("old_only", "current_only", "preserved_placeholders", *(f"{n}_conflicts" for n in conflicts), "unknown_differences", "null_ids_old", "null_ids_current", "duplicate_ids")
 
 
-def exclusions(counts: DataFrame, senders: DataFrame) -> DataFrame:
+def exclusions(counts: DataFrame, audits: DataFrame, rule: RuleSpec) -> DataFrame:
     """(reason, n) of what a plan leaves alone, without zeros."""
-    both = unpivoted(counts, name="reason").union(unpivoted(senders, name="reason"))
-    return both.filter(F.col("reason").isin(*EXCLUSIONS) & (F.col("n") > 0))
+    both = unpivoted(counts, name="reason")
+    if audits.columns:
+        both = both.union(unpivoted(audits, name="reason"))
+    return both.filter(F.col("reason").isin(*exclusion_reasons(rule)) & (F.col("n") > 0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmend.functions.columns import differs, public_id, shown, tagged
-from driftmend.operators.classify import analysis_counts, candidates, candidates_by_type, classify, duplicate_naturals, exclusions, sender_conflicts
+from driftmend.operators.classify import analysis_counts, audit_conflicts, candidates, candidates_by_type, classify, duplicate_naturals, exclusions
 from driftmend.operators.digest import table_digest
 from driftmend.plans.rules import RuleSpec
 from driftmend.sources.snapshots import SnapshotPair
@@ -51,25 +51,40 @@ def _list(table: DataFrame, alias: str) -> DataFrame:
     return table.agg(F.array_sort(F.collect_list(F.struct(*table.columns))).alias(alias))
 
 
+def select_rule(pair: SnapshotPair, rules: tuple[RuleSpec, ...]) -> tuple[RuleSpec | None, dict[str, list[str]]]:
+    """(the rule of least priority whose needs both sides meet, or None; what each other rule lacks). Only schemas are read."""
+    gaps = {r.id: snapshot_gaps(pair, r) for r in rules}
+    met = [r for r in sorted(rules, key=lambda r: r.priority) if not gaps[r.id]]
+    return met[0] if met else None, {k: v for k, v in gaps.items() if v}
+
+
+def analyse(pair: SnapshotPair, rules: tuple[RuleSpec, ...], salt: str, created: Column) -> tuple[RuleSpec | None, DataFrame]:
+    """(the selected rule, its plan); without one, None and an unsupported plan that lists as rule: gap what each rule lacks."""
+    rule, lacking = select_rule(pair, rules)
+    if rule is not None:
+        return rule, plan_record(pair, rule, salt, created)
+    every = [f"{r.id}: {gap}" for r in sorted(rules, key=lambda r: r.priority) for gap in lacking[r.id]]
+    return None, plan_record(pair, min(rules, key=lambda r: r.priority), salt, created, every)
+
+
 #: counts that a plan warns of, and why
 WARNINGS = (
     ("null_ids_old", "old rows without an identity are never matched or written"),
     ("null_ids_current", "current rows without an identity are never matched or written"),
     ("duplicate_ids", "identities that a side repeats are left out of matching and repair"),
-    ("null_old_type", "placeholders whose old kind is missing are left as they are"),
     ("residual_unclassified", "differing rows with a missing kind belong to no class"),
 )
 
 
-def plan_record(pair: SnapshotPair, rule: RuleSpec, salt: str, created: Column) -> DataFrame:
+def plan_record(pair: SnapshotPair, rule: RuleSpec, salt: str, created: Column, gaps: list[str] | None = None) -> DataFrame:
     """One row with all that a repair is judged by later; it holds no identifier and no text of the data.
 
     status is unsupported (gaps: what the rule requires and a side lacks; no counts), diagnostic_only (blockers, or nothing
     to repair) or actionable. plan_id hashes all content but the salt and the time, so equal inputs give
-    equal ids.
+    equal ids. gaps: where no rule is met, those of all rules.
     """
     spark = pair.current[rule.table].sparkSession if rule.table in pair.current else next(iter([*pair.current.values(), *pair.old.values()])).sparkSession
-    gaps = snapshot_gaps(pair, rule)
+    gaps = snapshot_gaps(pair, rule) if gaps is None else gaps
     fixed = {
         "rule": F.lit(rule.id), "rule_version": F.lit(rule.version), "predicate": F.lit(rule.statement), "authorized": F.array(*map(F.lit, rule.authorized)), "protected": F.array(*map(F.lit, rule.protected)),
         "schemas": _schemas(pair), "gaps": F.array(*map(F.lit, gaps)).cast("array<string>"),
@@ -79,14 +94,15 @@ def plan_record(pair: SnapshotPair, rule: RuleSpec, salt: str, created: Column)
     else:
         classified, blocking = classify(pair, rule), duplicate_naturals(pair, rule)
         counts = analysis_counts(classified, rule, blocking)
-        senders = sender_conflicts(pair, rule)
+        audits = audit_conflicts(pair, rule)
         by_type = _list(candidates_by_type(candidates(classified, rule)), "by_type")
-        blockers = _list(blocking.groupBy("side").agg(F.count("*").alias("n")).select(F.concat_ws(" ", "side", "n", F.lit("repeated"), F.lit(rule.parent.natural_key)).alias("blocker")), "b")
-        row = counts.join(_list(exclusions(counts, senders), "exclusions")).join(by_type).join(_list(input_digests(pair), "inputs")).join(blockers)  # tables of one row each
+        key = F.create_map(*[F.lit(x) for r in rule.parents for x in (r.name, r.natural_key)])[F.col("relationship")] if rule.parents else F.col("relationship")
+        blockers = _list(blocking.groupBy("side", "relationship").agg(F.count("*").alias("n")).select(F.concat_ws(" ", "side", "n", F.lit("repeated"), key).alias("blocker")), "b")
+        row = counts.join(_list(exclusions(counts, audits, rule), "exclusions")).join(by_type).join(_list(input_digests(pair), "inputs")).join(blockers)  # tables of one row each
         row = row.withColumn("blockers", F.transform("b", lambda b: b["blocker"])).drop("b")
         row = row.withColumn("by_type", F.when(F.size("blockers") == 0, F.col("by_type")).otherwise(F.slice("by_type", 1, 0)))
         status = F.when((F.size("blockers") == 0) & (F.col("candidates") > 0), "actionable").otherwise("diagnostic_only")
-        warnings = F.array_compact(F.array(*[F.when(F.col(c) > 0, F.concat_ws(" ", F.col(c).cast("string"), F.lit(why))) for c, why in WARNINGS]))
+        warnings = F.array_compact(F.array(*[F.when(F.col(c) > 0, F.concat_ws(" ", F.col(c).cast("string"), F.lit(why))) for c, why in (*WARNINGS, *((f.name, f.warning) for f in rule.flags))]))
         row = row.withColumns({"status": status, "predicted": F.col("candidates"), "warnings": warnings})
     row = row.withColumns(fixed)
     kinds = {f.name: f.dataType for f in row.schema}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,17 +15,66 @@ from driftmend.functions.columns import differs
 
 @dataclass(frozen=True)
 class Relationship:
-    """A foreign key of the main table and the dimension that gives it a key stable across snapshots."""
+    """A foreign key of the main table and the dimension that gives it a key stable across snapshots.
 
+    Rows whose natural keys differ between the sides conflict and are never repaired, and a natural key that a dimension
+    repeats blocks an analysis; with audit, conflicts are only counted, over all rows of an identity.
+    """
+
+    name: str
     foreign_key: str
     dimension: str
     primary_key: str
     natural_key: str
+    audit: bool = False
+
+
+class Matched:
+    """Names the columns of a matched pair for the predicates of a rule."""
+
+    def __init__(self, rule: RuleSpec):
+        self._rule = rule
+
+    def old(self, column: str) -> Column:
+        return F.col(f"old_{column}")
+
+    def cur(self, column: str) -> Column:
+        return F.col(f"cur_{column}")
+
+    def differs(self, column: str) -> Column:
+        """Null-safe: is the column another on the two sides?"""
+        return differs(self.cur(column), self.old(column))
+
+    def conflict(self, name: str) -> Column:
+        """Is the natural key of a relationship, or a column of equal_on, another on the two sides?"""
+        return F.col(f"{name}_conflict")
+
+    def conflicts(self) -> Column:
+        return functools.reduce(operator.or_, [self.conflict(n) for n in self._rule.conflict_names], F.lit(False))
+
+
+Predicate = Callable[[Matched], Column]
+
+
+@dataclass(frozen=True)
+class Flag:
+    """A further count of matched rows, and why a plan warns of it."""
+
+    name: str
+    predicate: Predicate
+    warning: str
 
 
 @dataclass(frozen=True)
 class RuleSpec:
-    """What a rule reads, writes and protects. Predicates take a function that names columns of a matched pair."""
+    """What a rule reads, writes and protects, and what it makes of a matched pair of rows.
+
+    relationships: any number, of which those that aren't audits must agree, as must the columns of equal_on, each with the name
+    its conflicts are counted under. candidate says which rows are repaired and preserved which are meant to be as they are,
+    both as columns over a Matched; whatever they say, a row in conflict is no candidate. A row without conflict that is
+    neither, and differs in kind or a compared column, is an unknown difference. kind: the column whose old value candidates
+    are counted by. tallies: (name, compared column) to count candidates by. statement: the predicate in words, for plans.
+    """
 
     id: str
     version: str
@@ -31,35 +82,56 @@ class RuleSpec:
     table: str
     identity: str
     row_key: str
+    statement: str
     kind: str
-    equal_on: str
+    relationships: tuple[Relationship, ...]
+    equal_on: tuple[tuple[str, str], ...]
     authorized: tuple[str, ...]
     protected: tuple[str, ...]
     compared: tuple[str, ...]
-    parent: Relationship
-    sender: Relationship
-    placeholder: int
+    candidate: Predicate
+    preserved: Predicate
     required: tuple[tuple[str, tuple[str, ...]], ...]
+    tallies: tuple[tuple[str, str], ...] = ()
+    flags: tuple[Flag, ...] = ()
+
+    @property
+    def parents(self) -> tuple[Relationship, ...]:
+        """The relationships that must agree."""
+        return tuple(r for r in self.relationships if not r.audit)
+
+    @property
+    def audits(self) -> tuple[Relationship, ...]:
+        return tuple(r for r in self.relationships if r.audit)
 
     @property
-    def statement(self) -> str:
-        """The candidate predicate in words, for plans."""
-        return f"{self.kind} is {self.placeholder} now and was another, {self.parent.natural_key} and {self.equal_on} are as they were"
+    def conflict_names(self) -> tuple[str, ...]:
+        return (*(r.name for r in self.parents), *(name for _, name in self.equal_on))
 
-    def candidate(self) -> Column:
-        now, was = F.col(f"cur_{self.kind}"), F.col(f"old_{self.kind}")
-        return (now == self.placeholder) & was.isNotNull() & (was != self.placeholder) & ~F.col("parent_conflict") & ~F.col("time_conflict")
+    @property
+    def carried(self) -> tuple[str, ...]:
+        """The columns of either side that a comparison needs, natural keys among them."""
+        return tuple(dict.fromkeys([*(f"{r.name}_key" for r in self.parents), *(c for c, _ in self.equal_on), self.kind, *self.compared, *self.authorized]))
+
+    def conflict_columns(self) -> dict[str, Column]:
+        p = Matched(self)
+        return {f"{r.name}_conflict": p.differs(f"{r.name}_key") for r in self.parents} | {f"{name}_conflict": p.differs(c) for c, name in self.equal_on}
+
+    def is_candidate(self) -> Column:
+        p = Matched(self)
+        return self.candidate(p) & ~p.conflicts()
+
+    def is_preserved(self) -> Column:
+        return self.preserved(Matched(self))
 
-    def preserved(self) -> Column:
-        return (F.col(f"cur_{self.kind}") == self.placeholder) & (F.col(f"old_{self.kind}") == self.placeholder)
+    def is_unknown(self) -> Column:
+        """Three-valued on purpose: null where the predicates are, as with a missing kind."""
+        p = Matched(self)
+        changed = functools.reduce(operator.or_, [p.differs(c) for c in self.compared], p.differs(self.kind))
+        return ~p.conflicts() & ~self.is_candidate() & ~self.is_preserved() & changed
 
-    def unknown(self) -> Column:
-        """Three-valued on purpose: null where a missing kind leaves it open."""
-        changed = differs(F.col(f"cur_{self.kind}"), F.col(f"old_{self.kind}"))
-        for c in self.compared:
-            changed = changed | F.col(f"{c}_differs")
-        return ~F.col("parent_conflict") & ~F.col("time_conflict") & ~self.candidate() & ~self.preserved() & changed
 
+PLACEHOLDER = 106  # fixed value: the kind of a row whose content is gone
 
 MESSAGE_RULE = RuleSpec(
     id="message-placeholder",
@@ -68,17 +140,44 @@ MESSAGE_RULE = RuleSpec(
     table="message",
     identity="msg_id",
     row_key="msg_pk",
+    statement="content_type is 106 now and was another, chat_mid and ts are as they were",
     kind="content_type",
-    equal_on="ts",
+    relationships=(Relationship("chat", "chat_pk", "chat", "chat_pk", "chat_mid"), Relationship("sender", "sender_pk", "user", "user_pk", "user_mid", audit=True)),
+    equal_on=(("ts", "timestamp"),),
     authorized=("content_type", "txt", "meta"),
     protected=("msg_id", "chat_pk", "sender_pk", "ts", "thumb"),
     compared=("txt", "meta", "thumb"),
-    parent=Relationship("chat_pk", "chat", "chat_pk", "chat_mid"),
-    sender=Relationship("sender_pk", "user", "user_pk", "user_mid"),
-    placeholder=106,
+    candidate=lambda p: (p.cur("content_type") == PLACEHOLDER) & p.old("content_type").isNotNull() & (p.old("content_type") != PLACEHOLDER),
+    preserved=lambda p: (p.cur("content_type") == PLACEHOLDER) & (p.old("content_type") == PLACEHOLDER),
     required=(("message", ("msg_pk", "msg_id", "chat_pk", "sender_pk", "ts", "content_type", "txt", "meta", "thumb")), ("chat", ("chat_pk", "chat_mid")), ("user", ("user_pk", "user_mid"))),
+    tallies=(("text_differences", "txt"), ("metadata_differences", "meta")),
+    flags=(Flag("null_old_type", lambda p: (p.cur("content_type") == PLACEHOLDER) & p.old("content_type").isNull(), "placeholders whose old kind is missing are left as they are"),),
 )
 
+#: orders that have lost their price: two parents, two columns that must agree, and no audit
+ORDER_RULE = RuleSpec(
+    id="order-price",
+    version="1",
+    priority=2,
+    table="purchase",
+    identity="order_no",
+    row_key="order_pk",
+    statement="cents and note are missing now, cents was there; buyer, country, day and state are as they were",
+    kind="urgency",
+    relationships=(Relationship("buyer", "buyer_pk", "buyer", "buyer_pk", "buyer_name"), Relationship("country", "country_pk", "country", "country_pk", "country_name")),
+    equal_on=(("day", "day"), ("state", "state")),
+    authorized=("cents", "note"),
+    protected=("order_no", "buyer_pk", "country_pk", "day", "state", "urgency"),
+    compared=("cents", "note"),
+    candidate=lambda p: p.cur("cents").isNull() & p.cur("note").isNull() & p.old("cents").isNotNull(),
+    preserved=lambda p: p.cur("cents").isNull() & p.old("cents").isNull(),
+    required=(("purchase", ("order_pk", "order_no", "buyer_pk", "country_pk", "day", "state", "urgency", "cents", "note")), ("buyer", ("buyer_pk", "buyer_name")), ("country", ("country_pk", "country_name"))),
+    tallies=(("note_differences", "note"),),
+    flags=(Flag("negative_prices", lambda p: p.old("cents") < 0, "prices below zero are restored as they were"),),
+)
+
+RULES = (MESSAGE_RULE, ORDER_RULE)
+
 
 def schema_fingerprint(columns: DataFrame) -> DataFrame:
     """(snapshot_id, tables, columns, digest) of columns (snapshot_id, table_name, pos, column_name).

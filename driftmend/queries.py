@@ -109,17 +109,17 @@ def duplicate_identities(spark, sf):
 
 @query(SNAPSHOTS, "SELECT 'old' side, chat_mid, count(*) n FROM old_chat GROUP BY chat_mid HAVING count(*)>1 UNION ALL SELECT 'current', chat_mid, count(*) FROM cur_chat GROUP BY chat_mid HAVING count(*)>1")
 def duplicate_chats(spark, sf):
-    return c.duplicate_naturals(_pair(spark, sf), RULE)
+    return c.duplicate_naturals(_pair(spark, sf), RULE).select("side", F.col("key").alias("chat_mid"), "n")
 
 
 @query(SNAPSHOTS, "SELECT msg_pk, msg_id, chat_mid AS parent_key FROM cur_msg LEFT JOIN cur_chat USING (chat_pk)")
 def chat_resolution(spark, sf):
-    return c.resolved(_pair(spark, sf), "current", RULE).select("msg_pk", "msg_id", "parent_key")
+    return c.resolved(_pair(spark, sf), "current", RULE).select("msg_pk", "msg_id", F.col("chat_key").alias("parent_key"))
 
 
 @query(JUDGED, "SELECT msg_id, moved_home, moved_time, new_txt, new_meta, new_thumb FROM judged WHERE found = 'both'")
 def matched_pairs(spark, sf):
-    names = {"parent_conflict": "moved_home", "time_conflict": "moved_time", "txt_differs": "new_txt", "meta_differs": "new_meta", "thumb_differs": "new_thumb"}
+    names = {"chat_conflict": "moved_home", "timestamp_conflict": "moved_time", "txt_differs": "new_txt", "meta_differs": "new_meta", "thumb_differs": "new_thumb"}
     return _classified(spark, sf).filter("class = 'matched'").select("msg_id", *[F.col(k).alias(v) for k, v in names.items()])
 
 
@@ -135,7 +135,7 @@ def current_only(spark, sf):
 
 @query(JUDGED, "SELECT sender_conflicts FROM senders")
 def sender_conflicts(spark, sf):
-    return c.sender_conflicts(_pair(spark, sf), RULE)
+    return c.audit_conflicts(_pair(spark, sf), RULE)
 
 
 @query(JUDGED, "SELECT msg_id, kind_was AS old_type, new_txt AS text_differs, new_meta AS metadata_differs FROM repairs ORDER BY msg_id")
@@ -155,7 +155,7 @@ def preserved_placeholders(spark, sf):
 
 @query(JUDGED, "SELECT msg_id FROM judged WHERE found = 'both' AND kind_now = 106 AND kind_was IS NULL")
 def null_old_type(spark, sf):
-    return _classified(spark, sf).filter(c.null_old_kind(RULE)).select("msg_id")
+    return c.flagged(_classified(spark, sf), RULE, "null_old_type").select("msg_id")
 
 
 @query(JUDGED, "SELECT msg_id FROM judged WHERE state = 'unexplained'")
@@ -188,9 +188,9 @@ def blocked_analysis(spark, sf):
     return c.analysis_counts(c.classify(pair, RULE), RULE, c.duplicate_naturals(pair, RULE))
 
 
-@query(JUDGED, "SELECT reason, n FROM (UNPIVOT (SELECT counts.*, sender_conflicts FROM counts, senders) ON COLUMNS(*) INTO NAME reason VALUE n) WHERE n>0 AND reason IN ('" + "','".join(c.EXCLUSIONS) + "')")
+@query(JUDGED, "SELECT reason, n FROM (UNPIVOT (SELECT counts.*, sender_conflicts FROM counts, senders) ON COLUMNS(*) INTO NAME reason VALUE n) WHERE n>0 AND reason IN ('" + "','".join(c.exclusion_reasons(RULE)) + "')")
 def exclusions(spark, sf):
-    return c.exclusions(c.analysis_counts(_classified(spark, sf), RULE), sender_conflicts(spark, sf))
+    return c.exclusions(c.analysis_counts(_classified(spark, sf), RULE), sender_conflicts(spark, sf), RULE)
 
 
 # --- repair and gates
@@ -352,7 +352,7 @@ def logical_digest(spark, sf):
     """Surrogate keys left out, so that two snapshots with the same content agree."""
     pair = _pair(spark, sf)
     users = pair.current["user"].withColumnRenamed("user_pk", "sender_pk")
-    rows = c.resolved(pair, "current", RULE).join(users, "sender_pk", "left").withColumnRenamed("parent_key", "chat_mid")
+    rows = c.resolved(pair, "current", RULE).join(users, "sender_pk", "left").withColumnRenamed("chat_key", "chat_mid")
     return table_digest(rows, list(_LOGICAL))
 
 
@@ -399,7 +399,7 @@ def _plan_sql() -> str:
     inputs = " || ',' || ".join(f"'{side}:{t}:' || (SELECT digest FROM ({_digest_sql(f'{p}_{n}', cols)}))" for side, p in (("current", "cur"), ("old", "old")) for t, (n, cols) in sorted(tables.items()))
     named = "(UNPIVOT (SELECT counts.*, sender_conflicts FROM counts, senders) ON COLUMNS(*) INTO NAME reason VALUE n)"
     return f"""SELECT 'actionable' status, candidates predicted, (SELECT string_agg(kind_was || ':' || n, ',' ORDER BY kind_was) FROM (SELECT kind_was, count(*) n FROM repairs GROUP BY kind_was)) by_type,
-  (SELECT string_agg(reason || ':' || n, ',' ORDER BY reason) FROM {named} WHERE n > 0 AND reason IN ('{"','".join(c.EXCLUSIONS)}')) exclusions, {inputs} inputs, '' blockers, '' gaps, '{RULE.id}' rule, '{RULE.version}' rule_version,
+  (SELECT string_agg(reason || ':' || n, ',' ORDER BY reason) FROM {named} WHERE n > 0 AND reason IN ('{"','".join(c.exclusion_reasons(RULE))}')) exclusions, {inputs} inputs, '' blockers, '' gaps, '{RULE.id}' rule, '{RULE.version}' rule_version,
   substring(sha256('{SALT}'), 1, 16) salt_id, 64 id_length, '2026-01-01T00:00:00+00:00' created FROM counts WHERE candidates > 0"""
 
 

@@ -94,8 +94,8 @@ def revalidate(pair: SnapshotPair, plan: DataFrame, planned: DataFrame, rule: Ru
         raise GateError("plan_invalidated", f"made with rule {row['rule']} version {row['rule_version']}")
     if gaps := snapshot_gaps(pair, rule):
         raise GateError("plan_invalidated", f"inputs now lack {', '.join(gaps)}")
-    if not duplicate_naturals(pair, rule).isEmpty():
-        raise GateError("plan_invalidated", f"inputs now have repeated {rule.parent.natural_key}")
+    if blocking := duplicate_naturals(pair, rule).select("relationship").distinct().collect():  # one row for each relationship at most
+        raise GateError("plan_invalidated", f"inputs now have repeated natural keys of {', '.join(sorted(r[0] for r in blocking))}")
     was = {(x["side"], x["table_name"]): x["digest"] for x in row["inputs"]}
     now = {(x["side"], x["table_name"]): x["digest"] for x in input_digests(pair).collect()}
     if was != now:

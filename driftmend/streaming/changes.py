@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from driftmend.functions.columns import differs
 from driftmend.operators.ledger import STAGES
 from driftmend.plans.rules import RuleSpec
 
@@ -41,13 +40,11 @@ def stage_state_stream(events: DataFrame) -> DataFrame:
 
 
 def candidate_stream(arriving: DataFrame, old: DataFrame, rule: RuleSpec) -> DataFrame:
-    """Arriving current rows that are candidates against a static old side (both with parent_key).
+    """Arriving current rows that are candidates against a static old side (both with the name_key of each parent).
 
     Identities that the old side has twice are left out; whether the current side repeats one is only known at
     the end, so what this finds is planned only after a full classification.
     """
-    unique = old.groupBy(rule.identity).agg(F.count("*").alias("n"), *[F.first(c).alias(f"old_{c}") for c in dict.fromkeys(["parent_key", rule.equal_on, rule.kind, *rule.compared])]).filter("n = 1")
-    both = arriving.join(unique, rule.identity)
-    both = both.withColumnsRenamed({c: f"cur_{c}" for c in dict.fromkeys(["parent_key", rule.equal_on, rule.kind, *rule.compared])})
-    flags = {"parent_conflict": differs(F.col("cur_parent_key"), F.col("old_parent_key")), "time_conflict": differs(F.col(f"cur_{rule.equal_on}"), F.col(f"old_{rule.equal_on}"))}
-    return both.withColumns(flags).filter(rule.candidate()).select(rule.identity, f"old_{rule.kind}")
+    unique = old.groupBy(rule.identity).agg(F.count("*").alias("n"), *[F.first(c).alias(f"old_{c}") for c in rule.carried]).filter("n = 1")
+    both = arriving.join(unique, rule.identity).withColumnsRenamed({c: f"cur_{c}" for c in rule.carried})
+    return both.withColumns(rule.conflict_columns()).filter(rule.is_candidate()).select(rule.identity, f"old_{rule.kind}")

@@ -6,7 +6,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from driftmend.operators.classify import BEFORE_BLOCKERS, analysis_counts, candidates, candidates_by_type, classify, duplicate_naturals, sender_conflicts, unpivoted
+from driftmend.operators.classify import BEFORE_BLOCKERS, analysis_counts, audit_conflicts, candidates, candidates_by_type, classify, duplicate_naturals, unpivoted
 from driftmend.operators.digest import changed_tables, table_digest
 from driftmend.operators.inventory import publish_gates
 from driftmend.operators.repair import repair, repair_gates, verdict
@@ -168,7 +168,7 @@ def test_conflicts_duplicates_and_nulls(spark):
     pair = golden(spark, old, cur, (("c1",), ("c2",)))
     n = counted(pair)
     assert (n["candidates"], n["timestamp_conflicts"], n["chat_conflicts"], n["null_ids_old"], n["null_ids_current"], n["duplicate_ids"], n["null_old_type"], n["residual_unclassified"]) == (227, 1, 1, 1, 1, 1, 1, 1)
-    assert sender_conflicts(pair, RULE).first()[0] == 1
+    assert audit_conflicts(pair, RULE).first()[0] == 1
     fixed = repair(pair, RULE)
     assert fixed.filter("msg_id is null or msg_id in ('dup', 'ts', 'chat', 'nokind')").filter("content_type <> 106").count() == 0
     blocked = golden(spark, old, cur, (("c1",), ("c1",)))

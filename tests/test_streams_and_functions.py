@@ -53,8 +53,8 @@ def test_ledger_batch_and_stream(spark, sf, tmp_path):
 
 
 def test_candidate_stream(spark, sf, tmp_path):
-    cur = derived(spark, sf, SNAPSHOTS, "cur_msg").join(derived(spark, sf, SNAPSHOTS, "cur_chat"), "chat_pk", "left").withColumnRenamed("chat_mid", "parent_key")
-    old = derived(spark, sf, SNAPSHOTS, "old_msg").join(derived(spark, sf, SNAPSHOTS, "old_chat"), "chat_pk", "left").withColumnRenamed("chat_mid", "parent_key")
+    cur = derived(spark, sf, SNAPSHOTS, "cur_msg").join(derived(spark, sf, SNAPSHOTS, "cur_chat"), "chat_pk", "left").withColumnRenamed("chat_mid", "chat_key")
+    old = derived(spark, sf, SNAPSHOTS, "old_msg").join(derived(spark, sf, SNAPSHOTS, "old_chat"), "chat_pk", "left").withColumnRenamed("chat_mid", "chat_key")
     cur.write.parquet(str(tmp_path / "in"))
     stream = candidate_stream(spark.readStream.schema(cur.schema).parquet(str(tmp_path / "in")), old, RULE).writeStream.format("memory").queryName("cands").start()
     try:
