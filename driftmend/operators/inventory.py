@@ -43,9 +43,9 @@ def file_id_mismatch(index: DataFrame) -> DataFrame:
 
 
 def stores(index: DataFrame) -> DataFrame:
-    """Records that are a message store, with their account directory."""
+    """Records flagged as files that are a message store, with their account directory."""
     account = F.regexp_extract("path", f"^{PREFIX}(P_u[^/]*){SUFFIX}$", 1)
-    return index.withColumn("account", account).filter(F.col("account") != "")
+    return index.filter(F.col("flags").bitwiseAND(FILE_FLAG) != 0).withColumn("account", account).filter(F.col("account") != "")
 
 
 def store_discovery(index: DataFrame, domains: tuple[str, ...] = DOMAINS) -> DataFrame:

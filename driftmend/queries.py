@@ -16,7 +16,7 @@ from driftmend.operators.digest import changed_tables, table_digest
 from driftmend.operators.repair import protected_field_changes, remaining_candidates, repair, repair_gates, repaired_field_mismatches, row_set_changes, table_set_changes, verdict
 from driftmend.plans import plan, rules
 from driftmend.plans.rules import MESSAGE_RULE as RULE
-from driftmend.sources.derived import BLOCKED, FILE_INDEX, FLEET, LEDGER, MANIFESTS, PLANS, SNAPSHOTS, TAMPERED, derived, oracle
+from driftmend.sources.derived import BLOCKED, EVIDENCE, FILE_INDEX, FLEET, LEDGER, MANIFESTS, ORDERS, PLANS, SNAPSHOTS, TAMPERED, derived, oracle
 from driftmend.sources.directories import dir_manifest, header_check
 from driftmend.sources.snapshots import SnapshotPair
 
@@ -356,6 +356,85 @@ def logical_digest(spark, sf):
     return table_digest(rows, list(_LOGICAL))
 
 
+# --- a rule of another shape, selected by what the tables have
+
+ORDERS_JUDGED = (
+    ORDERS
+    + """,
+was AS (SELECT o.*, buyer_name, country_name FROM old_ord o LEFT JOIN old_buyer USING (buyer_pk) LEFT JOIN old_country USING (country_pk)),
+now AS (SELECT o.*, buyer_name, country_name FROM cur_ord o LEFT JOIN cur_buyer USING (buyer_pk) LEFT JOIN cur_country USING (country_pk)),
+times AS (SELECT order_no, count(*) FILTER (side = 1) n_was, count(*) FILTER (side = 2) n_now FROM (SELECT order_no, 1 side FROM was UNION ALL SELECT order_no, 2 FROM now) GROUP BY order_no),
+pairs AS (
+  SELECT n.order_no, n.buyer_name IS DISTINCT FROM w.buyer_name other_buyer, n.country_name IS DISTINCT FROM w.country_name other_country, n.day IS DISTINCT FROM w.day other_day, n.state IS DISTINCT FROM w.state other_state,
+    n.urgency IS DISTINCT FROM w.urgency OR n.cents IS DISTINCT FROM w.cents OR n.note IS DISTINCT FROM w.note changed, n.note IS DISTINCT FROM w.note other_note, w.urgency urgency_was, w.cents cents_was, w.note note_was,
+    n.cents IS NULL AND n.note IS NULL AND w.cents IS NOT NULL lost, n.cents IS NULL AND w.cents IS NULL priceless
+  FROM times JOIN was w USING (order_no) JOIN now n USING (order_no) WHERE n_was = 1 AND n_now = 1 AND order_no IS NOT NULL),
+told AS (SELECT *, NOT (other_buyer OR other_country OR other_day OR other_state) agreed FROM pairs),
+restored AS (SELECT * FROM told WHERE agreed AND lost),
+fixed_ord AS (SELECT n.* REPLACE (CASE WHEN r.order_no IS NULL THEN n.cents ELSE r.cents_was END AS cents, CASE WHEN r.order_no IS NULL THEN n.note ELSE r.note_was END AS note) FROM cur_ord n LEFT JOIN restored r USING (order_no))"""
+)
+
+
+def _orders(spark, sf) -> SnapshotPair:
+    side = lambda p: {t: derived(spark, sf, ORDERS, f"{p}_{n}") for t, n in (("purchase", "ord"), ("buyer", "buyer"), ("country", "country"))}
+    return SnapshotPair(side("old"), side("cur"))
+
+
+def _selected(spark, sf) -> tuple[SnapshotPair, rules.RuleSpec]:
+    pair = _orders(spark, sf)
+    return pair, plan.select_rule(pair, rules.RULES)[0]
+
+
+@query(ORDERS_JUDGED, """SELECT (SELECT count(*) FROM old_ord) old_messages, (SELECT count(*) FROM cur_ord) current_messages, (SELECT count(*) FROM old_ord WHERE order_no IS NULL) null_ids_old,
+  (SELECT count(*) FROM cur_ord WHERE order_no IS NULL) null_ids_current, (SELECT count(*) FROM times WHERE order_no IS NOT NULL AND (n_was > 1 OR n_now > 1)) duplicate_ids, count(*) matched,
+  (SELECT count(*) FROM times WHERE order_no IS NOT NULL AND n_was = 1 AND n_now = 0) old_only, (SELECT count(*) FROM times WHERE order_no IS NOT NULL AND n_now = 1 AND n_was = 0) current_only,
+  count(*) FILTER (other_buyer) buyer_conflicts, count(*) FILTER (other_country) country_conflicts, count(*) FILTER (other_day AND NOT (other_buyer OR other_country)) day_conflicts,
+  count(*) FILTER (other_state AND NOT (other_buyer OR other_country)) state_conflicts, count(*) FILTER (agreed AND lost) candidates, count(*) FILTER (agreed AND lost AND other_note) note_differences,
+  count(*) FILTER (priceless) preserved_placeholders, count(*) FILTER (agreed AND changed AND NOT lost AND NOT priceless) unknown_differences, count(*) FILTER (cents_was < 0) negative_prices, CAST(0 AS BIGINT) residual_unclassified FROM told""")
+def order_counts(spark, sf):
+    pair, rule = _selected(spark, sf)
+    return c.analysis_counts(c.classify(pair, rule), rule)
+
+
+@query(ORDERS_JUDGED, "SELECT order_no, urgency_was AS old_type, other_note AS note_differs FROM restored ORDER BY order_no")
+def order_candidates(spark, sf):
+    pair, rule = _selected(spark, sf)
+    return c.candidates(c.classify(pair, rule), rule).orderBy(rule.identity)
+
+
+@query(ORDERS_JUDGED, "SELECT * FROM fixed_ord")
+def order_repaired(spark, sf):
+    return repair(*_selected(spark, sf))
+
+
+@query(ORDERS_JUDGED + ", bad_ord AS (SELECT * REPLACE (CASE WHEN order_pk%599=8 THEN note || '!' ELSE note END AS note, CASE WHEN order_pk%601=9 THEN NULL ELSE cents END AS cents, CASE WHEN order_pk%607=1 THEN 'Z' ELSE state END AS state) FROM fixed_ord WHERE order_pk%613<>2)", """
+SELECT gate, observed, expected, observed = expected passed FROM (
+  SELECT 'repaired fields' gate, CAST(coalesce(sum(CASE WHEN b.order_no IS NULL THEN 2 ELSE CAST(b.cents IS DISTINCT FROM r.cents_was AS INT) + CAST(b.note IS DISTINCT FROM r.note_was AS INT) END), 0) AS BIGINT) observed, CAST(0 AS BIGINT) expected
+    FROM restored r LEFT JOIN bad_ord b USING (order_no)
+  UNION ALL SELECT 'remaining candidates', count(*), 0 FROM told t JOIN (SELECT b.*, n.state state_now FROM bad_ord b JOIN cur_ord n USING (order_pk)) b USING (order_no) WHERE NOT (other_buyer OR other_country OR other_day)
+    AND b.state IS NOT DISTINCT FROM (SELECT w.state FROM was w WHERE w.order_no = t.order_no) AND b.cents IS NULL AND b.note IS NULL AND t.cents_was IS NOT NULL
+  UNION ALL SELECT 'protected fields', count(*), 0 FROM bad_ord b JOIN cur_ord n USING (order_pk) WHERE b.state IS DISTINCT FROM n.state
+  UNION ALL SELECT 'row set', count(*), 0 FROM cur_ord n WHERE NOT EXISTS (SELECT 1 FROM bad_ord b WHERE b.order_pk = n.order_pk)
+  UNION ALL SELECT 'row count', (SELECT count(*) FROM bad_ord), (SELECT count(*) FROM cur_ord)
+  UNION ALL SELECT 'unrelated tables', 0, 0 UNION ALL SELECT 'table set', 0, 0)""")
+def order_gates_damaged(spark, sf):
+    """The same gates, over a repair that was tampered with."""
+    pair, rule = _selected(spark, sf)
+    bad = repair(pair, rule).filter("order_pk % 613 <> 2").withColumns({
+        "note": F.expr("if(order_pk % 599 = 8, concat(note, '!'), note)"), "cents": F.expr("if(order_pk % 601 = 9, null, cents)"), "state": F.expr("if(order_pk % 607 = 1, 'Z', state)"),
+    })
+    return repair_gates(pair, pair.current | {rule.table: bad}, c.candidates(c.classify(pair, rule), rule), rule)
+
+
+@query(ORDERS_JUDGED, """SELECT 'order-price' AS rule, CASE WHEN count(*) > 0 THEN 'actionable' ELSE 'diagnostic_only' END status, count(*) predicted, '' gaps, (SELECT string_agg(urgency_was || ':' || n, ',' ORDER BY urgency_was) FROM (SELECT urgency_was, count(*) n FROM restored GROUP BY urgency_was)) by_type,
+  (SELECT string_agg(CAST(n AS VARCHAR) || ' prices below zero are restored as they were', ',') FROM (SELECT count(*) n FROM told WHERE cents_was < 0) WHERE n > 0) negative FROM restored""")
+def order_plan(spark, sf):
+    """The rule is chosen by what the tables have, and plans what it finds."""
+    rule, made = plan.analyse(_orders(spark, sf), rules.RULES, SALT, F.lit("2026-01-01T00:00:00+00:00"))
+    by_type = F.array_join(F.transform("by_type", lambda x: F.concat_ws(":", x["old_type"], x["n"])), ",")
+    return made.select("rule", "status", "predicted", F.array_join("gaps", ",").alias("gaps"), by_type.alias("by_type"), F.array_join(F.filter("warnings", lambda w: w.endswith(rule.flags[0].warning)), ",").alias("negative"))
+
+
 # --- plans and reports
 
 
@@ -484,7 +563,7 @@ def rfc3339_format(spark, sf):
 # --- inventory
 
 STORE_SQL = FILE_INDEX + """,
-store AS (SELECT *, regexp_extract(path, '^store/(P_u[^/]*)/messages/main[.]db$', 1) account FROM file_index WHERE regexp_matches(path, '^store/(P_u[^/]*)/messages/main[.]db$')),
+store AS (SELECT *, regexp_extract(path, '^store/(P_u[^/]*)/messages/main[.]db$', 1) account FROM file_index WHERE (flags & 1) <> 0 AND regexp_matches(path, '^store/(P_u[^/]*)/messages/main[.]db$')),
 sib AS (SELECT s.backup_id, s.path, f.path sibling, f.size FROM store s JOIN file_index f ON f.backup_id=s.backup_id AND f.domain=s.domain AND f.path<>s.path
   AND starts_with(f.path, concat('store/', s.account, '/messages/')) AND NOT contains(substring(f.path, length(concat('store/', s.account, '/messages/'))+1), '/')),
 pend AS (SELECT * FROM sib WHERE (sibling=path || '-wal' OR sibling=path || '-journal') AND coalesce(size,0)>0)"""
@@ -607,7 +686,7 @@ def _states(spark, sf):
 
 @query(STATES, "SELECT session_id, stage, state FROM states")
 def stage_states(spark, sf):
-    return _states(spark, sf)
+    return _states(spark, sf).drop("holds")
 
 
 @query(STATES, "SELECT session_id, stage, 'failed' state FROM states WHERE state='running'")
@@ -615,16 +694,34 @@ def interrupted_stages(spark, sf):
     return ledger.interrupted_stages(_states(spark, sf))
 
 
-@query(OUTPUTS, "SELECT session_id, stage, path, size FROM kept WHERE sensitive")
+HOLDING = OUTPUTS + """, own AS (SELECT session_id, CAST(stage AS INT) stage, arg_max(kind, seq) last_kind FROM ok WHERE kind <> 'invalidate' GROUP BY session_id, stage)"""
+
+
+@query(HOLDING, "SELECT session_id, stage, path, size FROM outputs o WHERE sensitive AND EXISTS (SELECT 1 FROM own w WHERE w.session_id = o.session_id AND w.stage = o.stage AND w.last_kind = 'commit')")
 def cleanup_set(spark, sf):
+    """Of committed stages, and of those that were invalidated after a commit."""
     return ledger.cleanup_set(derived(spark, sf, MANIFESTS, "outputs"), _states(spark, sf))
 
 
-@query(STATES, """SELECT session_id, stage, blockers='' can_run, blockers FROM (SELECT p.session_id, g.stage, concat_ws(',', CASE WHEN p.busy THEN 'busy' END,
-  string_agg('needs ' || CAST(d.stage AS VARCHAR), ',' ORDER BY d.stage)) blockers FROM (SELECT session_id, bool_or(state='running') busy FROM states GROUP BY session_id) p CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5)) g(stage)
-  LEFT JOIN (VALUES (0),(1),(3),(4),(5)) d(stage) ON d.stage<g.stage AND NOT EXISTS (SELECT 1 FROM states s WHERE s.session_id=p.session_id AND s.stage=d.stage AND s.state='committed') GROUP BY p.session_id, p.busy, g.stage)""")
+def _gate_sql() -> str:
+    """Each need of each stage looked up by itself."""
+    said = "CASE WHEN EXISTS (SELECT 1 FROM states t WHERE t.session_id = s.session_id AND t.state = 'running') THEN 'an operation is running' END"
+    have = "SELECT 1 FROM evidence e WHERE e.session_id = s.session_id AND e.flag = '{}' AND e.value AND (e.stage IS NULL OR EXISTS (SELECT 1 FROM states t WHERE t.session_id = e.session_id AND t.stage = e.stage AND t.state = 'committed'))"
+    analysed = "CASE WHEN NOT EXISTS (SELECT 1 FROM states t WHERE t.session_id = s.session_id AND t.stage = 1 AND t.state = 'committed') THEN 'no analysis' END"
+    lack = lambda flag, reason: f"CASE WHEN NOT EXISTS ({have.format(flag)}) THEN '{reason.replace(chr(39), chr(39) * 2)}' END"
+    each = {
+        0: [], 1: [lack("old_intake", "old intake isn't complete"), lack("current_intake", "current intake isn't complete")], 2: [analysed],
+        3: [analysed, lack("plan_actionable", "plan isn't actionable"), lack("current_patchable", "current side isn't patchable"), lack("destination_selected", "no destination"),
+            lack("review_acknowledged", "review isn't acknowledged"), lack("count_typed", "count isn't typed"), lack("confirmed", "confirmation differs from plan")],
+        4: ["'runs by itself after patching'"], 5: [lack("verified", "not verified")],
+    }
+    return "SELECT session_id, stage, blockers = '' can_run, blockers FROM (" + " UNION ALL ".join(f"SELECT session_id, {k} stage, concat_ws(',', {', '.join([said, *v])}) blockers FROM sessions s" for k, v in each.items()) + ")"
+
+
+@query(STATES + EVIDENCE[len(LEDGER) :], _gate_sql)
 def stage_gate(spark, sf):
-    return ledger.stage_gate(_states(spark, sf))
+    sessions, evidence = (derived(spark, sf, EVIDENCE, n) for n in ("sessions", "evidence"))
+    return ledger.stage_gate(sessions, _states(spark, sf), evidence)
 
 
 @query(OUTPUTS, "SELECT path, size FROM clone_manifest c WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.path=c.path AND k.size=c.size)")

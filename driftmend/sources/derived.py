@@ -63,6 +63,25 @@ bad_user AS (SELECT user_pk, CASE WHEN user_pk=1007 THEN 'renamed' ELSE user_mid
 BLOCKED = SNAPSHOTS + """,
 twin_chat AS (SELECT chat_pk, CASE WHEN chat_pk%13=5 THEN 'shared' ELSE chat_mid END chat_mid FROM cur_chat)"""
 
+#: Two snapshots of orders for a rule of another shape: two parents, two columns that must agree, prices that were lost.
+ORDERS = """
+first_ord AS (SELECT o_orderkey k, o_custkey buyer_pk, o_orderkey%25 country_pk, o_orderdate ts, o_orderstatus state0, o_orderpriority urgency FROM {orders}),
+old_ord AS (
+  SELECT k order_pk, CASE WHEN k%331=4 THEN NULL ELSE concat('ord-', CAST(k AS STRING)) END order_no, buyer_pk, country_pk, CAST(ts AS DATE) AS day, state0 state, urgency,
+    CASE WHEN k%43=3 THEN NULL ELSE k*37%10000 - CASE WHEN k%59=2 THEN 10000 ELSE 0 END END cents, CASE WHEN k%3=0 OR k%43=3 THEN NULL ELSE concat('note ', CAST(k AS STRING)) END note
+  FROM first_ord
+  UNION ALL SELECT k+7000000, concat('ord-', CAST(k AS STRING)), buyer_pk, country_pk, CAST(ts AS DATE), state0, urgency, 1, NULL FROM first_ord WHERE k%1511=10),
+cur_ord AS (
+  SELECT order_pk+3000000 order_pk, order_no, CASE WHEN order_pk%173=5 THEN buyer_pk%7+1 ELSE buyer_pk END + 500000 buyer_pk, CASE WHEN order_pk%181=6 THEN (country_pk+3)%25 ELSE country_pk END + 100 country_pk,
+    CASE WHEN order_pk%191=7 THEN DATE '1999-09-09' ELSE day END AS day, CASE WHEN order_pk%193=8 THEN NULL ELSE state END state, CASE WHEN order_pk%83=9 THEN NULL ELSE urgency END urgency,
+    CASE WHEN order_pk%31=4 OR order_pk%173=5 OR order_pk%191=7 THEN NULL WHEN order_pk%71=1 THEN cents+1 ELSE cents END cents, CASE WHEN order_pk%31=4 OR order_pk%173=5 OR order_pk%191=7 THEN NULL ELSE note END note
+  FROM old_ord WHERE order_pk%887<>12
+  UNION ALL SELECT k+9000000, concat('new-', CAST(k AS STRING)), buyer_pk+500000, country_pk+100, CAST(ts AS DATE), state0, urgency, 5, NULL FROM first_ord WHERE k%457=2),
+old_buyer AS (SELECT c_custkey buyer_pk, c_name buyer_name FROM {customer}),
+cur_buyer AS (SELECT c_custkey+500000 buyer_pk, c_name buyer_name FROM {customer}),
+old_country AS (SELECT n_nationkey country_pk, n_name country_name FROM {nation}),
+cur_country AS (SELECT n_nationkey+100 country_pk, n_name country_name FROM {nation})"""
+
 FILE_INDEX = """
 acct AS (SELECT c_custkey k, c_custkey - c_custkey%2 backup_id,
                 concat('P_u', substring(md5(c_name),1,8)) acct,
@@ -74,7 +93,7 @@ raw AS (SELECT k, backup_id, acct, domain, nm,
         FROM acct CROSS JOIN names WHERE NOT (nm='main.db' AND (k%3=0 OR k%5=0))),
 file_index AS (SELECT backup_id,
     CASE WHEN k%23=9 AND nm='main.db' THEN sha1(concat('bad-',path)) ELSE sha1(concat(domain,'-',path)) END file_id,
-    domain, path, CASE WHEN nm='' THEN 2 ELSE 1 END flags,
+    domain, path, CASE WHEN nm='' OR nm='main.db' AND k%37=7 THEN 2 ELSE 1 END flags,
     CASE WHEN nm='main.db-wal' THEN CASE WHEN k%7=0 THEN (k%3)*4096 ELSE 0 END ELSE 4096+k END size,
     CASE WHEN k%11=5 THEN 2 WHEN k%13=6 THEN NULL WHEN k%4=0 THEN 1 WHEN k%4=2 THEN 4 ELSE 3 END protection_class,
     k%19<>3 has_key, k%17=4 has_digest,
@@ -107,6 +126,13 @@ events_log AS (SELECT user_id session_id, event_id seq,
     CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END stage,
     CASE event_id%5 WHEN 0 THEN 'begin' WHEN 1 THEN 'begin' WHEN 3 THEN 'fail' ELSE 'commit' END kind FROM {events})"""
 
+#: What stages have found out, by session, stage and flag; some sessions have nothing, some no event.
+EVIDENCE = LEDGER + """,
+sessions AS (SELECT c_custkey session_id FROM {customer} UNION SELECT session_id FROM events_log),
+flags_known AS (SELECT 0 stage, 'old_intake' flag, 0 j UNION ALL SELECT 0, 'current_intake', 1 UNION ALL SELECT 0, 'current_patchable', 2 UNION ALL SELECT 1, 'plan_actionable', 3
+  UNION ALL SELECT 2, 'review_acknowledged', 4 UNION ALL SELECT NULL, 'destination_selected', 5 UNION ALL SELECT NULL, 'count_typed', 6 UNION ALL SELECT NULL, 'confirmed', 7 UNION ALL SELECT 4, 'verified', 8),
+evidence AS (SELECT session_id, stage, flag, CASE WHEN (session_id*5+j)%31=3 THEN NULL ELSE (session_id*7+j*3)%11<>4 END AS value FROM sessions CROSS JOIN flags_known WHERE (session_id+j)%13<>5)"""
+
 FLEET = """
 need AS (SELECT 0 j, 'message' table_name, 'msg_pk' column_name UNION ALL SELECT 1,'message','msg_id' UNION ALL SELECT 2,'message','chat_pk'
   UNION ALL SELECT 3,'message','sender_pk' UNION ALL SELECT 4,'message','ts' UNION ALL SELECT 5,'message','content_type' UNION ALL SELECT 6,'message','txt'
