@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmend.functions.columns import BAR
@@ -48,7 +53,8 @@ def redacted(report: DataFrame, text: str, identifiers: DataFrame, salt: str, sh
 
     Each identifier is looked up by the stretch of `shortest` characters in it that the fewest identifiers share, so
     that a common beginning makes no candidates. Only hashes of stretches meet in that join; candidates are
-    compared as a whole, once for each distinct text.
+    compared as a whole, once for each distinct text. What overlaps is settled in one sweep for each text, in
+    time that grows with its length and the number of its hits.
     """
     known = identifiers.select("identifier", _wide(F.col("identifier")).alias("w")).filter(F.octet_length("w") >= 4 * shortest).distinct()
     grams = known.select("identifier", F.posexplode(_grams(F.col("w"), shortest)).alias("place", "gram"))
@@ -60,44 +66,88 @@ def redacted(report: DataFrame, text: str, identifiers: DataFrame, salt: str, sh
     near = near.groupBy("h").agg(F.collect_list(F.struct("start", "identifier")).alias("near"))
     stop = lambda m: m["start"] + F.char_length(m["identifier"])
     real = F.filter("near", lambda m: _cut(F.col("w"), m["start"], stop(m)) == _wide(m["identifier"]))
-    found = texts.join(near, "h").withColumn("w", _wide(F.col("t"))).select("h", F.explode(real).alias("m"))
-    found = found.select("h", "m.start", stop(F.col("m")).alias("stop"), "m.identifier").distinct()
-    # what overlaps, directly or through others, is settled together
-    order = Window.partitionBy("h").orderBy("start", F.desc("stop"), "identifier")
-    found = found.withColumn("reach", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    found = found.withColumn("knot", F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(order))
-    listed = F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("stop")).alias("size"), "start", "stop", "identifier")))
-    free = lambda taken, m: ~F.exists(taken, lambda x: (x["start"] < m["stop"]) & (m["start"] < x["stop"]))
-    kind = "array<struct<size:int,start:int,stop:int,identifier:string>>"
-    kept = F.aggregate(listed, F.array().cast(kind), lambda taken, m: F.when(free(taken, m), F.concat(taken, F.array(m))).otherwise(taken))
-    kept = found.groupBy("h", "knot").agg(kept.alias("kept")).select("h", F.explode("kept").alias("m"))
-    marks = kept.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("m.start", "m.stop", redaction(salt, F.col("m.identifier")).alias("mark")))).alias("marks"))
+    hits = F.transform(real, lambda m: F.struct(m["start"].alias("start"), stop(m).cast("int").alias("stop"), m["identifier"].alias("identifier")))
+    settled = F.arrow_udf(_settled, "array<struct<start:int,stop:int,identifier:string>>")
+    found = texts.join(near, "h").withColumn("w", _wide(F.col("t"))).withColumn("kept", settled(hits)).filter(F.size("kept") > 0)
+    found = found.withColumn("marks", F.transform("kept", lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), redaction(salt, m["identifier"]).alias("mark"))))
     # before each mark what follows the one before it, and the end of the text
     ends = F.concat(F.array(F.lit(0)), F.transform("marks", lambda m: m["stop"]))
     pieces = F.transform("marks", lambda m, i: F.concat(F.decode(_cut(F.col("w"), F.get(ends, i), m["start"]), "UTF-32"), m["mark"]))
     tail = F.decode(_cut(F.col("w"), F.element_at(ends, -1), F.octet_length("w") / 4), "UTF-32")
-    clean = texts.join(marks, "h").withColumn("w", _wide(F.col("t"))).select(F.col("h").alias("_h"), F.concat(F.array_join(pieces, ""), tail).alias("_clean"))
+    clean = found.select(F.col("h").alias("_h"), F.concat(F.array_join(pieces, ""), tail).alias("_clean"))
     whole = report.withColumn("_h", F.sha2(text, 256)).join(clean, "_h", "left")
     return whole.select(*[F.coalesce("_clean", text).alias(text) if c == text else F.col(c) for c in report.columns])
 
 
-def privacy_scan(report: DataFrame, text: str, identifiers: DataFrame, longest: int = 256) -> DataFrame:
+_KEPT = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("identifier", pa.string())]))
+
+
+def _settled(hits: pa.Array) -> pa.Array:
+    """Of the hits in each text those that are replaced, in their order: the longest first, of equally long ones the first.
+
+    A hit overlaps with one that was taken before, and so isn't shorter, only if that covers its first or last character.
+    """
+    out = []
+    for row in hits:
+        found = row.values
+        start, stop = (found.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "stop"))
+        names = found.field("identifier").to_pylist()
+        order = sorted(range(len(start)), key=lambda i: (start[i] - stop[i], start[i], names[i]))
+        covered, kept = np.zeros(int(stop.max(initial=0)), bool), []
+        for i in order:
+            a, b = int(start[i]), int(stop[i])
+            if not (covered[a] or covered[b - 1]):
+                covered[a:b] = True
+                kept.append(i)
+        out.append([{"start": int(start[i]), "stop": int(stop[i]), "identifier": names[i]} for i in sorted(kept, key=lambda i: start[i])])
+    return pa.array(out, _KEPT)
+
+
+SHARD = 200_000  # identifiers that one automaton holds, about
+
+
+def _automaton(words: list[str]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for w in words:
+        found.add_word(w)
+    found.make_automaton()
+    return found
+
+
+_BUILT: dict[str, ahocorasick.Automaton] = {}
+
+
+def _leaky(texts: DataFrame, words: list[str]) -> DataFrame:
+    """The texts (t, n) that contain one of the words, each read once whatever the number and lengths of the words."""
+    if not words:
+        return texts.limit(0)
+    shared, name = texts.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
+
+    @F.arrow_udf("boolean")
+    def leaks(column: pa.Array) -> pa.Array:
+        if name not in _BUILT:
+            _BUILT.clear()  # a worker keeps one automaton
+            _BUILT[name] = _automaton(shared.value)
+        known = _BUILT[name]
+        return pa.array([next(known.iter(t), None) is not None if t else False for t in column.to_pylist()], pa.bool_())
+
+    return texts.filter(leaks.asNondeterministic()(F.col("t")))
+
+
+def privacy_scan(report: DataFrame, text: str, identifiers: DataFrame, shard: int = SHARD) -> DataFrame:
     """One row: texts that contain a known identifier anywhere (leaks) and the texts scanned, null ones among them.
 
-    Every stretch of a text as long as some identifier is compared with the identifiers of that length as a whole; the
-    lengths, of which there are few, are all that the driver learns. Long texts are cut into blocks that are read
-    with what follows them, so no text is walked through more than once for each length.
+    Identifiers are dealt by hash into shards of bounded size, of which the driver holds one at a time; each is an Aho-Corasick automaton
+    that all distinct texts stream through. Nothing is shared with redacted. Null and empty identifiers are none.
     """
-    lengths = sorted(r["n"] for r in identifiers.select(F.char_length("identifier").alias("n")).distinct().collect() if r["n"])
-    texts = report.groupBy(F.col(text).alias("t")).agg(F.count("*").alias("n"))
-    if not lengths:
-        return texts.agg(F.lit(0).cast("long").alias("leaks"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("scanned"))
-    block = max(longest, lengths[-1])
-    blocks = F.regexp_extract_all("t", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
-    read = texts.filter("t is not null").select(F.sha2("t", 256).alias("h"), blocks.alias("b")).select("h", F.posexplode("b").alias("i", "own"), "b")
-    read = read.select("h", F.concat("own", F.coalesce(F.get("b", F.col("i") + 1), F.lit(""))).alias("own"))
-    every = lambda n: F.transform(F.sequence(F.lit(1), F.length("own") - n + 1), lambda i: F.substring("own", i, F.lit(n)))
-    stretches = F.flatten(F.array(*[F.when(F.length("own") >= n, every(n)).otherwise(F.array().cast("array<string>")) for n in lengths]))
-    leaky = read.select("h", F.explode(stretches).alias("identifier")).join(identifiers.select("identifier"), "identifier", "left_semi").select("h").distinct().withColumn("leak", F.lit(1))
-    told = texts.withColumn("h", F.sha2("t", 256)).join(leaky, "h", "left")
-    return told.agg(F.coalesce(F.sum(F.col("n") * F.col("leak")), F.lit(0)).cast("long").alias("leaks"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("scanned"))
+    known = identifiers.select(F.col("identifier").cast("string").alias("identifier")).filter("identifier <> ''").distinct()
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    texts = report.groupBy(F.col(text).cast("string").alias("t")).agg(F.count("*").alias("n"))
+    shards = max(1, -(-known.count() // shard))
+    found = None
+    for k in range(shards):
+        own = known if shards == 1 else known.filter(F.pmod(F.xxhash64("identifier"), F.lit(shards)) == k)
+        leaky = _leaky(texts, [r[0] for r in own.toLocalIterator()]).select(F.sha2("t", 256).alias("h"), "n")
+        found = leaky if found is None else found.union(leaky)
+    found = found if shards == 1 else found.dropDuplicates(["h"])
+    return found.agg(n("n").alias("leaks")).join(texts.agg(n("n").alias("scanned")))  # two tables of one row each

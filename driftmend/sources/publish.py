@@ -31,38 +31,117 @@ def _place(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     files, place = _place(spark, path)
     files.delete(place, True)
 
 
 def _move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename; onto what is there already it fails."""
     files, place = _place(spark, source)
     to = _place(spark, target)[1]
     files.mkdirs(to.getParent())
-    if not files.rename(place, to):
+    if files.exists(to) or not files.rename(place, to):
         raise GateError("publish_failed", f"{source} can't be moved to {target}")
 
 
+def _note(spark: SparkSession, path: str, text: str) -> None:
+    """A small file with a text, in one piece: written beside its place and renamed."""
+    files, place = _place(spark, path + ".new")
+    out = files.create(place, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    _drop(spark, path)
+    _move(spark, path + ".new", path)
+
+
 def write_table(table: DataFrame, path: str, overwrite: bool = False, form: str = "parquet") -> None:
     """Write a table; one that is there already is replaced only if that is asked for."""
     table.write.format(form).mode("overwrite" if overwrite else "errorifexists").save(path)
 
 
+#: the state of published tables lies in their own folder, so that it comes and goes with them
+STATE = "_state"
+
+
+def read_state(spark: SparkSession, final: str) -> dict | None:
+    """What is published at a place: state, plan_id, n_rows, digest and failed_gates; None if nothing is."""
+    return spark.read.json(f"{final}/{STATE}").first().asDict() if _there(spark, final) else None
+
+
+def recover(spark: SparkSession, final: str) -> str | None:
+    """Finish or take back a publication that was broken off: new or old says which of them final holds, None that there was none.
+
+    While one goes on, final.pending is there. If the new output had been moved to final it stays and what it replaced goes; else
+    what had been set aside comes back.
+    """
+    pending, aside, staged = f"{final}.pending", f"{final}.aside", f"{final}.staged"
+    if not _there(spark, pending):
+        return None
+    if not _there(spark, staged) and _there(spark, final):
+        told = "new"
+        _drop(spark, aside)
+    else:
+        told = "old"
+        if _there(spark, aside) and not _there(spark, final):
+            _move(spark, aside, final)
+        _drop(spark, staged)
+    _drop(spark, pending)
+    return told
+
+
+def _replace(spark: SparkSession, staging: str, final: str, after: Callable[[str], None]) -> None:
+    """Put staging in the place of final: a note of what goes on, old output aside, new output in, and the note's removal as the commit.
+
+    After an error final holds what it held before, or the new output if that was in place; after a crash recover does the same.
+    """
+    moved = False
+    try:
+        _move(spark, staging, f"{final}.staged")
+        after("staged")
+        _note(spark, f"{final}.pending", staging)
+        after("noted")
+        if _there(spark, final):
+            _move(spark, final, f"{final}.aside")
+        after("set aside")
+        _move(spark, f"{final}.staged", final)
+        moved = True
+        after("moved")
+        _drop(spark, f"{final}.aside")
+        after("cleared")
+        _drop(spark, f"{final}.pending")
+        after("committed")
+    except Exception as e:
+        recover(spark, final)
+        _drop(spark, f"{final}.staged")
+        if not moved:
+            raise GateError("publish_failed", f"{final} holds what it held before: {e}") from e
+
+
 def write_audit_publish(
-    tables: dict[str, DataFrame], main: str, staging: str, final: str, audit: Callable[[dict[str, DataFrame]], DataFrame], plan_id: str | None = None, overwrite: bool = False, keep_unverified: bool = False
-) -> dict[str, DataFrame]:
+    tables: dict[str, DataFrame], main: str, staging: str, final: str, audit: Callable[[dict[str, DataFrame]], DataFrame], plan_id: str | None = None, overwrite: bool = False, keep_unverified: bool = False,
+    after: Callable[[str], None] = lambda step: None,
+) -> dict[str, DataFrame]:
     """Write tables to staging, read them back, audit, and move the audited files to final; the tables there.
 
-    A JSON row beside them, in final.state, has the state, plan_id, the rows and digest of the main table, and the failed
-    gates. If a gate fails nothing is published and GateError raised: staging is dropped, so that a retry starts clean, and
-    staging.state says which gates failed. With keep_unverified the files go to final all the same, as
-    unverified. What final holds already is replaced only with overwrite. Staging and final share a file system.
+    Their folder has a JSON row _state with the state, plan_id, the rows and digest of the main table, and the failed gates: it is
+    written before the move and moves with the files, so that none says verified without them. If a gate fails nothing
+    is published and GateError raised: staging is dropped, so that a retry starts clean, and staging.state says which gates
+    failed. With keep_unverified the files go to final all the same, as unverified. What final holds already is replaced only with
+    overwrite, and comes back if the replacement fails; a publication broken off by a crash is settled first (recover).
+    Staging and final share a file system. after: called with the name of each step of the move.
     """
     spark = tables[main].sparkSession
-    files, place = _place(spark, final)
-    if files.exists(place) and not overwrite:
+    recover(spark, final)
+    if _there(spark, final) and not overwrite:
         raise GateError("export_conflict", f"{final} is there already")
+    _drop(spark, staging)
+    _drop(spark, f"{final}.staged")
     for name, table in tables.items():
         write_table(table, f"{staging}/{name}", overwrite=True)
     staged = read_tables(spark, staging, list(tables))
@@ -75,9 +154,8 @@ def write_audit_publish(
         write_table(state.coalesce(1), f"{staging}.state", True, "json")
         _drop(spark, staging)
         raise GateError("gates_failed", told["failed"])
-    write_table(state.coalesce(1), f"{final}.state", True, "json")
-    _drop(spark, final)
-    _move(spark, staging, final)
+    write_table(state.coalesce(1), f"{staging}/{STATE}", True, "json")
+    _replace(spark, staging, final, after)
     return read_tables(spark, final, list(tables))
 
 

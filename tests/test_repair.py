@@ -60,7 +60,7 @@ def test_repaired_equals_expected(spark, tmp_path):
     planned = candidates(classify(pair, RULE), RULE)
     plan = planned_record(pair, tmp_path)
     done = apply_plan(pair, plan, planned, RULE, str(tmp_path / "staging"), str(tmp_path / "final"))["message"]
-    state = spark.read.json(str(tmp_path / "final.state")).first()
+    state = spark.read.json(str(tmp_path / "final" / "_state")).first()
     assert (state["state"], state["n_rows"], state["failed_gates"], state["plan_id"]) == ("verified", done.count(), [], plan.first()["plan_id"])
     assert state["digest"] == table_digest(done).first()["digest"] and not (tmp_path / "staging").exists()
     assert set(read_tables(spark, str(tmp_path / "final"), ["message", "chat", "user"])) == {"message", "chat", "user"}
@@ -146,7 +146,7 @@ def test_what_fails_is_not_published(spark, tmp_path):
     state = spark.read.json(str(tmp_path / "s.state")).first()
     assert state["state"] == "unverified" and state["failed_gates"] == ["row count", "row set"] and not (tmp_path / "f").exists() and not (tmp_path / "s").exists()
     write(plan_id="p", keep_unverified=True)
-    state = spark.read.json(str(tmp_path / "f.state")).first()
+    state = spark.read.json(str(tmp_path / "f" / "_state")).first()
     assert (state["state"], state["plan_id"], state["failed_gates"]) == ("unverified", "p", ["row count", "row set"]) and (tmp_path / "f" / "message").exists()
 
 
