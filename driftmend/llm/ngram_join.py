@@ -11,7 +11,8 @@ more than FEW sets share it, which costs little where documents are rare and fin
 miss. On the way each set is compared with the head of the longest run that it doesn't lead itself, so a node
 of any size gives as many candidates as it has members; what is verified is merged into components. The best-linked
 member of each node of the target's length is then compared with those that it isn't connected with, and last, in
-blocks, whatever members of a node still are not in one component. Every candidate is verified on the whole sets.
+blocks, whatever members of a node still are not in one component: all of them in a node of at most NODE members, and in larger
+ones those that share an n-gram which a link can't lack (prefix filter). Every candidate is verified on the whole sets.
 
 Links are counted without listing the pairs of a component. Jaccard distance is a metric: with the distances
 of two members to their component's pivot, many pairs are links for certain and are counted from a
@@ -26,17 +27,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmend.llm.common import frugal, global_rank, null_safe, range_sorted, written
+from driftmend.llm.common import frugal, global_rank, null_safe, written
 from driftmend.llm.words import mix, slices, word_hashes
 
 WORDS, THRESHOLD, RECALL, TREES, DEPTH = 5, 0.8, 0.999, 20, 7
 SCALE, BAND, MEMBERS = 1000, 50, 256  # steps of distance; steps in a band of blocks; members of a block
 HUBS = 3  # rounds of comparing with the best-linked member of a node
 FEW, SHORTEST = 4, 3  # sets that may share a prefix shorter than the target needs; the shortest such prefix
-STRETCH = 1 << 19  # rows of the sorted order that are looked at together
+STRETCH = 1 << 17  # rows of the sorted order that are looked at together, and written as one row
+NODE = 512  # members of a node up to which they are compared as a whole
 
 
 def least_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -121,28 +124,40 @@ def _light(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
     return slim.mapInArrow(frugal(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, h long, id1 long, id2 long, n long, labels binary")
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], depth: int, most: int) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray]]:
-    """((partition, place of the first), ids, tree and label) of the unbroken stretches of the sorted order, at most `most` rows each."""
-    held: list[tuple] = []
-    key = (-1, -1)
+def _packed(depth: int, most: int):
+    """The sorted rows (id, tree, label) of each partition in stretches of at most `most` rows, a row each: partition, place of the first, ids, trees and labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, at, held, n = TaskContext.get().partitionId(), 0, [], 0
+
+        def row(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            ids, labels = (np.concatenate(x) for x in zip(*parts))
+            return pa.RecordBatch.from_arrays([pa.array([p]), pa.array([at]), pa.array([ids], pa.list_(pa.int64())), pa.array([labels.tobytes()], pa.binary())], names=["p", "i", "ids", "labels"])
+
+        for batch in batches:
+            ids, tree = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tree"))
+            labels = np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u2").reshape(-1, depth)
+            rows = np.column_stack([tree, labels]).astype("<u2")
+            while len(ids):
+                k = min(len(ids), most - n)
+                held.append((ids[:k], rows[:k]))
+                ids, rows, n = ids[k:], rows[k:], n + k
+                if n == most:
+                    yield row(held)
+                    held, at, n = [], at + n, 0
+        if held:
+            yield row(held)
+
+    return run
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray]]:
+    """((partition, place of the first), ids, tree and label) of the stretches, as they were written, however the files are split."""
     for batch in batches:
-        p, i, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_p", "_i", "id"))
-        text = b"".join(batch.column("label").to_pylist())
-        rows = np.column_stack([batch.column("tree").to_numpy(zero_copy_only=False).astype(np.int32), np.frombuffer(text, ">u2").reshape(-1, depth).astype(np.int32)])
-        new = np.ones(len(p), bool)
-        new[1:] = (p[1:] != p[:-1]) | (i[1:] != i[:-1] + 1)
-        new |= i % most == 0
-        if held and len(p):
-            new[0] = p[0] != key[0] or i[0] != key[1] + sum(len(x[0]) for x in held) or i[0] % most == 0
-        cuts = np.append(np.flatnonzero(new), len(p))
-        if held and len(p) and not new[0]:
-            held.append((ids[: cuts[0]], rows[: cuts[0]]))
-        for a, b in zip(cuts, cuts[1:]):
-            if held:
-                yield key, *(np.concatenate(x) for x in zip(*held))
-            key, held = (int(p[a]), int(i[a])), [(ids[a:b], rows[a:b])]
-    if held:
-        yield key, *(np.concatenate(x) for x in zip(*held))
+        for k in range(batch.num_rows):
+            ids = batch.column("ids")[k].values.to_numpy(zero_copy_only=False)
+            rows = np.frombuffer(batch.column("labels")[k].as_py(), "<u2").reshape(-1, depth + 1).astype(np.int32)
+            yield (batch.column("p")[k].as_py(), batch.column("i")[k].as_py()), ids, rows
 
 
 def _shared(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -160,13 +175,13 @@ class _Runs:
         self.size, self.head = np.diff(np.append(first, len(ids))), np.minimum.reduceat(ids, first)
 
 
-def _ends(depth: int, least: int, most: int):
+def _ends(depth: int, least: int):
     """Of each stretch: its ends, and the runs there."""
     lengths = range(min(SHORTEST, least), depth + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for (p, i), ids, rows in _stretches(batches, depth, most):
+        for (p, i), ids, rows in _stretches(batches, depth):
             shared = _shared(rows[1:], rows[:-1])
             runs = [_Runs(ids, shared, d) for d in lengths]
             out.append((p, i, len(ids), rows[0].tolist(), rows[-1].tolist(), *([int(getattr(r, what)[k]) for r in runs] for k in (0, -1) for what in ("size", "head"))))
@@ -207,16 +222,15 @@ def _forest(sets: DataFrame, trees: int, depth: int, least: int, most: int = STR
     """(id, k, head): for each set in each tree its node k of the target's prefix, if others share it, and the set to compare it with."""
     spark = sets.sparkSession
     parts = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("labels", t * (2 * depth) + 1, F.lit(2 * depth)))
-    order = written(range_sorted(sets.select("id", F.posexplode(parts).alias("tree", "label")), ["tree", "label", "id"]), "join-forest")
+    rows = sets.select("id", F.posexplode(parts).alias("tree", "label")).repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
+    order = written(rows.mapInArrow(frugal(_packed(depth, most)), "p long, i long, ids array<long>, labels binary"), "join-forest")
     shortest = min(SHORTEST, least)
     # a row for each stretch of the order reaches the driver
-    ends = order.mapInArrow(_ends(depth, least, most), "p long, i long, n long, " + ", ".join(f"{c} array<long>" for c in ("first", "last", "first_size", "first_head", "last_size", "last_head"))).collect()
+    ends = order.mapInArrow(_ends(depth, least), "p long, i long, n long, " + ", ".join(f"{c} array<long>" for c in ("first", "last", "first_size", "first_head", "last_size", "last_head"))).collect()
     known = spark.sparkContext.broadcast(_joined_ends(ends, depth + 1 - shortest, shortest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ids, rows in _stretches(batches, depth, most):
-            if key not in known.value:
-                raise ValueError("the sorted order was split otherwise when it was read again")
+        for key, ids, rows in _stretches(batches, depth):
             ends = known.value[key]
             shared = _shared(rows[1:], rows[:-1])
             to, size_above = np.full(len(ids), -1, np.int64), None
@@ -335,22 +349,65 @@ def _block_merges(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _blocks_of(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): merging links between members (k, id, component) of left and right with one k, compared in blocks of bounded size."""
+    count = lambda t, c: t.groupBy("k").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias(c))
+    size = written(count(left, "x_n").join(count(right, "y_n"), "k"), "join-blocks-of")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = left.join(size, "k").select("k", "id", "component", part("x_n").alias("x"), "y_n").select("k", "id", "component", "x", every("y_n").alias("y"), F.lit(0).alias("side"))
+    two = right.join(size, "k").select("k", "id", "component", part("y_n").alias("y"), "x_n").select("k", "id", "component", every("x_n").alias("x"), "y", F.lit(1).alias("side"))
+    rows = one.unionByName(two).join(sets, "id").select("k", "x", "y", "side", "id", "component", "grams", F.lit(threshold).alias("threshold"))
+    return rows.groupBy("k", "x", "y").applyInPandas(_block_merges, "a long, b long").distinct()
+
+
+def _listed(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(k, id, component, short) for members (id, component): k is an n-gram of the beginning of each set, rarest first.
+
+    Two sets as alike as the threshold share an n-gram of the first (1 - threshold) of the one, and of the still fewer, short, that
+    suffice for the smaller one of a pair: what both must have in common is more than is left behind these. Where sets
+    share a frame but aren't linked, each has more n-grams of its own than that, so no list of theirs is long.
+    """
+    per = round(threshold * 1_000_000)
+    grams = written(large.join(sets, "id").select("id", "component", F.size("grams").alias("size"), F.explode("grams").alias("gram")), "join-lists-all")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
+    # n-grams that only one of them has are in no list, but count for the order: they come first
+    own = grams.groupBy("id").agg(F.first("size").alias("size"), F.first("component").alias("component"))
+    common = grams.select("id", "gram").join(counts, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("common"))
+    at = own.join(common, "id").withColumn("alone", F.col("size") - F.size("common"))
+    probe = F.col("size") - F.expr(f"cast((cast(size as bigint) * {per} + 999999) div 1000000 as int)") + 1
+    short = F.col("size") - F.expr(f"cast((2 * cast(size as bigint) * {per} + {1_000_000 + per - 1}) div {1_000_000 + per} as int)") + 1
+    listed = at.select("id", "component", "alone", short.alias("short"), F.posexplode(F.slice("common", 1, F.greatest(probe - F.col("alone"), F.lit(0)))).alias("place", "c"))
+    return listed.select(F.col("c.gram").alias("k"), "id", "component", (F.col("alone") + F.col("place") < F.col("short")).alias("short"))
+
+
 def _merges(named: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b): links that connect components which meet in a node (k, id, component).
 
-    In each node the members outside its largest component are compared with all members, in blocks of bounded
-    size, so nothing is emitted but merging links.
+    In a node of up to NODE members those outside its largest component are compared with all members. Members of larger nodes are
+    compared with those that share one of the rarest n-grams of their sets, which no link can lack. Both in blocks of bounded size,
+    so nothing is emitted but merging links.
     """
-    sizes = named.groupBy("k", "component").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("k").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
-    blocks = lambda n: F.ceil(n / MEMBERS).cast("int")
-    most = written(most.select("k", F.col("most.component").alias("main"), blocks(F.col("n") - F.col("most.n")).alias("x_n"), blocks(F.col("n")).alias("y_n")), "join-mixed")
-    each = named.join(most, "k").withColumn("x", F.pmod(F.xxhash64("id"), F.col("x_n")).cast("int")).withColumn("y", F.pmod(F.xxhash64("id"), F.col("y_n")).cast("int"))
-    every = lambda n: F.sequence(F.lit(0), n - 1)
-    few = each.filter("component <> main").select("k", "id", "component", "x", F.explode(every(F.col("y_n"))).alias("y"), F.lit(0).alias("side"))
-    all_ = each.select("k", "id", "component", F.explode(every(F.col("x_n"))).alias("x"), "y", F.lit(1).alias("side"))
-    rows = few.unionByName(all_).join(sets, "id").select("k", "x", "y", "side", "id", "component", "grams", F.lit(threshold).alias("threshold"))
-    return rows.groupBy("k", "x", "y").applyInPandas(_block_merges, "a long, b long").distinct()
+
+    def apart(table: DataFrame, name: str) -> DataFrame:
+        """k with several components: its largest, and the number of members."""
+        sizes = table.groupBy("k", "component").agg(F.count("*").alias("n"))
+        most = sizes.groupBy("k").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+        return written(most.select("k", F.col("most.component").alias("main"), "n"), name)
+
+    mixed = apart(named, "join-mixed")
+    small = named.join(mixed.filter(F.col("n") <= NODE), "k")
+    found = _blocks_of(small.filter("component <> main").select("k", "id", "component"), small.select("k", "id", "component"), sets, threshold)
+    large = mixed.filter(F.col("n") > NODE)
+    if large.isEmpty():
+        return found
+    members = written(named.join(large.select("k"), "k", "left_semi").select("id", "component").distinct(), "join-large")
+    lists = written(_listed(members, sets, threshold), "join-lists")
+    lists = lists.join(apart(lists, "join-lists-mixed").select("k", "main"), "k")
+    pick = lambda what: lists.filter(what).select("k", "id", "component")
+    outside = _blocks_of(pick("short and component <> main"), pick("true"), sets, threshold)
+    inside = _blocks_of(pick("short and component = main"), pick("component <> main"), sets, threshold)
+    return found.union(outside).union(inside).distinct()
 
 
 def _block_counts(rows: pd.DataFrame) -> pd.DataFrame:

@@ -61,3 +61,60 @@ def test_recall_on_all_pairs(spark):
     found = {r["doc_id"]: r["n_links"] for r in join_classes(spark.createDataFrame(rows)).collect()}
     assert sum(links) > 100
     assert sum(found[r["doc_id"]] for r in rows) >= 0.999 * sum(links) and all(found[r["doc_id"]] <= n for r, n in zip(rows, links))
+
+
+def frames(n, own, rng):
+    """Texts of one frame of 170 words and some words of their own: near the threshold, but not linked."""
+    frame = [f"f{i}" for i in range(170)]
+    return [" ".join([*frame, *(f"o{rng.randrange(10**9)}" for _ in range(own))]) for _ in range(n)]
+
+
+def plain_links(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := t.split()) else set() for t in texts]
+    return [sum(i != j and bool(a) and 5 * len(a & b) >= 4 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+
+
+def test_large_nodes_lose_no_link(spark, monkeypatch):
+    """Nodes beyond NODE members are compared through lists; the links are those of all pairs."""
+    from driftmend.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "NODE", 4)
+    rng = random.Random(5)
+    base = frames(60, 40, rng)
+    texts = base + [t + " tail" for t in base[:20]] + [" ".join(t.split()[: 205 - rng.randrange(8)]) for t in base[20:40]] + frames(30, 28, rng) + frames(10, 2, rng)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["n_links"] for r in join_classes(docs).orderBy("doc_id").collect()] == plain_links(texts)
+
+
+def test_work_in_a_frame_grows_with_its_members(spark):
+    """Rows compared in blocks don't grow with the square of a node."""
+    from driftmend.llm.ngram_join import _listed, _sets
+
+    rng, sizes = random.Random(6), []
+    for n in (200, 800):
+        docs = spark.createDataFrame(list(enumerate(frames(n, 34, rng))), "doc_id long, text string")
+        wanted = docs.selectExpr("doc_id id", "doc_id", "xxhash64(text) h")
+        from driftmend.llm.ngram_join import _light
+
+        ids = _light(docs, 5, 1, 1).select("doc_id", "id1", "id2")
+        sets = _sets(docs, wanted.join(ids, "doc_id"), 5)
+        lists = _listed(docs.selectExpr("doc_id id", "doc_id component"), sets, 0.8)
+        by = lists.groupBy("k").agg({"short": "max", "id": "count"}).collect()
+        sizes.append(sum(r["count(id)"] for r in by if r["max(short)"]))
+    assert sizes[1] <= 6 * sizes[0] + 50
+
+
+def test_files_split_otherwise_on_the_second_read(spark):
+    """Stretches are rows of the written table."""
+    rng = random.Random(7)
+    data = [(i + 1, bytearray(rng.randbytes(TREES * DEPTH * 2) if i % 3 else bytes(TREES * DEPTH * 2))) for i in range(500)]
+    sets = spark.createDataFrame(data, "id long, labels binary").repartition(3)
+    want = sorted(map(repr, _forest(sets, TREES, DEPTH, LEAST, 37).collect()))
+    plan = _forest(sets, TREES, DEPTH, LEAST, 37)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        assert sorted(map(repr, plan.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
