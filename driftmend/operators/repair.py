@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmend.functions.columns import differs
@@ -93,23 +96,44 @@ def _listed(row: DataFrame, gates: dict[str, tuple[str, str]]) -> DataFrame:
     return row.select(F.explode(each).alias("g")).select("g.*")
 
 
+def _held(columns: list[str]) -> list[Column]:
+    """Two 64-bit hashes of some columns, nulls told from values, that tell rows apart without carrying them."""
+    parts = [c for name in columns for c in (F.col(name), F.col(name).isNull())]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts)]
+
+
+def _by_row_key(current: DataFrame, repaired: DataFrame, rule: RuleSpec) -> DataFrame:
+    """One row of counts over the row keys of both sides, from one shuffle with partial sums: rows of each side, keys that one side lacks or
+    whose identity is another, and keys of both sides with a protected column that differs."""
+
+    def side(table: DataFrame, after: int) -> DataFrame:
+        names = [*zip("ij", _held([rule.identity])), *zip("pq", _held(list(rule.protected)))]
+        return table.select(rule.row_key, F.lit(1 - after).alias("b"), F.lit(after).alias("a"), *[c.alias(n) for n, c in names])
+
+    only = lambda c, which: F.when(F.col(which) == 1, F.col(c))
+    ends = [f(only(c, which)).alias(f"{f.__name__}_{c}_{which}") for c in "ijpq" for which in "ba" for f in (F.min, F.max)]
+    each = side(current, 0).unionByName(side(repaired, 1)).groupBy(rule.row_key).agg(F.sum("b").alias("b"), F.sum("a").alias("a"), *ends)
+    other = lambda columns: functools.reduce(operator.or_, [F.col(f"{f}_{c}_b") != F.col(f"{f}_{c}_a") for c in columns for f in ("min", "max")])
+    lone, n = (F.col("b") == 0) | (F.col("a") == 0) | F.col(rule.row_key).isNull(), lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return each.agg(n("b").alias("rows_before"), n("a").alias("rows_after"), F.count_if(lone | other("ij")).alias("unmatched"), F.count_if(~lone & other("pq")).alias("touched"))
+
+
 def repair_gates(pair: SnapshotPair, repaired: dict[str, DataFrame], planned: DataFrame, rule: RuleSpec) -> DataFrame:
     """(gate, observed, expected, passed): all must pass before a repaired snapshot is published.
 
-    repaired: all tables as written. The gates on rows share one join by row key with the current side, those on
-    identities one classification against the old side; all other tables are compared in one shuffle.
+    repaired: all tables as written. The gates on rows, their number among them, share one grouping by row key of hashes of both
+    sides, those on identities one classification against the old side; all other tables are compared in one shuffle.
+    A row key that a side repeats counts once in the first; the number of rows tells.
     """
     current, after = pair.current[rule.table], repaired[rule.table]
-    rows = _row_sets(current, after, rule).agg(F.count_if(F.expr("in_before and in_after and touched")).alias("touched"), F.count_if(F.expr(_UNMATCHED)).alias("unmatched"))
     again = classify(SnapshotPair(pair.old, repaired), rule).join(planned.select(rule.identity, F.lit(True).alias("planned")), rule.identity, "full_outer")
-    wrong = sum((differs(F.col(f"cur_{c}"), F.col(f"old_{c}")).cast("long") for c in rule.authorized), F.lit(0))
+    wrong = functools.reduce(operator.add, [differs(F.col(f"cur_{c}"), F.col(f"old_{c}")).cast("long") for c in rule.authorized], F.lit(0))
     wrong = F.when(F.col("class").eqNullSafe("matched"), wrong).otherwise(F.lit(len(rule.authorized)))
     ids = again.agg(F.coalesce(F.sum(F.when(F.col("planned"), wrong)), F.lit(0)).alias("mismatches"), F.count_if("candidate").alias("remaining"))
     others = lambda tables: {k: v for k, v in tables.items() if k != rule.table}
     names = len({*pair.current} ^ {*repaired})
     found = _listed(ids, {"repaired fields": ("mismatches", "0"), "remaining candidates": ("remaining", "0")})
-    found = found.union(_listed(rows, {"protected fields": ("touched", "0"), "row set": ("unmatched", "0")}))
-    found = found.union(_listed(_row_counts(current, after), {"row count": ("rows_after", "rows_before")}))
+    found = found.union(_listed(_by_row_key(current, after, rule), {"protected fields": ("touched", "0"), "row set": ("unmatched", "0"), "row count": ("rows_after", "rows_before")}))
     if others(pair.current) or others(repaired):
         found = found.union(_listed(changed_tables(others(pair.current), others(repaired)).agg(F.count_if("changed").alias("n")), {"unrelated tables": ("n", "0"), "table set": (f"{names}", "0")}))
     return found.withColumn("passed", F.col("observed").eqNullSafe(F.col("expected")))

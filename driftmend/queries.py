@@ -18,6 +18,7 @@ from driftmend.plans import plan, rules
 from driftmend.plans.rules import MESSAGE_RULE as RULE
 from driftmend.sources.derived import BLOCKED, EVIDENCE, FILE_INDEX, FLEET, LEDGER, MANIFESTS, ORDERS, PLANS, SNAPSHOTS, TAMPERED, derived, oracle
 from driftmend.sources.directories import dir_manifest, header_check
+from driftmend.sources.scratch import staged
 from driftmend.sources.snapshots import SnapshotPair
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,8 +277,11 @@ def _gates_sql(msg: str, user: str) -> str:
 
 @query(JUDGED + _remaining("repaired"), _gates_sql("repaired", "cur_user"))
 def gates_of_repair(spark, sf):
+    """Over the repaired snapshot and the plan as written."""
     pair = _pair(spark, sf)
-    return repair_gates(pair, pair.current | {"message": repair(pair, RULE)}, _planned(spark, sf), RULE)
+    pair = SnapshotPair(staged(pair.old, "gates-old"), staged(pair.current, "gates-current"))
+    planned = staged({"planned": c.candidates(c.classify(pair, RULE), RULE)}, "gates-plan")["planned"]
+    return repair_gates(pair, pair.current | staged({"message": repair(pair, RULE, planned)}, "gates-repaired"), planned, RULE)
 
 
 @query(BAD + _remaining("bad_msg"), _gates_sql("bad_msg", "bad_user"))
