@@ -5,8 +5,8 @@ and prefix polynomials over the words of many texts give the fingerprint of ever
 either half, at the cost of a subtraction and a product. Four passes read the texts:
 
 1. words by fingerprint; those that occur often enough pass on, in a Bloom filter of bounded size;
-2. pairs of such words, likewise;
-3. words and pairs that pass, and the runs of 3 and 4 words all of whose pairs do. What is shuffled is a fingerprint, its
+2. runs of 2 and 3 such words, likewise;
+3. words and runs that pass, and the runs of 4 words both of whose runs of 3 do. What is shuffled is a fingerprint, its
    number, the least and greatest of its second halves, and a pointer to one occurrence;
 4. the texts of the frequent ones alone, read where the pointers say.
 
@@ -211,7 +211,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _counts(docs: DataFrame, bits: int, words: Filter | None = None) -> DataFrame:
-    """(fp, lang, n): of all words, or, with a filter of words, of the pairs of those that pass.
+    """(fp, lang, n): of all words, or, with a filter of words, of the runs of 2 and 3 of those that pass.
 
     lang is null but in the rows without fp, which hold the number of words of each language.
     """
@@ -226,12 +226,12 @@ def _counts(docs: DataFrame, bits: int, words: Filter | None = None) -> DataFram
                 at = r.whole(1)
                 if known is None:
                     totals.update(dict(zip(r.tongues, np.bincount(r.tongue[r.text], minlength=len(r.tongues)).tolist())))
+                    own = [r.fingerprint(at, 1)]
                 else:
                     passed = known.has(r.fingerprint(at, 1))
-                    at = r.whole(2)
-                    at = at[passed[at] & passed[at + 1]]
-                own = r.fingerprint(at, 1 if known is None else 2)
-                tally.add(own, np.ones(len(own), np.int64))
+                    own = [r.fingerprint(at[functools.reduce(np.logical_and, [passed[at + k] for k in range(n)])], n) for n in (2, 3) for at in [r.whole(n)]]
+                for keys in own:
+                    tally.add(keys, np.ones(len(keys), np.int64))
                 if tally.size > _HELD:
                     yield rows(*tally.rows())
                     tally = _Tally()
@@ -241,28 +241,26 @@ def _counts(docs: DataFrame, bits: int, words: Filter | None = None) -> DataFram
     return docs.mapInArrow(frugal(run), "fp long, lang string, n long").groupBy("fp", "lang").agg(F.sum("n").alias("n"))
 
 
-def _passing(r: Runs, words: Filter, pairs: Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(n, places, fingerprints) of the runs of each length that pass."""
+def _passing(r: Runs, words: Filter, longer: Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, places, fingerprints) of the runs of each length that pass, as do both runs of one word less in them."""
     at = r.whole(1)
-    own = r.fingerprint(at, 1)
-    passed = words.has(own)
-    yield 1, at[passed], own[passed]
-    at = r.whole(2)
-    at = at[passed[at] & passed[at + 1]]
-    own = r.fingerprint(at, 2)
-    passed = pairs.has(own)
-    at, own = at[passed], own[passed]
-    yield 2, at, own
-    joint = np.zeros(len(r.codes) + LONGEST, bool)
-    joint[at] = True
-    for n in range(3, LONGEST + 1):
-        at = at[joint[at + n - 2]]
-        yield n, at, r.fingerprint(at, n)
-
-
-def _pointed(docs: DataFrame, bits: int, words: Filter, pairs: Filter) -> DataFrame:
+    for n in range(1, LONGEST + 1):
+        if n > 1:
+            there = np.zeros(len(r.codes) + 1, bool)
+            there[at] = True
+            at = at[there[at + 1]]
+            if n == 2:
+                at = at[r.piece[at] == r.piece[at + 1]]
+        own = r.fingerprint(at, n)
+        if n < LONGEST:
+            passed = (words if n == 1 else longer).has(own)
+            at, own = at[passed], own[passed]
+        yield n, at, own
+
+
+def _pointed(docs: DataFrame, bits: int, words: Filter, longer: Filter) -> DataFrame:
     """(fp, n, low, high, pointer) of all runs that pass."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, pairs))
+    shared = docs.sparkSession.sparkContext.broadcast((words, longer))
     names = ["fp", "n", "low", "pointer", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,9 +285,9 @@ def _place(own: np.ndarray, pointer: np.ndarray) -> np.ndarray:
     return mix(own ^ mix(pointer, 31), 32)
 
 
-def _texts(docs: DataFrame, bits: int, words: Filter, pairs: Filter, places: Filter) -> DataFrame:
+def _texts(docs: DataFrame, bits: int, words: Filter, longer: Filter, places: Filter) -> DataFrame:
     """(fp, pointer, lang, len, phrase) at the places that pass; a worker tells each of them once."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, pairs, places))
+    shared = docs.sparkSession.sparkContext.broadcast((words, longer, places))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *filters, wanted = held(getattr, shared, "value")
@@ -312,9 +310,9 @@ def _texts(docs: DataFrame, bits: int, words: Filter, pairs: Filter, places: Fil
     return docs.mapInArrow(frugal(run), "fp long, pointer long, lang string, len int, phrase string")
 
 
-def _recounted(docs: DataFrame, bits: int, words: Filter, pairs: Filter, several: Filter) -> DataFrame:
+def _recounted(docs: DataFrame, bits: int, words: Filter, longer: Filter, several: Filter) -> DataFrame:
     """(fp, lang, len, phrase, n) by text, of the runs with a fingerprint that passes."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, pairs, several))
+    shared = docs.sparkSession.sparkContext.broadcast((words, longer, several))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *filters, wanted = held(getattr, shared, "value")
@@ -343,15 +341,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, bits: int = 64) -> tup
     first = often(_counts(docs, bits), "phrase-words")
     one, totals = first.filter("fp is not null"), first.filter("fp is null").select("lang", "n")
     words = bloom(one.select("fp"), one.count())
-    two = often(_counts(docs, bits, words), "phrase-pairs")
-    pairs = bloom(two.select("fp"), two.count())
-    found = often(_pointed(docs, bits, words, pairs), "phrase-pointers")
+    two = often(_counts(docs, bits, words), "phrase-runs")
+    longer = bloom(two.select("fp"), two.count())
+    found = often(_pointed(docs, bits, words, longer), "phrase-pointers")
     alone, several = found.filter("low = high"), found.filter("low <> high").select("fp")
     keyed = alone.mapInArrow(_places, "key long")
-    texts = _texts(docs, bits, words, pairs, bloom(keyed, alone.count()))
+    texts = _texts(docs, bits, words, longer, bloom(keyed, alone.count()))
     texts = texts.join(alone.select("fp", "pointer", "n"), ["fp", "pointer"]).groupBy("fp").agg(*[F.first(c).alias(c) for c in ("lang", "len", "phrase", "n")]).drop("fp")
     if n := several.count():
-        again = _recounted(docs, bits, words, pairs, bloom(several, n)).join(several, "fp", "left_semi")
+        again = _recounted(docs, bits, words, longer, bloom(several, n)).join(several, "fp", "left_semi")
         texts = texts.unionByName(again.filter(F.col("n") >= least).drop("fp"))
     return written(texts.withColumnRenamed("n", "f"), "phrases"), totals
 
