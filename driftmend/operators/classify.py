@@ -33,15 +33,16 @@ def _reduced(pair: SnapshotPair, side: str, rule: RuleSpec, compare: str) -> Dat
     return resolved(pair, side, rule).groupBy(rule.identity).agg(F.count("*").alias(f"n_{prefix}"), *[F.first(wide(c)).alias(f"{prefix}_{c}") for c in rule.carried])
 
 
-def classify(pair: SnapshotPair, rule: RuleSpec, compare: str = "value") -> DataFrame:
+def classify(pair: SnapshotPair, rule: RuleSpec, compare: str = "value", how: str = "full_outer") -> DataFrame:
     """One row per identity: n_old, n_cur, class, what conflicts and differs, and the rule's predicates.
 
     class is duplicated, matched, old_only, current_only or unidentified (null identity, one row a side). Flags
     are null unless matched. compare="digest" joins on digests of the compared columns, not their values, for rules whose predicates
-    ask of them only whether they differ or are missing.
+    ask of them only whether they differ or are missing. how="inner" leaves out what one side lacks, and keeps the rows where they are
+    if both sides are dealt out by identity.
     """
     old, cur = _reduced(pair, "old", rule, compare), _reduced(pair, "current", rule, compare)
-    both = old.join(cur, rule.identity, "full_outer")
+    both = old.join(cur, rule.identity, how)
     kind = (
         F.when(F.col(rule.identity).isNull(), "unidentified").when((F.col("n_old") > 1) | (F.col("n_cur") > 1), "duplicated")
         .when(F.col("n_cur").isNull(), "old_only").when(F.col("n_old").isNull(), "current_only").otherwise("matched")

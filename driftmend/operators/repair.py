@@ -17,7 +17,7 @@ from driftmend.sources.snapshots import SnapshotPair
 
 def restorable(pair: SnapshotPair, rule: RuleSpec, planned: DataFrame | None = None) -> DataFrame:
     """(identity, hit, old values) where the whole predicate holds now; of the planned identities, if given."""
-    found = classify(pair, rule).filter("candidate").select(rule.identity, F.lit(True).alias("hit"), *[f"old_{c}" for c in rule.authorized])
+    found = classify(pair, rule, how="inner").filter("candidate").select(rule.identity, F.lit(True).alias("hit"), *[f"old_{c}" for c in rule.authorized])
     return found if planned is None else found.join(planned.select(rule.identity), rule.identity, "left_semi")
 
 

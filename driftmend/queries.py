@@ -279,7 +279,8 @@ def _gates_sql(msg: str, user: str) -> str:
 def gates_of_repair(spark, sf):
     """Over the repaired snapshot and the plan as written."""
     pair = _pair(spark, sf)
-    pair = SnapshotPair(staged(pair.old, "gates-old"), staged(pair.current, "gates-current"))
+    main = lambda tables, name: tables | staged({"message": tables["message"]}, name)
+    pair = SnapshotPair(main(pair.old, "gates-old"), main(pair.current, "gates-current"))
     planned = staged({"planned": c.candidates(c.classify(pair, RULE), RULE)}, "gates-plan")["planned"]
     return repair_gates(pair, pair.current | staged({"message": repair(pair, RULE, planned)}, "gates-repaired"), planned, RULE)
 
