@@ -484,15 +484,42 @@ def _plan_sql() -> str:
     named = "(UNPIVOT (SELECT counts.*, sender_conflicts FROM counts, senders) ON COLUMNS(*) INTO NAME reason VALUE n)"
     return f"""SELECT 'actionable' status, candidates predicted, (SELECT string_agg(kind_was || ':' || n, ',' ORDER BY kind_was) FROM (SELECT kind_was, count(*) n FROM repairs GROUP BY kind_was)) by_type,
   (SELECT string_agg(reason || ':' || n, ',' ORDER BY reason) FROM {named} WHERE n > 0 AND reason IN ('{"','".join(c.exclusion_reasons(RULE))}')) exclusions, {inputs} inputs, '' blockers, '' gaps, '{RULE.id}' rule, '{RULE.version}' rule_version,
-  substring(sha256('{SALT}'), 1, 16) salt_id, 64 id_length, '2026-01-01T00:00:00+00:00' created FROM counts WHERE candidates > 0"""
+  substring(sha256('{SALT}'), 1, 16) salt_id, '2026-01-01T00:00:00+00:00' created FROM counts WHERE candidates > 0"""
 
 
-@query(JUDGED, lambda: _plan_sql())
+#: the columns of the three tables as a plan's schema digest has them
+_COLUMNS = "chat:chat_pk bigint,chat_mid string\nmessage:msg_pk bigint,msg_id string,chat_pk bigint,sender_pk bigint,ts timestamp_ntz,content_type int,txt string,meta string,thumb string\nuser:user_pk int,user_mid string"
+
+
+def _plan_id_sql() -> str:
+    """The id of a plan from its content: each part with its type and length, in the order of the parts' names."""
+    number, text = lambda x: f"'I' || strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR)", lambda x: f"'T' || strlen({x}) || ':' || {x}"
+    quoted = lambda x: text("'" + x.replace("'", "''") + "'")
+    listed = lambda parts: f"'A{len(parts)}[' || " + " || ".join([*parts, "']'"])
+    struct = lambda *parts: "'C(' || " + " || ".join([*parts, "')'"])
+    rows = lambda part, order, table: f"(SELECT 'A' || count(*) || '[' || coalesce(string_agg({part}, '' ORDER BY {order}), '') || ']' FROM {table})"
+    named = "(UNPIVOT (SELECT counts.*, sender_conflicts FROM counts, senders) ON COLUMNS(*) INTO NAME reason VALUE n)"
+    tables = {"message": ("msg", dict(sorted(_MESSAGE.items()))), "chat": ("chat", _CHAT), "user": ("user", _USER)}
+    inputs = [struct(quoted(side), quoted(t), text(f"(SELECT digest FROM ({_digest_sql(f'{p}_{n}', cols)}))")) for side, p in (("current", "cur"), ("old", "old")) for t, (n, cols) in sorted(tables.items())]
+    known = (*plan.WARNINGS, *((f.name, f.warning) for f in RULE.flags))
+    warned = lambda k, why: f"CASE WHEN {k} > 0 THEN {text(f"(CAST({k} AS VARCHAR) || ' {why}')")} ELSE '' END"
+    parts = {k: number(k) for k in (*c.BEFORE_BLOCKERS, *_LATER)} | {
+        "predicted": number("candidates"), "status": quoted("actionable"), "rule": quoted(RULE.id), "rule_version": quoted(RULE.version), "predicate": quoted(RULE.statement),
+        "authorized": listed([quoted(x) for x in RULE.authorized]), "protected": listed([quoted(x) for x in RULE.protected]), "gaps": listed([]), "blockers": listed([]), "inputs": listed(inputs),
+        "schemas": listed([struct(quoted(side), text(f"sha256('{_COLUMNS}')")) for side in ("old", "current")]),
+        "by_type": rows(struct(number("kind_was"), number("n")), "kind_was", "(SELECT kind_was, count(*) n FROM repairs GROUP BY kind_was)"),
+        "exclusions": rows(struct(text("reason"), number("n")), "reason", f"(SELECT * FROM {named} WHERE n > 0 AND reason IN ('{"','".join(c.exclusion_reasons(RULE))}'))"),
+        "warnings": "'A' || (" + " + ".join(f"CAST({k} > 0 AS INT)" for k, _ in known) + ") || '[' || " + " || ".join(warned(*w) for w in known) + " || ']'",
+    }
+    return "SELECT sha256(" + " || ';' || ".join(f"'{k}=' || {parts[k]}" for k in sorted(parts)) + ") plan_id FROM counts WHERE candidates > 0"
+
+
+@query(JUDGED, lambda: f"SELECT p.*, plan_id FROM ({_plan_sql()}) p, ({_plan_id_sql()})")
 def plan_record(spark, sf):
     made = plan.plan_record(_pair(spark, sf), RULE, SALT, F.lit("2026-01-01T00:00:00+00:00"))
     text = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[n].cast("string") for n in names])), ",").alias(c)
     lists = [text("by_type", "old_type", "n"), text("exclusions", "reason", "n"), text("inputs", "side", "table_name", "digest"), F.array_join("blockers", ",").alias("blockers"), F.array_join("gaps", ",").alias("gaps")]
-    return made.select("status", "predicted", *lists, "rule", "rule_version", "salt_id", F.length("plan_id").alias("id_length"), "created")
+    return made.select("status", "predicted", *lists, "rule", "rule_version", "salt_id", "plan_id", "created")
 
 
 @query(JUDGED, """SELECT coalesce(p.msg_id, f.msg_id) msg_id, CASE WHEN f.msg_id IS NULL THEN 'gone' ELSE 'new' END drift FROM (SELECT msg_id FROM repairs WHERE kind_was<>1) p
