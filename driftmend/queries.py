@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -582,11 +583,6 @@ def privacy_scan_clean(spark, sf):
     return privacy_scan(redacted_report(spark, sf), "txt", _report(spark, sf)[1])
 
 
-@query(JUDGED, "SELECT 'analysis' section, metric, CAST(n AS VARCHAR) \"value\" FROM (UNPIVOT (SELECT * FROM counts) ON COLUMNS(*) INTO NAME metric VALUE n) UNION ALL SELECT 'senders', 'sender_conflicts', CAST(sender_conflicts AS VARCHAR) FROM senders")
-def report_metrics(spark, sf):
-    return plan.report_metrics({"analysis": c.unpivoted(analysis_counts(spark, sf)), "senders": c.unpivoted(sender_conflicts(spark, sf))})
-
-
 @query("x AS (SELECT 1)", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' utc, strftime(o_orderdate + INTERVAL 540 MINUTE, '%Y-%m-%dT%H:%M:%S') || '+09:00' moved FROM orders")
 def rfc3339_format(spark, sf):
     return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", rfc3339(F.col("o_orderdate")).alias("utc"), rfc3339(F.col("o_orderdate"), 540).alias("moved"))
@@ -766,6 +762,28 @@ def committed_output_check(spark, sf):
     return ledger.committed_output_check(derived(spark, sf, MANIFESTS, "outputs"), _states(spark, sf), derived(spark, sf, MANIFESTS, "clone_manifest"))
 
 
+# --- report
+
+
+def _report_sql() -> str:
+    sides = {"old": "old", "current": "cur"}
+    inputs = " UNION ALL ".join(f"SELECT 'inputs', '{side} {t}', CAST((SELECT count(*) FROM {p}_{n}) AS VARCHAR)" for side, p in sides.items() for t, n in (("chat", "chat"), ("message", "msg"), ("user", "user")))
+    return f"""SELECT 'analysis' section, metric, CAST(n AS VARCHAR) "value" FROM (UNPIVOT (SELECT * FROM counts) ON COLUMNS(*) INTO NAME metric VALUE n) UNION ALL SELECT 'senders', 'sender_conflicts', CAST(sender_conflicts AS VARCHAR) FROM senders
+  UNION ALL SELECT 'stages', CAST(stage AS VARCHAR) || ' ' || state, CAST(count(*) AS VARCHAR) FROM states GROUP BY stage, state UNION ALL {inputs}
+  UNION ALL SELECT 'verification', gate || CASE WHEN passed THEN ' (passed)' ELSE ' (failed)' END, CAST(observed AS VARCHAR) FROM ({_publish_sql("good_clone", "source_later")})"""
+
+
+@query(JUDGED + ",\n" + STATES + "," + MANIFESTS, _report_sql)
+def report_metrics(spark, sf):
+    """Analysis, audits, stages of all sessions, rows of the inputs, and the verification of a clone."""
+    pair = _pair(spark, sf)
+    rows = [getattr(pair, side)[t].agg(F.count("*").alias("n")).select(F.lit(f"{side} {t}").alias("metric"), "n") for side in ("old", "current") for t in ("chat", "message", "user")]
+    stages = _states(spark, sf).groupBy(F.concat_ws(" ", "stage", "state").alias("metric")).agg(F.count("*").alias("n"))
+    gates = _published(spark, sf, "good_clone", "source_later").select(F.concat("gate", F.when(F.col("passed"), " (passed)").otherwise(" (failed)")).alias("metric"), F.col("observed").alias("n"))
+    sections = {"analysis": c.unpivoted(analysis_counts(spark, sf)), "senders": c.unpivoted(sender_conflicts(spark, sf)), "stages": stages, "inputs": functools.reduce(DataFrame.union, rows), "verification": gates}
+    return plan.report_metrics(sections)
+
+
 # --- payloads
 
 
