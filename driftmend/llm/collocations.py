@@ -2,13 +2,14 @@
 
 Texts are read as bytes: one table tells words, blanks and ends of pieces apart, each distinct word is hashed to 128 bits,
 and prefix polynomials over the words of many texts give the fingerprint of every run of 1 to 4 words within a piece, in
-either half, at the cost of a subtraction and a product. Four passes read the texts:
+either half, at the cost of a subtraction and a product. Five passes read the texts:
 
 1. words by fingerprint; those that occur often enough pass on, in a Bloom filter of bounded size;
-2. runs of 2 and 3 such words, likewise;
-3. words and runs that pass, and the runs of 4 words both of whose runs of 3 do. What is shuffled is a fingerprint, its
+2. pairs of such words, likewise;
+3. runs of 3 both of whose pairs pass, likewise;
+4. words and runs that pass, and the runs of 4 words both of whose runs of 3 do. What is shuffled is a fingerprint, its
    number, the least and greatest of its second halves, and a pointer to one occurrence;
-4. the texts of the frequent ones alone, read where the pointers say.
+5. the texts of the frequent ones alone, read where the pointers say.
 
 A filter only lets too much through, which the counts after it put right. A fingerprint with two second halves stands for several
 phrases: these are counted again by their texts.
@@ -35,7 +36,7 @@ NO_LANG = "und"
 MOST_BITS = 1 << 29  # of a filter: 64 MB
 CHUNK = 4096  # bytes of a filter that are filled as one
 HASHES = 3
-_HELD, _CHARS = 400_000, 1_000_000  # rows that a worker sums up before it lets go of them; bytes of text that it reads at a time
+_HELD, _CHARS = 300_000, 1_000_000  # rows that a worker sums up before it lets go of them; bytes of text that it reads at a time
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _BLANK, _END = 1, 2
 
@@ -77,6 +78,13 @@ class Runs:
         m = max(len(self.codes) - n + 1, 0)
         return np.flatnonzero(self.piece[:m] == self.piece[n - 1 :][:m])
 
+    def joint(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Where runs of n words lie in one piece both of whose runs of n - 1 words are among those at the given places."""
+        there = np.zeros(len(self.codes) + 1, bool)
+        there[at] = True
+        at = at[there[at + 1]]
+        return at[self.piece[at] == self.piece[at + n - 1]]
+
     def half(self, which: int, at: np.ndarray, n: int) -> np.ndarray:
         powers = _powers(_BASES[which], _room(len(self.codes)))[0]
         with np.errstate(over="ignore"):
@@ -210,12 +218,12 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _counts(docs: DataFrame, bits: int, words: Filter | None = None) -> DataFrame:
-    """(fp, lang, n): of all words, or, with a filter of words, of the runs of 2 and 3 of those that pass.
+def _counts(docs: DataFrame, bits: int, *filters: Filter) -> DataFrame:
+    """(fp, lang, n): of all words; with a filter of words, of the pairs of those that pass; with one of pairs also, of the runs of 3 of both.
 
     lang is null but in the rows without fp, which hold the number of words of each language.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, totals = held(getattr, shared, "value"), Counter()
@@ -223,15 +231,13 @@ def _counts(docs: DataFrame, bits: int, words: Filter | None = None) -> DataFram
         rows = lambda k, n, *_: pa.RecordBatch.from_arrays([_long(k), pa.nulls(len(k), pa.string()), pa.array(n)], names=["fp", "lang", "n"])
         for batch in batches:
             for r in _each(batch, bits):
-                at = r.whole(1)
-                if known is None:
+                if not known:
                     totals.update(dict(zip(r.tongues, np.bincount(r.tongue[r.text], minlength=len(r.tongues)).tolist())))
-                    own = [r.fingerprint(at, 1)]
-                else:
-                    passed = known.has(r.fingerprint(at, 1))
-                    own = [r.fingerprint(at[functools.reduce(np.logical_and, [passed[at + k] for k in range(n)])], n) for n in (2, 3) for at in [r.whole(n)]]
-                for keys in own:
-                    tally.add(keys, np.ones(len(keys), np.int64))
+                at = r.whole(1)
+                for n, passing in enumerate(known, 1):
+                    at = r.joint(at[passing.has(r.fingerprint(at, n))], n + 1)
+                own = r.fingerprint(at, len(known) + 1)
+                tally.add(own, np.ones(len(own), np.int64))
                 if tally.size > _HELD:
                     yield rows(*tally.rows())
                     tally = _Tally()
@@ -245,12 +251,7 @@ def _passing(r: Runs, words: Filter, longer: Filter) -> Iterator[tuple[int, np.n
     """(n, places, fingerprints) of the runs of each length that pass, as do both runs of one word less in them."""
     at = r.whole(1)
     for n in range(1, LONGEST + 1):
-        if n > 1:
-            there = np.zeros(len(r.codes) + 1, bool)
-            there[at] = True
-            at = at[there[at + 1]]
-            if n == 2:
-                at = at[r.piece[at] == r.piece[at + 1]]
+        at = r.joint(at, n) if n > 1 else at
         own = r.fingerprint(at, n)
         if n < LONGEST:
             passed = (words if n == 1 else longer).has(own)
@@ -341,8 +342,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, bits: int = 64) -> tup
     first = often(_counts(docs, bits), "phrase-words")
     one, totals = first.filter("fp is not null"), first.filter("fp is null").select("lang", "n")
     words = bloom(one.select("fp"), one.count())
-    two = often(_counts(docs, bits, words), "phrase-runs")
-    longer = bloom(two.select("fp"), two.count())
+    two = often(_counts(docs, bits, words), "phrase-pairs")
+    three = often(_counts(docs, bits, words, bloom(two.select("fp"), two.count())), "phrase-triples")
+    longer = bloom(two.select("fp").union(three.select("fp")), two.count() + three.count())
     found = often(_pointed(docs, bits, words, longer), "phrase-pointers")
     alone, several = found.filter("low = high"), found.filter("low <> high").select("fp")
     keyed = alone.mapInArrow(_places, "key long")
