@@ -36,7 +36,7 @@ NO_LANG = "und"
 MOST_BITS = 1 << 29  # of a filter: 64 MB
 CHUNK = 4096  # bytes of a filter that are filled as one
 HASHES = 3
-_HELD, _CHARS = 300_000, 1_000_000  # rows that a worker sums up before it lets go of them; bytes of text that it reads at a time
+_HELD, _CHARS = 500_000, 1_000_000  # rows that a worker sums up before it lets go of them; bytes of text that it reads at a time
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _BLANK, _END = 1, 2
 
@@ -244,7 +244,8 @@ def _counts(docs: DataFrame, bits: int, *filters: Filter) -> DataFrame:
         yield rows(*tally.rows())
         yield pa.RecordBatch.from_arrays([pa.nulls(len(totals), pa.int64()), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["fp", "lang", "n"])
 
-    return docs.mapInArrow(frugal(run), "fp long, lang string, n long").groupBy("fp", "lang").agg(F.sum("n").alias("n"))
+    # workers have summed up what they can, so rows are dealt out as they are, without another table of sums before that
+    return docs.mapInArrow(frugal(run), "fp long, lang string, n long").repartition("fp", "lang").groupBy("fp", "lang").agg(F.sum("n").alias("n"))
 
 
 def _passing(r: Runs, words: Filter, longer: Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -279,7 +280,7 @@ def _pointed(docs: DataFrame, bits: int, words: Filter, longer: Filter) -> DataF
         yield rows(tally.rows())
 
     found = docs.mapInArrow(frugal(run), "fp long, n long, low long, pointer long, high long")
-    return found.groupBy("fp").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("pointer").alias("pointer"))
+    return found.repartition("fp").groupBy("fp").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("pointer").alias("pointer"))
 
 
 def _place(own: np.ndarray, pointer: np.ndarray) -> np.ndarray:
