@@ -17,14 +17,14 @@ STAGES = (0, 1, 2, 3, 4, 5)
 
 
 #: states by letter (K: invalidated after a commit, whose outputs stay), and what each event makes of each of them
-_STATES = {"P": "pending", "R": "running", "C": "committed", "F": "failed", "X": "cancelled", "I": "invalidated", "K": "invalidated"}
-_LETTERS = "".join(_STATES)
-_EVENTS = {"begin": "RRRRRRR", "commit": "PCCFXIK", "fail": "FFFFFFF", "cancel": "XXXXXXX", "invalidate": "PIKIIIK"}
+STATES = {"P": "pending", "R": "running", "C": "committed", "F": "failed", "X": "cancelled", "I": "invalidated", "K": "invalidated"}
+LETTERS = "".join(STATES)
+EVENTS = {"begin": "RRRRRRR", "commit": "PCCFXIK", "fail": "FFFFFFF", "cancel": "XXXXXXX", "invalidate": "PIKIIIK"}
 
 
 def _folded(order: str) -> Column:
     """The effects of some events, or of some blocks of events, one after the other."""
-    return F.aggregate(F.array_sort(F.collect_list(F.struct(order, "effect"))), F.lit(_LETTERS), lambda now, e: F.call_function("translate", now, F.lit(_LETTERS), e["effect"]))
+    return F.aggregate(F.array_sort(F.collect_list(F.struct(order, "effect"))), F.lit(LETTERS), lambda now, e: F.call_function("translate", now, F.lit(LETTERS), e["effect"]))
 
 
 def stage_states(events: DataFrame, stages: tuple[int, ...] = STAGES, block: int = 4096) -> DataFrame:
@@ -40,11 +40,11 @@ def stage_states(events: DataFrame, stages: tuple[int, ...] = STAGES, block: int
     later = F.filter(F.lit(list(stages)).cast("array<int>"), lambda s: s > F.col("stage"))
     hits = events.filter("kind = 'begin'").select("session_id", "seq", F.explode(later).alias("stage"), F.lit("invalidate").alias("kind"))
     every = events.select("session_id", "seq", F.col("stage").cast("int").alias("stage"), "kind").unionByName(hits)
-    effect = F.create_map(*[F.lit(x) for pair in _EVENTS.items() for x in pair])[F.col("kind")]
+    effect = F.create_map(*[F.lit(x) for pair in EVENTS.items() for x in pair])[F.col("kind")]
     told = every.withColumns({"effect": effect, "block": F.floor(F.col("seq") / block)}).filter("effect is not null")
     parts = told.groupBy("session_id", "stage", "block").agg(_folded("seq").alias("effect"))
     whole = parts.groupBy("session_id", "stage").agg(_folded("block").alias("effect"))
-    state = F.create_map(*[F.lit(x) for pair in _STATES.items() for x in pair])[F.substring("effect", 1, 1)]
+    state = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])[F.substring("effect", 1, 1)]
     return whole.select("session_id", "stage", state.alias("state"), F.substring("effect", 1, 1).isin("C", "K").alias("holds")).filter("state <> 'pending'")
 
 

@@ -33,23 +33,107 @@ def plain_fold(rows):
     return {(a, b, v) for a, s in now.items() for b, v in s.items()}
 
 
-def test_ledger_batch_and_stream(spark, sf, tmp_path):
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+def run(stream, name, batches, folder):
+    """The last told state and late events of each session and stage, after batches of rows."""
+    spark = stream.sparkSession
+    query = stream.writeStream.format("memory").queryName(name).outputMode("update").start()
+    try:
+        for batch in batches:
+            batch.coalesce(1).write.mode("append").parquet(folder)
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    return {(r["session_id"], r["stage"]): (r["state"], r["late"]) for r in spark.table(name).collect()}
+
+
+def test_ledger_batch_and_stream(spark, sf, tmp_path, rocks):
+    """Events of all sessions, dealt to three triggers by hash: those of a session come in no order, and some twice."""
     events = derived(spark, sf, LEDGER, "events_log")
     want = plain_fold([tuple(r) for r in events.select("session_id", "seq", "stage", "kind").collect()])
     assert {tuple(r) for r in stage_states(events).drop("holds").collect()} == want
-    half = events.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
-    events.filter(F.col("seq") <= half).coalesce(1).write.parquet(str(tmp_path / "in"))
+    (tmp_path / "in").mkdir()
     source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    stream = stage_state_stream(source).writeStream.format("memory").queryName("states").outputMode("update").start()
+    parts = [events.filter(F.pmod(F.hash("seq"), F.lit(3)) == k).orderBy(F.desc("seq")) for k in range(3)]
+    last = run(stage_state_stream(source, block=64), "states", [parts[0], parts[1].union(parts[0].limit(50)), parts[2]], str(tmp_path / "in"))
+    assert {(a, b, v) for (a, b), (v, _) in last.items() if v != "pending"} == want and {n for _, n in last.values()} == {0}
+
+
+class Memory:
+    """A processor's state and timers, held here."""
+
+    def __init__(self):
+        self.held, self.timers, self.now = {}, [], 0
+
+    getMapState = lambda self, *_: self
+    getValue = lambda self, k: self.held[k]
+    containsKey = lambda self, k: k in self.held
+    iterator = lambda self: iter(self.held.items())
+    listTimers = lambda self: iter(self.timers)
+    getCurrentProcessingTimeInMs = lambda self: self.now
+
+    def updateValue(self, k, v):
+        self.held[k] = v
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_settled_blocks(spark):
+    """A closed block keeps what its events came to; what comes later is counted, and open blocks still take any order."""
+    import pandas as pd
+
+    from driftmend.streaming.changes import LedgerFold
+
+    memory = Memory()
+    fold = LedgerFold(10, 100)
+    fold.init(memory)
+    rows = lambda *r: iter([pd.DataFrame(r, columns=["seq", "stage", "kind"])])
+    told = lambda *r: [tuple(x) for f in fold.handleInputRows((1,), rows(*r), memory) for x in f[["state", "late"]].itertuples(index=False)]
+    assert told((3, 0, "commit"), (2, 0, "begin"))[0] == ("committed", 0)
+    memory.now = 90
+    assert told((15, 1, "commit"))[1] == ("pending", 0) and memory.timers == [100]
+    memory.now, memory.timers = 100, []
+    assert list(fold.handleExpiredTimer((1,), memory, None)) == [] and memory.timers == [190]
+    assert memory.held[(0,)][0] is None and memory.held[(1,)][0] == [15]
+    assert told((1, 0, "fail"), (14, 1, "begin"))[:2] == [("committed", 1), ("committed", 1)]
+    memory.now = 500
+    fold.handleExpiredTimer((1,), memory, None)
+    assert all(v[0] is None for v in memory.held.values()) and told((25, 0, "begin"))[:2] == [("running", 1), ("invalidated", 1)]
+
+
+def test_blocks_close_in_a_running_stream(spark, tmp_path, rocks):
+    import time
+
+    schema = "session_id long, seq long, stage int, kind string"
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    add = lambda *r: spark.createDataFrame(r, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = stage_state_stream(source, block=10, settle_ms=200).writeStream.format("memory").queryName("closing").outputMode("update").start()
+    state = lambda: {(r["state"], r["late"]) for r in spark.table("closing").filter("stage = 0").collect()}
+
+    def until(met):
+        end = time.monotonic() + 60
+        while not met() and time.monotonic() < end:
+            time.sleep(0.2)
+        assert met()
+
     try:
-        stream.processAllAvailable()
-        events.filter(F.col("seq") > half).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream.processAllAvailable()
+        add((1, 2, 0, "begin"), (1, 3, 0, "commit"))
+        until(lambda: ("committed", 0) in state())
+        time.sleep(6)  # triggers without rows let the timer expire
+        add((1, 4, 0, "fail"), (1, 30, 1, "begin"))
+        until(lambda: len(state()) > 1)
+        assert state() == {("committed", 0), ("committed", 1)}
     finally:
-        stream.stop()
-    rows = spark.table("states").collect()
-    last = {(r["session_id"], r["stage"]): r["state"] for r in rows}
-    assert {(a, b, v) for (a, b), v in last.items() if v != "pending"} == want
+        query.stop()
 
 
 def test_candidate_stream(spark, sf, tmp_path):
