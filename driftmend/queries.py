@@ -15,6 +15,7 @@ from driftmend.operators import inventory as inv
 from driftmend.operators import ledger, payload
 from driftmend.operators.digest import changed_tables, table_digest
 from driftmend.operators.repair import protected_field_changes, remaining_candidates, repair, repair_gates, repaired_field_mismatches, row_set_changes, table_set_changes, verdict
+from driftmend.operators.tree import store_tree, tree_diff
 from driftmend.plans import plan, rules
 from driftmend.plans.rules import MESSAGE_RULE as RULE
 from driftmend.sources.derived import BLOCKED, EVIDENCE, FILE_INDEX, FLEET, LEDGER, MANIFESTS, ORDERS, PLANS, SNAPSHOTS, TAMPERED, derived, oracle
@@ -684,6 +685,35 @@ def dir_manifest_diff(spark, sf):
     return inv.manifest_diff(derived(spark, sf, MANIFESTS, "source_manifest"), derived(spark, sf, MANIFESTS, "clone_manifest")).orderBy("path")
 
 
+@query(DIFF, "SELECT path, change FROM diff")
+def manifest_tree_diff(spark, sf):
+    """The same from stored trees, down from their roots."""
+    return tree_diff(*(store_tree(derived(spark, sf, MANIFESTS, n)) for n in ("source_manifest", "clone_manifest")))
+
+
+def _rolled_sql(table: str, keys: str) -> str:
+    """The digests of a directory's entries (bucket, d): by 6 digits, by 3, and whole."""
+    part, rolled = keys + ("," if keys else ""), "sha256(string_agg(d, ',' ORDER BY d)) d, CAST(sum(files) AS BIGINT) files, CAST(sum(bytes) AS BIGINT) bytes"
+    fine = f"SELECT {part} bucket, {rolled} FROM {table} GROUP BY ALL"
+    coarse = f"SELECT {part} substring(bucket, 1, 3) bucket, {rolled} FROM ({fine}) fine GROUP BY {part} substring(fine.bucket, 1, 3)"
+    return f"SELECT {part} {rolled} FROM ({coarse}) " + (f"GROUP BY {keys}" if keys else "")
+
+
+def _tree_sql() -> str:
+    """All directories of the clone, which has files in directories of one name alone."""
+    text = lambda x: f"'T' || strlen({x}) || ':' || {x}"
+    entry = f"sha256({text('path')} || 'I' || strlen(CAST(size AS VARCHAR)) || ':' || CAST(size AS VARCHAR) || {text('hash')})"
+    return f"""WITH entries AS (SELECT regexp_extract(path, '^([^/]*)/', 1) dir, substring(sha1(path), 1, 6) bucket, {entry} d, 1 files, size bytes FROM clone_manifest),
+  nodes AS (SELECT dir, files, bytes, sha256('own=' || d || ';below=-') digest FROM ({_rolled_sql("entries", "dir")})),
+  upper_entries AS (SELECT substring(sha1(dir), 1, 6) bucket, sha256({text('dir')} || {text('digest')}) d, files, bytes FROM nodes)
+  SELECT 1 AS depth, dir, files, bytes, digest FROM nodes UNION ALL SELECT 0, '', files, bytes, sha256('own=-;below=' || d) FROM ({_rolled_sql("upper_entries", "")})"""
+
+
+@query(MANIFESTS, lambda: f"SELECT * FROM ({_tree_sql()})")
+def directory_digests(spark, sf):
+    return store_tree(derived(spark, sf, MANIFESTS, "clone_manifest")).directories.select("depth", "dir", "files", "bytes", "digest")
+
+
 @query(DIFF, "SELECT path, CASE WHEN approved.path IS NULL THEN 'not approved' ELSE 'not changed' END problem FROM diff FULL OUTER JOIN approved USING (path) WHERE diff.change IS NULL OR approved.path IS NULL")
 def differs_only_at(spark, sf):
     a, b, approved = (derived(spark, sf, MANIFESTS, n) for n in ("source_manifest", "clone_manifest", "approved"))
