@@ -6,6 +6,8 @@ Each constant is a list of common table expressions that means the same in Spark
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 SNAPSHOTS = """
@@ -159,7 +161,8 @@ def derived(spark: SparkSession, sf_dir: str, expressions: str, name: str) -> Da
 
 
 def _spark(expressions: str, name: str) -> str:
-    """Spark's sha2 takes the number of bits."""
+    """Spark's sha2 takes the number of bits, and its concat is null where a part is; the expressions mean one that leaves nulls out."""
+    expressions = re.sub(r"\bconcat\(", "concat_ws('', ", expressions)
     out, at = "", 0
     while (i := expressions.find("sha256(", at)) >= 0:
         depth, j = 1, i + len("sha256(")
