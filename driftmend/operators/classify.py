@@ -128,26 +128,33 @@ def null_identity_counts(pair: SnapshotPair, rule: RuleSpec) -> DataFrame:
     return one("old").union(one("current"))
 
 
+PARTS = 200  # that the rows of an audit are dealt into, at least
+
+
 def audit_conflicts(pair: SnapshotPair, rule: RuleSpec) -> DataFrame:
     """One row with name_conflicts for each audit: pairs of rows with one identity, duplicates crossed, whose natural keys differ.
 
-    Counted from rows per identity and key, so that copies of an identity are never crossed.
+    Counted from rows per identity and key, so that copies of an identity are never crossed. Rows are dealt into a fixed number of
+    parts, first by identity, key and a digit of their own, so that the rows of one identity are combined in several tasks, then by identity:
+    no task holds more than its part of the identities, however well their shuffled rows compress.
     """
-    found = None
+    spark, found = pair.old[rule.table].sparkSession, None
+    parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for rel in rule.audits:
 
-        def side(name: str, n: str, rel=rel) -> DataFrame:
+        def side(name: str, after: int, rel=rel) -> DataFrame:
             tables = getattr(pair, name)
             dim = tables[rel.dimension].select(F.col(rel.primary_key).alias(rel.foreign_key), F.col(rel.natural_key).alias("who"))
-            return tables[rule.table].filter(F.col(rule.identity).isNotNull()).join(dim, rel.foreign_key, "left").groupBy(rule.identity, "who").agg(F.count("*").alias(n))
+            rows = tables[rule.table].filter(F.col(rule.identity).isNotNull()).join(dim, rel.foreign_key, "left")
+            return rows.select(rule.identity, "who", F.pmod(F.xxhash64(rule.row_key), F.lit(16)).alias("digit"), F.lit(1 - after).alias("o"), F.lit(after).alias("c"))
 
-        old, cur = side("old", "o"), side("current", "c")
-        both = old.withColumn("c", F.lit(0).cast("long")).unionByName(cur.withColumn("o", F.lit(0).cast("long")))
-        each = both.groupBy(rule.identity, "who").agg(F.sum("o").alias("o"), F.sum("c").alias("c"))
+        counts = [F.sum("o").alias("o"), F.sum("c").alias("c")]
+        dealt = side("old", 0).unionByName(side("current", 1)).repartition(parts, rule.identity, "who", "digit").groupBy(rule.identity, "who", "digit").agg(*counts)
+        each = dealt.select(rule.identity, "who", "o", "c").repartition(parts, rule.identity).groupBy(rule.identity, "who").agg(*counts)
         per = each.groupBy(rule.identity).agg((F.sum("o") * F.sum("c") - F.sum(F.col("o") * F.col("c"))).alias("n"))
         one = per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias(f"{rel.name}_conflicts"))
         found = one if found is None else found.join(one)  # tables of one row each
-    return pair.old[rule.table].sparkSession.range(1).select() if found is None else found
+    return spark.range(1).select() if found is None else found
 
 
 def unpivoted(row: DataFrame, value: str = "n", name: str = "metric") -> DataFrame:

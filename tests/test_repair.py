@@ -221,3 +221,14 @@ def test_digests_and_plan_ids(spark):
     assert ids[0]["plan_id"] == ids[1]["plan_id"] and ids[0]["salt_id"] != ids[1]["salt_id"] and ids[0]["status"] == "actionable" and ids[0]["predicted"] == 227
     other = plan_record(SnapshotPair(pair.old, pair.current | {"user": pair.current["user"].limit(1)}), RULE, "s1", F.lit("a")).first()
     assert other["plan_id"] != ids[0]["plan_id"]
+
+
+def test_conflicts_of_much_repeated_identities(spark):
+    """Copies under one identity, counted from the pairs themselves, and dealt into parts that are not put together again."""
+    rows = lambda at, n: [(at + i, f"i{i % 3}" if i % 5 else None, 1, 1 + i % 2, T0, 0, None, None, None) for i in range(n)]
+    users = spark.createDataFrame([(1, "u1"), (2, None)], "user_pk long, user_mid string")
+    old, cur = rows(0, 60), rows(1000, 47)
+    pair = SnapshotPair(*[{"message": spark.createDataFrame(r, MESSAGE), "user": users} for r in (old, cur)])
+    found = audit_conflicts(pair, RULE)
+    assert found.first()[0] == sum(a[1] == b[1] and a[3] != b[3] for a in old for b in cur if a[1] and b[1])
+    assert found._jdf.queryExecution().toString().count("REPARTITION_BY_NUM") > 0
