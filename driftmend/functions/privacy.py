@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmend.functions.columns import BAR
+from driftmend.llm.collocations import bloom
+from driftmend.sources.scratch import staged
 
 SHORTEST = 8
 
@@ -44,6 +48,27 @@ def _grams(wide: Column, size: int) -> Column:
     return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(_cut(wide, i, i + size)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _key(text: Column) -> Column:
+    """128 bits that tell texts apart."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def _passing(spark: SparkSession, keys: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A function of an array of longs: place and value of those that may be among the n keys."""
+    shared = spark.sparkContext.broadcast(bloom(keys, n))
+
+    @F.arrow_udf("array<struct<at:int,gram:bigint>>")
+    def passing(grams: pa.Array) -> pa.Array:
+        values = grams.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+        starts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(grams), 0).to_numpy(zero_copy_only=False))])
+        found = np.flatnonzero(shared.value.has(values.view(np.uint64)))
+        at = found - starts[np.searchsorted(starts, found, "right") - 1]
+        each = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(values[found])], names=["at", "gram"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(found, starts).astype(np.int32)), each)
+
+    return passing
+
+
 def redacted(report: DataFrame, text: str, identifiers: DataFrame, salt: str, shortest: int = SHORTEST) -> DataFrame:
     """report with every occurrence of a known identifier in a text, inside longer words too, replaced by its redaction.
 
@@ -52,7 +77,8 @@ def redacted(report: DataFrame, text: str, identifiers: DataFrame, salt: str, sh
     characters or more.
 
     Each identifier is looked up by the stretch of `shortest` characters in it that the fewest identifiers share, so
-    that a common beginning makes no candidates. Only hashes of stretches meet in that join; candidates are
+    that a common beginning makes no candidates. Only hashes of stretches meet in that join, and of a text only those that pass a
+    Bloom filter (64 MB at most) over the stretches looked up, so that what is shuffled grows with the hits; candidates are
     compared as a whole, once for each distinct text. What overlaps is settled in one sweep for each text, in
     time that grows with its length and the number of its hits.
     """
@@ -60,8 +86,10 @@ def redacted(report: DataFrame, text: str, identifiers: DataFrame, salt: str, sh
     grams = known.select("identifier", F.posexplode(_grams(F.col("w"), shortest)).alias("place", "gram"))
     rare = grams.join(grams.groupBy("gram").agg(F.countDistinct("identifier").alias("n")), "gram")
     anchors = rare.groupBy("identifier").agg(F.min(F.struct("n", "place", "gram")).alias("a")).select("identifier", "a.place", "a.gram")
-    texts = report.select(F.col(text).alias("t")).filter(F.length("t") >= shortest).distinct().withColumn("h", F.sha2("t", 256))
-    at = texts.select("h", F.posexplode(_grams(_wide(F.col("t")), shortest)).alias("at", "gram"))
+    anchors = staged({"anchors": anchors}, "redaction-anchors")["anchors"]
+    passing = _passing(report.sparkSession, anchors.select("gram"), anchors.count())
+    texts = report.select(F.col(text).alias("t")).filter(F.length("t") >= shortest).distinct().withColumn("h", _key(F.col("t")))
+    at = texts.select("h", F.explode(passing(_grams(_wide(F.col("t")), shortest))).alias("m")).select("h", "m.at", "m.gram")
     near = at.join(anchors, "gram").select("h", (F.col("at") - F.col("place")).alias("start"), "identifier").filter("start >= 0")
     near = near.groupBy("h").agg(F.collect_list(F.struct("start", "identifier")).alias("near"))
     stop = lambda m: m["start"] + F.char_length(m["identifier"])
@@ -75,7 +103,7 @@ def redacted(report: DataFrame, text: str, identifiers: DataFrame, salt: str, sh
     pieces = F.transform("marks", lambda m, i: F.concat(F.decode(_cut(F.col("w"), F.get(ends, i), m["start"]), "UTF-32"), m["mark"]))
     tail = F.decode(_cut(F.col("w"), F.element_at(ends, -1), F.octet_length("w") / 4), "UTF-32")
     clean = found.select(F.col("h").alias("_h"), F.concat(F.array_join(pieces, ""), tail).alias("_clean"))
-    whole = report.withColumn("_h", F.sha2(text, 256)).join(clean, "_h", "left")
+    whole = report.withColumn("_h", _key(F.col(text))).join(clean, "_h", "left")
     return whole.select(*[F.coalesce("_clean", text).alias(text) if c == text else F.col(c) for c in report.columns])
 
 
