@@ -7,12 +7,14 @@ either half, at the cost of a subtraction and a product. Five passes read the te
 1. words by fingerprint; those that occur often enough pass on, in a Bloom filter of bounded size;
 2. pairs of such words, likewise;
 3. runs of 3 both of whose pairs pass, likewise;
-4. words and runs that pass, and the runs of 4 words both of whose runs of 3 do. What is shuffled is a fingerprint, its
-   number, the least and greatest of its second halves, and a pointer to one occurrence;
-5. the texts of the frequent ones alone, read where the pointers say.
+4. runs of 4 both of whose runs of 3 pass;
+5. the texts of the frequent ones alone, read where the marks say.
 
-A filter only lets too much through, which the counts after it put right. A fingerprint with two second halves stands for several
-phrases: these are counted again by their texts.
+What is shuffled in passes 1 to 4 is a fingerprint, its number and a mark: 20 bits of the second half, and 12 bits that name the
+place of one occurrence. So each length is counted once, and no pass tells again in each task what another has found frequent.
+
+A filter only lets too much through, which the counts after it put right. A fingerprint whose marks hold two second halves stands
+for several phrases: these are counted again by their texts.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ HASHES = 3
 _HELD, _CHARS = 500_000, 1_000_000  # rows that a worker sums up before it lets go of them; bytes of text that it reads at a time
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _BLANK, _END = 1, 2
+_PLACE = 12  # bits of a mark that name a place
 
 
 @functools.cache
@@ -94,8 +97,12 @@ class Runs:
         return self.half(0, at, n) >> np.uint64(64 - self.bits)
 
     def pointer(self, at: np.ndarray) -> np.ndarray:
-        """A name for the place of each run: its text and the number of its first word."""
-        return mix(self.named[self.text[at]] ^ mix(self.at[at].astype(np.uint64), 11), 12)
+        """A name of few bits for the place of each run: its text and the number of its first word."""
+        return mix(self.named[self.text[at]] ^ mix(self.at[at].astype(np.uint64), 11), 12) >> np.uint64(64 - _PLACE)
+
+    def mark(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The first bits of the second half of each run, then its pointer."""
+        return (self.half(1, at, n) >> np.uint64(32) >> np.uint64(_PLACE) << np.uint64(_PLACE) | self.pointer(at)).astype(np.uint32).view(np.int32)
 
     def phrases(self, at: np.ndarray, n: int) -> list[str]:
         rows = self.codes[at[:, None] + np.arange(n)]
@@ -178,33 +185,31 @@ def bloom(keys: DataFrame, n: int, most: int = MOST_BITS) -> Filter:
     return Filter(whole)
 
 
-def _summed(keys: np.ndarray, n: np.ndarray, least: list[np.ndarray], most: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """One row for each key: the sum of n, and the least and the greatest of the others."""
+def _summed(keys: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One row for each key: the sum of n, the least of low and the greatest of high."""
+    if not len(keys):
+        return keys, n, low, high
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    if not len(first):
-        return keys, n, least, most
-    return keys[first], np.add.reduceat(n[order], first), [np.minimum.reduceat(c[order], first) for c in least], [np.maximum.reduceat(c[order], first) for c in most]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[order], first), np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
 
 
 class _Tally:
     """One row for each key, summed up when many have come in."""
 
-    def __init__(self, extra: int = 0):
-        self.extra, self.parts, self.new, self.size = extra, [], 0, 0  # columns of which the least is kept; of half of them also the greatest
+    def __init__(self):
+        self.parts, self.new, self.size = [(np.empty(0, np.uint64), np.empty(0, np.int64), *[np.empty(0, np.int32)] * 2)], 0, 0
 
-    def add(self, keys: np.ndarray, n: np.ndarray, least: list[np.ndarray] = [], most: list[np.ndarray] = []) -> None:
-        self.parts.append((keys, n, least, most))
+    def add(self, keys: np.ndarray, marks: np.ndarray) -> None:
+        self.parts.append((keys, np.ones(len(keys), np.int64), marks, marks))
         self.new += len(keys)
         if self.new > _HELD // 2:
             self.rows()
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        none = np.empty(0, np.int64)
-        keys, n = np.concatenate([none.view(np.uint64), *(p[0] for p in self.parts)]), np.concatenate([none, *(p[1] for p in self.parts)])
-        each = lambda k, m: [np.concatenate([none, *(p[k][i] for p in self.parts)]) for i in range(m)]
-        whole = _summed(keys, n, each(2, self.extra), each(3, self.extra // 2))
+    def rows(self) -> tuple[np.ndarray, ...]:
+        """(key, n, least mark, greatest mark)"""
+        whole = _summed(*(np.concatenate(c) for c in zip(*self.parts)))
         self.parts, self.new, self.size = [whole], 0, len(whole[0])
         return whole
 
@@ -219,16 +224,22 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _counts(docs: DataFrame, bits: int, *filters: Filter) -> DataFrame:
-    """(fp, lang, n): of all words; with a filter of words, of the pairs of those that pass; with one of pairs also, of the runs of 3 of both.
+    """(fp, lang, n, low, high): of all words; with filters of words, pairs, ... that pass, of the runs of one word more, all parts of which pass.
 
-    lang is null but in the rows without fp, which hold the number of words of each language.
+    low and high are the least and the greatest mark. lang is null but in the rows without fp, which hold the number of words of
+    each language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
+    names = ["fp", "mark", "lang", "n"]
+
+    def rows(keys: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+        other = np.flatnonzero(low >> _PLACE != high >> _PLACE)  # of these a second row, which counts nothing, has the other half
+        keys, marks, n = np.concatenate([keys, keys[other]]), np.concatenate([low, high[other]]), np.concatenate([n, np.zeros(len(other), np.int64)])
+        return pa.RecordBatch.from_arrays([_long(keys), pa.array(marks), pa.nulls(len(keys), pa.string()), pa.array(n)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, totals = held(getattr, shared, "value"), Counter()
-        tally = _Tally()
-        rows = lambda k, n, *_: pa.RecordBatch.from_arrays([_long(k), pa.nulls(len(k), pa.string()), pa.array(n)], names=["fp", "lang", "n"])
+        tally, length = _Tally(), len(known) + 1
         for batch in batches:
             for r in _each(batch, bits):
                 if not known:
@@ -236,16 +247,17 @@ def _counts(docs: DataFrame, bits: int, *filters: Filter) -> DataFrame:
                 at = r.whole(1)
                 for n, passing in enumerate(known, 1):
                     at = r.joint(at[passing.has(r.fingerprint(at, n))], n + 1)
-                own = r.fingerprint(at, len(known) + 1)
-                tally.add(own, np.ones(len(own), np.int64))
+                tally.add(r.fingerprint(at, length), r.mark(at, length))
                 if tally.size > _HELD:
                     yield rows(*tally.rows())
                     tally = _Tally()
         yield rows(*tally.rows())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(totals), pa.int64()), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["fp", "lang", "n"])
+        none = pa.nulls(len(totals), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=names)
 
     # workers have summed up what they can, so rows are dealt out as they are, without another table of sums before that
-    return docs.mapInArrow(frugal(run), "fp long, lang string, n long").repartition("fp", "lang").groupBy("fp", "lang").agg(F.sum("n").alias("n"))
+    found = docs.mapInArrow(frugal(run), "fp long, mark int, lang string, n long")
+    return found.repartition("fp", "lang").groupBy("fp", "lang").agg(F.sum("n").alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high"))
 
 
 def _passing(r: Runs, words: Filter, longer: Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -260,29 +272,6 @@ def _passing(r: Runs, words: Filter, longer: Filter) -> Iterator[tuple[int, np.n
         yield n, at, own
 
 
-def _pointed(docs: DataFrame, bits: int, words: Filter, longer: Filter) -> DataFrame:
-    """(fp, n, low, high, pointer) of all runs that pass."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, longer))
-    names = ["fp", "n", "low", "pointer", "high"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = held(getattr, shared, "value")
-        rows = lambda s: pa.RecordBatch.from_arrays([_long(s[0]), pa.array(s[1]), *map(pa.array, s[2]), *map(pa.array, s[3])], names=names)
-        tally = _Tally(2)
-        for batch in batches:
-            for r in _each(batch, bits):
-                for n, at, own in _passing(r, *filters):
-                    second, place = r.half(1, at, n).view(np.int64), r.pointer(at).view(np.int64)
-                    tally.add(*_summed(own, np.ones(len(own), np.int64), [second, place], [second]))
-                    if tally.size > _HELD:
-                        yield rows(tally.rows())
-                        tally = _Tally(2)
-        yield rows(tally.rows())
-
-    found = docs.mapInArrow(frugal(run), "fp long, n long, low long, pointer long, high long")
-    return found.repartition("fp").groupBy("fp").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("pointer").alias("pointer"))
-
-
 def _place(own: np.ndarray, pointer: np.ndarray) -> np.ndarray:
     return mix(own ^ mix(pointer, 31), 32)
 
@@ -293,7 +282,7 @@ def _texts(docs: DataFrame, bits: int, words: Filter, longer: Filter, places: Fi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *filters, wanted = held(getattr, shared, "value")
-        told: set[int] = set()
+        told: list[set[int]] = [set() for _ in range(LONGEST + 1)]  # by length
         for batch in batches:
             for part in slices(batch, chars=_CHARS):
                 r = runs(part.column("text"), part.column("lang"), bits)
@@ -302,14 +291,14 @@ def _texts(docs: DataFrame, bits: int, words: Filter, longer: Filter, places: Fi
                     keys = _place(own, pointer)
                     some = np.flatnonzero(wanted.has(keys))
                     some = some[np.unique(keys[some], return_index=True)[1]]
-                    some = np.array([i for i, k in zip(some.tolist(), keys[some].tolist()) if k not in told], np.int64)
-                    told.update(keys[some].tolist())
-                    if len(told) > _HELD:
-                        told.clear()
+                    some = np.array([i for i, k in zip(some.tolist(), keys[some].tolist()) if k not in told[n]], np.int64)
+                    told[n].update(keys[some].tolist())
+                    if sum(map(len, told)) > _HELD:
+                        told[n].clear()
                     lang = part.column("lang").take(pa.array(r.text[at[some]]))
-                    yield pa.RecordBatch.from_arrays([_long(own[some]), _long(pointer[some]), lang, pa.array(np.full(len(some), n, np.int32)), pa.array(r.phrases(at[some], n), pa.string())], names=["fp", "pointer", "lang", "len", "phrase"])
+                    yield pa.RecordBatch.from_arrays([_long(own[some]), pa.array(pointer[some].astype(np.int32)), lang, pa.array(np.full(len(some), n, np.int32)), pa.array(r.phrases(at[some], n), pa.string())], names=["fp", "pointer", "lang", "len", "phrase"])
 
-    return docs.mapInArrow(frugal(run), "fp long, pointer long, lang string, len int, phrase string")
+    return docs.mapInArrow(frugal(run), "fp long, pointer int, lang string, len int, phrase string")
 
 
 def _recounted(docs: DataFrame, bits: int, words: Filter, longer: Filter, several: Filter) -> DataFrame:
@@ -339,27 +328,30 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, bits: int = 64) -> tup
     few, more phrases meet in one and are counted by their texts.
     """
     docs = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"))
-    often = lambda table, name: written(table.filter((F.col("n") >= least) | F.col("fp").isNull()), name)
-    first = often(_counts(docs, bits), "phrase-words")
+    often = lambda name, *filters: written(_counts(docs, bits, *filters).filter((F.col("n") >= least) | F.col("fp").isNull()), name)
+    first = often("phrase-words")
     one, totals = first.filter("fp is not null"), first.filter("fp is null").select("lang", "n")
     words = bloom(one.select("fp"), one.count())
-    two = often(_counts(docs, bits, words), "phrase-pairs")
-    three = often(_counts(docs, bits, words, bloom(two.select("fp"), two.count())), "phrase-triples")
-    longer = bloom(two.select("fp").union(three.select("fp")), two.count() + three.count())
-    found = often(_pointed(docs, bits, words, longer), "phrase-pointers")
-    alone, several = found.filter("low = high"), found.filter("low <> high").select("fp")
-    keyed = alone.mapInArrow(_places, "key long")
-    texts = _texts(docs, bits, words, longer, bloom(keyed, alone.count()))
-    texts = texts.join(alone.select("fp", "pointer", "n"), ["fp", "pointer"]).groupBy("fp").agg(*[F.first(c).alias(c) for c in ("lang", "len", "phrase", "n")]).drop("fp")
+    two = often("phrase-pairs", words)
+    pairs = two.count()
+    three = often("phrase-triples", words, bloom(two.select("fp"), pairs))
+    longer = bloom(two.select("fp").union(three.select("fp")), pairs + three.count())
+    four = often("phrase-fours", words, longer, longer)
+    found = functools.reduce(DataFrame.union, [t.filter("fp is not null").withColumn("len", F.lit(k)) for k, t in enumerate((one, two, three, four), 1)])
+    half = lambda mark: F.shiftright(mark, _PLACE)
+    alone = found.filter(half("low") == half("high")).select("fp", "len", "n", F.col("low").bitwiseAND((1 << _PLACE) - 1).alias("pointer"))
+    several = found.filter(half("low") != half("high")).select("fp", "len")
+    texts = _texts(docs, bits, words, longer, bloom(alone.select("fp", "pointer").mapInArrow(_places, "key long"), alone.count()))
+    texts = texts.join(alone, ["fp", "len", "pointer"]).groupBy("fp", "len").agg(*[F.first(c).alias(c) for c in ("lang", "phrase", "n")]).drop("fp")
     if n := several.count():
-        again = _recounted(docs, bits, words, longer, bloom(several, n)).join(several, "fp", "left_semi")
+        again = _recounted(docs, bits, words, longer, bloom(several.select("fp"), n)).join(several, ["fp", "len"], "left_semi")
         texts = texts.unionByName(again.filter(F.col("n") >= least).drop("fp"))
     return written(texts.withColumnRenamed("n", "f"), "phrases"), totals
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own, pointer = (batch.column(c).to_numpy().view(np.uint64) for c in ("fp", "pointer"))
+        own, pointer = (batch.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("fp", "pointer"))
         yield pa.RecordBatch.from_arrays([_long(_place(own, pointer))], names=["key"])
 
 
